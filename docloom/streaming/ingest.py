@@ -15,7 +15,7 @@ def build_points(documents: DataFrame) -> DataFrame:
     """Documents to indexed points: chunks, cap, vectors, sparse terms where allowed."""
     chunks = flag_sparse(chunk_documents(documents))
     points = add_vectors_by_domain(chunks)
-    return points.withColumn("terms", F.when("sparse_enabled", F.col("terms")))
+    return points.withColumn("terms", F.when(F.col("sparse_enabled"), F.col("terms")))
 
 
 def start_ingest(
