@@ -82,7 +82,8 @@ def _section() -> Column:
 
 
 def _score() -> Column:
-    return F.format_string("%.4f", F.col("score"))
+    # Unlike printf-style formatting on the JVM this rounds exact halves to even.
+    return F.replace(F.format_number("score", 4), F.lit(","), F.lit(""))
 
 
 BLOCKS: dict[str, Callable[[], Column]] = {

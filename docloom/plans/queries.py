@@ -123,7 +123,7 @@ def upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
     incoming = changed.select(
         "chunk_id", "seq",
-        F.md5(F.concat(F.upper("content"), F.col("seq").cast("string"))).alias("content_md5"),
+        F.md5(F.concat("content", F.lit("!"), F.col("seq").cast("string"))).alias("content_md5"),
     )
     return store.upsert_chunks(first, incoming)
 
@@ -698,9 +698,9 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stage_totals(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _both_hits(spark, sf).select("query_id", "chunk_id", "stage")
-    fused = retrieval.rrf_fuse(_both_hits(spark, sf)).select("query_id", "chunk_id", "stage")
-    return retrieval.stage_totals(hits.unionByName(fused))
+    hits = _both_hits(spark, sf)
+    fused = retrieval.rrf_fuse(hits).select("query_id", "chunk_id", "stage")
+    return retrieval.stage_totals(hits.select("query_id", "chunk_id", "stage").unionByName(fused))
 
 
 def _fit(spark: SparkSession, sf: str) -> DataFrame:
