@@ -140,26 +140,57 @@ def ann_topk(
     )
 
 
-def near_dup_chunks(
-    existing: DataFrame, incoming: DataFrame, threshold: float, same_table: bool = False
-) -> DataFrame:
+def near_dup_chunks(existing: DataFrame, incoming: DataFrame, threshold: float) -> DataFrame:
     """For every incoming chunk the closest existing one at or above ``threshold``.
 
     One row per incoming chunk at most, so a large group of copies stays linear.
-    With ``same_table`` only chunks with a smaller id count as existing.
     """
     hits = score_topk(
         existing,
         incoming.withColumnRenamed("chunk_id", "query_id"),
         ("dense",),
         1,
-        {"threshold": threshold, "skip_self": same_table},
+        {"threshold": threshold},
     )
+    return _as_matches(hits)
+
+
+def _as_matches(hits: DataFrame) -> DataFrame:
     return hits.select(
         F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("duplicate_of"), "score"
     )
 
 
+def near_dup_within(chunks: DataFrame, threshold: float) -> DataFrame:
+    """The same inside one table: only chunks with a smaller id count as existing.
+
+    Equal vectors are folded map-side into their smallest id first, so copies are
+    compared once, however many there are. A copy then takes its representative,
+    or the match of its representative when that one is just as close.
+    """
+    distinct = chunks.groupBy("dense").agg(F.min("chunk_id").alias("chunk_id"))
+    found = _as_matches(
+        score_topk(
+            distinct,
+            distinct.withColumnRenamed("chunk_id", "query_id"),
+            ("dense",),
+            1,
+            {"threshold": threshold, "skip_self": True},
+        )
+    )
+    first = distinct.withColumnRenamed("chunk_id", "_first")
+    copies = chunks.join(first, "dense").where(F.col("chunk_id") != F.col("_first"))
+    closer = found.where(F.col("score") >= 1.0).select(
+        F.col("chunk_id").alias("_first"), F.col("duplicate_of").alias("_closer")
+    )
+    folded = copies.join(closer, "_first", "left").select(
+        "chunk_id",
+        F.coalesce("_closer", "_first").alias("duplicate_of"),
+        F.lit(1.0).alias("score"),
+    )
+    return found.unionByName(folded)
+
+
 # --- fusion and reranking ---------------------------------------------------------
 
 

@@ -257,13 +257,15 @@ def _blocked(chunks, queries, build, legs, options, ddl) -> DataFrame:
     """Blocks of chunks meet blocks of queries; block sizes are bounded by construction."""
     chunk_blocks = max(1, -(-chunks.select("chunk_id").count() // BLOCK_ROWS))
     query_blocks = max(1, -(-queries.select("query_id").count() // BROADCAST_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = chunks.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks))).withColumn(
+    long = lambda n: F.lit(n).cast("bigint")
+    block_of = lambda key, n: F.pmod(F.xxhash64(key), long(n))
+    every = lambda n: F.explode(F.sequence(long(0), long(n - 1)))
+    left = chunks.withColumn("_c", block_of("chunk_id", chunk_blocks)).withColumn(
         "_q", every(query_blocks)
     )
-    right = queries.withColumn(
-        "_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
-    ).withColumn("_c", every(chunk_blocks).cast("bigint"))
+    right = queries.withColumn("_q", block_of("query_id", query_blocks)).withColumn(
+        "_c", every(chunk_blocks)
+    )
 
     def run(block_chunks: pa.Table, block_queries: pa.Table) -> pa.Table:
         if not block_chunks.num_rows or not block_queries.num_rows:

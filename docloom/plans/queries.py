@@ -644,7 +644,7 @@ def near_dup_chunks(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("chunk_id"), F.col("content").alias("text")
     )
     coded = docs.withColumn("dense", vectors.encode_dense(F.col("text"), "general")).drop("text")
-    return retrieval.near_dup_chunks(coded, coded, 0.95, same_table=True)
+    return retrieval.near_dup_within(coded, 0.95)
 
 
 @query
