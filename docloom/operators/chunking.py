@@ -116,22 +116,38 @@ def chunk_array(content: Column, domain: str, cap_tables: bool = False) -> Colum
     )
 
 
-def chunk_domain(documents: DataFrame, domain: str, cap_tables: bool = False) -> DataFrame:
+def chunk_domain(
+    documents: DataFrame,
+    domain: str,
+    cap_tables: bool = False,
+    max_chunks: int | None = None,
+) -> DataFrame:
     """Chunk table of documents that all use one domain's chunker.
 
-    In: ``document_id, content`` plus any further columns, which are kept.
+    In: ``document_id, content`` plus any further columns, which are kept. With
+    ``max_chunks`` only the first chunks of a document are kept and
+    ``sparse_enabled`` tells whether the document is small enough for sparse
+    terms; both are decided inside the row, before anything is exploded.
     """
+
+    def capped(chunks: Column) -> Column:
+        kept = chunks if max_chunks is None else F.slice(chunks, 1, F.lit(max_chunks))
+        small = F.least(F.size(chunks), F.lit(max_chunks or rules.MAX_CHUNKS_PER_DOCUMENT))
+        flag = small <= rules.SPARSE_MAX_CHUNKS
+        return F.transform(kept, lambda c: c.withField("sparse_enabled", flag))
+
+    array = let(chunk_array(F.col("content"), domain, cap_tables), capped)
     chunks = documents.select(
         *[c for c in documents.columns if c != "content"],
-        F.posexplode(chunk_array(F.col("content"), domain, cap_tables)).alias(
-            "chunk_index", "_chunk"
-        ),
+        F.posexplode(array).alias("chunk_index", "_chunk"),
     )
     chunks = chunks.select(
         *[c for c in chunks.columns if c != "_chunk"],
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         "_chunk.*",
     ).withColumnRenamed("page", "page_number")
+    if max_chunks is None:
+        chunks = chunks.drop("sparse_enabled")
     entities = (
         F.when(
             F.col("chunk_type") != "header", N.extract_entities(F.col("text"))
@@ -142,27 +158,28 @@ def chunk_domain(documents: DataFrame, domain: str, cap_tables: bool = False) ->
     return chunks.withColumn("entities", entities)
 
 
-_CHUNKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    d: (lambda df, d=d: chunk_domain(df, d)) for d in rules.DOMAINS
+Chunker = Callable[[DataFrame, int | None], DataFrame]
+_CHUNKERS: dict[str, Chunker] = {
+    d: (lambda df, cap, d=d: chunk_domain(df, d, max_chunks=cap)) for d in rules.DOMAINS
 }
 
 
-def register_chunker(domain: str, chunker: Callable[[DataFrame], DataFrame]) -> None:
-    """Use ``chunker`` (documents in, chunk table out) for ``domain``."""
+def register_chunker(domain: str, chunker: Chunker) -> None:
+    """Use ``chunker`` (documents and chunk cap in, chunk table out) for ``domain``."""
     _CHUNKERS[domain] = chunker
 
 
-def chunk_documents(documents: DataFrame) -> DataFrame:
+def chunk_documents(documents: DataFrame, max_chunks: int | None = None) -> DataFrame:
     """Chunk every document with the chunker of its ``domain``."""
     parts = [
-        chunker(documents.where(F.col("domain") == domain))
+        chunker(documents.where(F.col("domain") == domain), max_chunks)
         for domain, chunker in _CHUNKERS.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def cap_chunks(chunks: DataFrame, limit: int = rules.MAX_CHUNKS_PER_DOCUMENT) -> DataFrame:
-    """The first ``limit`` chunks of every document.
+    """The first ``limit`` chunks of every document, over a stored chunk table.
 
     The rank filter becomes a per-task group limit before the shuffle, so a
     document with very many chunks sends at most ``limit`` rows per task.

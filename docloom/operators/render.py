@@ -98,6 +98,9 @@ OPTIONAL = {
 }
 
 
+SOURCES = "array<struct<rank:int,document_id:string>>"
+
+
 def context_blocks(kept: DataFrame) -> DataFrame:
     """Add ``block``: the chunk as its domain presents it, numbered by kept rank.
 
@@ -170,7 +173,7 @@ def fallback_answers(queries: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_metadata(
+def request_metadata(
     queries: DataFrame, budgeted: DataFrame, fused_totals: DataFrame
 ) -> DataFrame:
     """Counters, warnings and sources per request.
@@ -179,22 +182,21 @@ def pipeline_metadata(
     output of ``fit_budget`` with ``document_id``; ``fused_totals``: ``query_id,
     chunks_retrieved``.
     """
+    first = Window.partitionBy("query_id", "document_id", "kept").orderBy("rank")
     used = F.sum(F.col("kept").cast("bigint"))
-    counts = budgeted.groupBy("query_id").agg(
-        used.alias("chunks_used"),
-        (F.count(F.lit(1)) - used).alias("chunks_dropped"),
-    )
-    first = Window.partitionBy("query_id", "document_id").orderBy("rank")
-    sources = (
-        budgeted.where("kept")
-        .withColumn("_n", F.row_number().over(first))
-        .where("_n = 1")
+    source = F.when(F.col("kept") & (F.col("_n") == 1), F.struct("rank", "document_id"))
+    facts = (
+        budgeted.withColumn("_n", F.row_number().over(first))
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "document_id"))).alias("sources"))
+        .agg(
+            used.alias("chunks_used"),
+            (F.count(F.lit(1)) - used).alias("chunks_dropped"),
+            F.array_sort(F.collect_list(source)).alias("sources"),
+        )
     )
     return (
-        queries.join(counts, "query_id", "left")
+        queries.join(facts, "query_id", "left")
         .join(fused_totals, "query_id", "left")
-        .join(sources, "query_id", "left")
         .fillna(0, ["chunks_used", "chunks_dropped", "chunks_retrieved"])
+        .withColumn("sources", F.coalesce("sources", F.expr("cast(array() as " + SOURCES + ")")))
     )

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.functions import text as T
 from docloom.functions import vectors as V
+from docloom.functions.arrays import let
 from docloom.operators.scoring import score_topk
+from docloom.session import materialise
 
 
 def dense_topk(
@@ -168,7 +170,10 @@ def near_dup_within(chunks: DataFrame, threshold: float) -> DataFrame:
     compared once, however many there are. A copy then takes its representative,
     or the match of its representative when that one is just as close.
     """
-    distinct = chunks.groupBy("dense").agg(F.min("chunk_id").alias("chunk_id"))
+    # Written once: both sides of the search and the copies read it.
+    distinct = materialise(
+        chunks.groupBy("dense").agg(F.min("chunk_id").alias("chunk_id")), "distinct"
+    )
     found = _as_matches(
         score_topk(
             distinct,
@@ -207,10 +212,11 @@ def rrf_fuse(
     """
     numbers = F.create_map(*[x for i, s in enumerate(stages) for x in (F.lit(s), F.lit(i))])
     lists = hits.where(F.col("stage").isin(*stages)).withColumn("list_no", numbers[F.col("stage")])
-    lengths = lists.groupBy("query_id", "stage").agg(F.count(F.lit(1)).alias("_length"))
-    # A rank of 0 or less counts as the place after the end of its list.
-    placed = lists.join(lengths, ["query_id", "stage"]).withColumn(
-        "_place", F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.col("_length") + 1)
+    # A rank of 0 or less counts as the place after the end of its list. A list holds
+    # at most top-k rows, and the lists arrive partitioned this way from the ranking.
+    length = F.count(F.lit(1)).over(Window.partitionBy("query_id", "stage"))
+    placed = lists.withColumn(
+        "_place", F.when(F.col("rank") > 0, F.col("rank")).otherwise(length + 1)
     )
     fused = placed.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(1.0 / (F.lit(k) + F.col("_place"))), 12).alias("_sum"),
@@ -227,11 +233,13 @@ def rrf_fuse(
 
 def overlap_score(query: Column, passage: Column) -> Column:
     """Default pair scorer: share of the distinct query tokens found in the passage."""
-    wanted = F.array_distinct(T.tokens(query))
-    return F.when(
-        F.size(wanted) > 0,
-        F.size(F.array_intersect(wanted, T.tokens(passage))) / F.size(wanted),
-    ).otherwise(F.lit(0.0))
+    return let(
+        F.array_distinct(T.tokens(query)),
+        lambda wanted: F.when(
+            F.size(wanted) > 0,
+            F.size(F.array_intersect(wanted, T.tokens(passage))) / F.size(wanted),
+        ).otherwise(F.lit(0.0)),
+    )
 
 
 def rerank_topk(

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_QUERIES = 5_000
+BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 BLOCK_ROWS = 20_000
 TILE_CELLS = 4_000_000
@@ -122,15 +122,21 @@ class Best:
         self.block = block
         self.score = [np.empty(0)] * len(block.ids)
         self.chunk = [None] * len(block.ids)
-
-    def offer(self, q: int, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        # Score to reach per query; below any real score until k chunks are held.
+        self.bar = np.full(len(block.ids), np.finfo(np.float64).min)
+
+    def offer_all(self, members: list[int], rows: np.ndarray, matrix: np.ndarray, ids: np.ndarray):
+        """Offer ``rows`` to the queries ``members``; most queries are ruled out at once."""
+        seen = matrix if len(rows) == len(matrix) else matrix[rows]
+        tops = seen.max(axis=0)
+        for q in members:
+            if tops[q] >= self.bar[q]:
+                scores = seen[:, q]
+                good = np.flatnonzero(scores >= self.bar[q])
+                self._offer(q, rows[good], scores[good], ids)
+
+    def _offer(self, q: int, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         k = self.block.k[q]
-        held = self.score[q]
-        if len(held) >= k:
-            keep = scores >= held[-1]
-            rows, scores = rows[keep], scores[keep]
-        if not len(rows):
-            return
         if len(rows) > k:
             edge = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= edge
@@ -138,9 +144,11 @@ class Best:
         names = ids[rows]
         if self.chunk[q] is not None:
             names = np.concatenate([self.chunk[q], names])
-            scores = np.concatenate([held, scores])
+            scores = np.concatenate([self.score[q], scores])
         order = np.lexsort((names, -scores))[:k]
         self.score[q], self.chunk[q] = scores[order], names[order]
+        if len(order) == k:
+            self.bar[q] = self.score[q][-1]
 
     def rows(self, stage: str) -> pa.RecordBatch:
         used = [q for q in range(len(self.block.ids)) if self.chunk[q] is not None]
@@ -163,32 +171,31 @@ def _score(
 ) -> Iterator[pa.RecordBatch]:
     best = {leg: Best(block) for leg in legs}
     tile = max(1, TILE_CELLS // max(1, len(block.ids)))
-    skip_self = options.get("skip_self", False)
-    floor = options.get("threshold")
+    floor = options.get("threshold", -np.inf)
+    query_ids = np.asarray(block.ids)
     for batch in batches:
         for start in range(0, batch.num_rows, tile):
             part = pa.Table.from_batches([batch.slice(start, tile)])
             ids = np.asarray(part["chunk_id"].to_pylist())
+            closed = None
+            if options.get("skip_self"):
+                closed = ids[:, None] >= query_ids[None, :]
+            if "reach" in options:
+                closed = ~options["reach"](part, block)
             masks = block.masks(part)
             for leg in legs:
                 matrix = block.dense_scores(part) if leg == "dense" else block.sparse_scores(part)
                 matrix = round6(matrix)
-                reach = options["reach"](part, block) if "reach" in options else None
+                shut = matrix < floor
+                if leg == "sparse":
+                    shut |= matrix <= 0
+                if closed is not None:
+                    shut |= closed
+                matrix[shut] = -np.inf
                 for members, mask in masks:
-                    for q in members:
-                        scores = matrix[:, q]
-                        keep = np.ones(len(scores), bool) if mask is None else mask
-                        if leg == "sparse":
-                            keep = keep & (scores > 0)
-                        if floor is not None:
-                            keep = keep & (scores >= floor)
-                        if skip_self:
-                            keep = keep & (ids < block.ids[q])
-                        if reach is not None:
-                            keep = keep & reach[:, q]
-                        rows = np.flatnonzero(keep)
-                        if len(rows):
-                            best[leg].offer(q, rows, scores[rows], ids)
+                    rows = np.arange(len(ids)) if mask is None else np.flatnonzero(mask)
+                    if len(rows):
+                        best[leg].offer_all(members, rows, matrix, ids)
     for leg in legs:
         yield best[leg].rows(leg)
 

@@ -702,7 +702,7 @@ ORACLES["request_metadata"] = f"""
 sl AS (SELECT query_id, string_agg(document_id, '|' ORDER BY rank) AS sources FROM so GROUP BY query_id)
 SELECT query_id, CASE WHEN q_domain = 'financial' THEN q_domain ELSE 'general' END AS domain, {n_tokens("substring(query, 1, 2000)")} AS query_tokens,
   coalesce(got, 0) AS chunks_retrieved, coalesce(used, 0) AS chunks_used, coalesce(dropped, 0) AS chunks_dropped,
-  array_to_string(list_filter([{_WARN}], lambda w: w IS NOT NULL), '|') AS warnings, sources
+  array_to_string(list_filter([{_WARN}], lambda w: w IS NOT NULL), '|') AS warnings, coalesce(sources, '') AS sources
 FROM q LEFT JOIN n USING (query_id) LEFT JOIN sl USING (query_id)"""
 ORACLES["assemble_answers"] = f"""
 WITH {_EVENTS} SELECT request_id, string_agg(content, '' ORDER BY seq) FILTER (type = 'token') AS answer, max(usage) AS usage

@@ -15,7 +15,7 @@ from docloom.functions import text as T
 from docloom.operators import access, budget, chunking, elements, encoding, entities
 from docloom.operators import guarding, registry, render, retrieval, tables
 from docloom.plans import derive
-from docloom.session import scratch_path, spread
+from docloom.session import materialise, scratch_path, spread
 from docloom.sources import collections as store
 from docloom.sources import events, files
 from docloom.streaming import ingest, status, windows
@@ -516,7 +516,8 @@ def encode_dense(spark: SparkSession, sf: str) -> DataFrame:
     docs = derive.raw_documents(spark, sf)
     vector = docs.select("doc_id", vectors.encode_dense(F.col("content"), "general").alias("v"))
     return (
-        vector.select("doc_id", F.posexplode("v").alias("bucket", "x"))
+        # The outer form keeps the optimizer from evaluating the encoder in a filter too.
+        vector.select("doc_id", F.posexplode_outer("v").alias("bucket", "x"))
         .where("x <> 0")
         .select("doc_id", "bucket", F.round(F.col("x").cast("double"), 6).alias("value"))
     )
@@ -628,9 +629,8 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 def _reranked(spark: SparkSession, sf: str) -> DataFrame:
     docs, asked = _documents_and_queries(spark, sf)
     fused = retrieval.rrf_fuse(_both_hits(spark, sf)).drop("score", "stage")
-    rows = docs.drop("document_id", "domain")
     asked = asked.select("query_id", "query")
-    return retrieval.rerank_topk(fused.join(rows, "chunk_id").join(asked, "query_id"))
+    return retrieval.rerank_topk(fused.join(docs, "chunk_id").join(asked, "query_id"))
 
 
 @query
@@ -666,10 +666,13 @@ def session_domain_check(spark: SparkSession, sf: str) -> DataFrame:
     return registry.session_domain_check(asked, derive.sessions(spark, sf))
 
 
-def _hybrid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+@query
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = derive.raw_documents(spark, sf)
-    chunks = chunking.flag_sparse(chunking.chunk_domain(docs, "general"))
-    coded = encoding.add_vectors(chunks, "general").withColumn(
+    cut = lambda df: chunking.chunk_domain(
+        df.select("document_id", "content"), "general", max_chunks=rules.MAX_CHUNKS_PER_DOCUMENT
+    )
+    coded = encoding.add_vectors(cut(docs), "general").withColumn(
         "terms", F.when(F.col("sparse_enabled"), F.col("terms"))
     )
     asked = guarding.sanitise_queries(
@@ -677,16 +680,14 @@ def _hybrid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
             F.col("item_id").alias("query_id"), F.col("text").alias("query"),
             F.lit("general").alias("domain"),
         )
-    )
+    ).drop("domain")
+    # The text is fetched by cutting again: narrow work without vectors, cheaper
+    # than writing and reading vectors of every chunk.
     found = retrieval.hybrid_search(
-        coded.drop("domain"), retrieval.with_vectors(asked, "general").drop("domain")
+        coded.drop("document_id"),
+        retrieval.with_vectors(asked, "general"),
+        lambda fused: cut(docs).select("chunk_id", "document_id", "text"),
     )
-    return found, asked
-
-
-@query
-def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    found, _ = _hybrid(spark, sf)
     counted = budget.with_token_counts(found, F.lit(rules.SYSTEM_PROMPTS["general"]))
     return budget.fit_budget(counted, n_ctx=1800).select(
         "query_id", "rank", "chunk_id", "document_id", "score", "chunk_tokens", "kept"
@@ -698,15 +699,15 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stage_totals(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _both_hits(spark, sf)
+    hits = materialise(_both_hits(spark, sf), "hits")
     fused = retrieval.rrf_fuse(hits).select("query_id", "chunk_id", "stage")
     return retrieval.stage_totals(hits.select("query_id", "chunk_id", "stage").unionByName(fused))
 
 
-def _fit(spark: SparkSession, sf: str) -> DataFrame:
+def _fit(spark: SparkSession, sf: str, fused: DataFrame | None = None) -> DataFrame:
     """Fused hits as ranked chunks under a small budget."""
     docs, asked = _documents_and_queries(spark, sf)
-    fused = retrieval.rrf_fuse(_both_hits(spark, sf))
+    fused = fused or retrieval.rrf_fuse(_both_hits(spark, sf))
     rows = fused.join(docs.drop("domain", "doc_id"), "chunk_id").join(
         asked.select("query_id", "query"), "query_id"
     )
@@ -738,12 +739,9 @@ def request_metadata(spark: SparkSession, sf: str) -> DataFrame:
             "query_id", "query", D.normalise_domain(F.col("domain")).alias("domain")
         )
     ).withColumn("query_tokens", T.count_tokens(F.col("query")))
-    totals = (
-        retrieval.rrf_fuse(_both_hits(spark, sf))
-        .groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("chunks_retrieved"))
-    )
-    meta = render.pipeline_metadata(asked, _fit(spark, sf), totals)
+    fused = materialise(retrieval.rrf_fuse(_both_hits(spark, sf)), "fused")
+    totals = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_retrieved"))
+    meta = render.request_metadata(asked, _fit(spark, sf, fused), totals)
     names = F.transform("sources", lambda s: s["document_id"])
     return meta.select(
         "query_id", "domain", "query_tokens", "chunks_retrieved", "chunks_used", "chunks_dropped",
@@ -850,13 +848,8 @@ def guard_token_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
-    docs, _ = _documents_and_queries(spark, sf)
-    facts = docs.select(
-        "chunk_id", "domain", "source",
-        F.when(F.col("acl") == "public", F.concat(F.lit("2024-0"), (F.col("doc_id") % 9 + 1).cast("string")))
-        .alias("date"),
-    )
-    return _reranked(spark, sf).drop("source").join(facts, "chunk_id")
+    month = F.concat(F.lit("2024-0"), (F.col("doc_id") % 9 + 1).cast("string"))
+    return _reranked(spark, sf).withColumn("date", F.when(F.col("acl") == "public", month))
 
 
 @query

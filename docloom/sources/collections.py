@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions.domains import collection_name
+from docloom.session import materialise
 
 BUCKETS = 64
 
@@ -96,15 +97,15 @@ class ChunkStore:
         )
 
     def upsert(self, incoming: DataFrame, version: str = "seq") -> None:
-        """Replace or add chunks by id; running it twice gives the same table."""
-        new = self._bucketed(
-            incoming.withColumn("ingested_at", F.unix_seconds(F.current_timestamp()))
-        )
-        if not self.exists():
-            empty = new.limit(0)
-            self._write(upsert_chunks(empty, new, version))
-            return
-        self._write(upsert_chunks(self._touched(new), new, version))
+        """Replace or add chunks by id; running it twice gives the same table.
+
+        The incoming rows are computed once and staged, since finding the touched
+        buckets, the replaced ids and the new rows all need them.
+        """
+        stamped = incoming.withColumn("ingested_at", F.unix_seconds(F.current_timestamp()))
+        new = materialise(self._bucketed(stamped), "incoming")
+        old = self._touched(new) if self.exists() else new.limit(0)
+        self._write(upsert_chunks(old, new, version))
 
     def delete(self, document_ids: DataFrame) -> None:
         """Remove all chunks of the given documents from the buckets that hold them."""
@@ -113,7 +114,7 @@ class ChunkStore:
         stored = self.read().where(F.col("bucket").isin(touched))
         # A bucket that becomes empty writes no file, so its folder goes first.
         left = delete_document(stored, doomed)
-        staged = self._staged(left)
+        staged = materialise(left, "chunks")
         for part in stored.select("domain", "bucket").distinct().collect():
             self._drop(f"domain={part['domain']}/bucket={part['bucket']}")
         self._write(staged)
@@ -132,11 +133,6 @@ class ChunkStore:
             hit = hit | ((F.col("domain") == domain) & F.col("bucket").isin(numbers))
         return self.read().where(hit)
 
-    def _staged(self, rows: DataFrame) -> DataFrame:
-        from docloom.session import materialise
-
-        return materialise(rows, "chunks")
-
     def _drop(self, part: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, part))
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
