@@ -170,10 +170,17 @@ def near_dup_within(chunks: DataFrame, threshold: float) -> DataFrame:
     compared once, however many there are. A copy then takes its representative,
     or the match of its representative when that one is just as close.
     """
-    # Written once: both sides of the search and the copies read it.
-    distinct = materialise(
-        chunks.groupBy("dense").agg(F.min("chunk_id").alias("chunk_id")), "distinct"
+    # Written once: the search and both ways to look at copies read it.
+    coded = materialise(
+        chunks.select("chunk_id", "dense").withColumns(
+            {"_a": F.xxhash64("dense"), "_b": F.hash("dense")}
+        ),
+        "coded",
     )
+    first = coded.groupBy("_a", "_b").agg(F.min("chunk_id").alias("_first"))
+    distinct = coded.join(
+        first.select(F.col("_first").alias("chunk_id")), "chunk_id", "left_semi"
+    ).select("chunk_id", "dense")
     found = _as_matches(
         score_topk(
             distinct,
@@ -183,8 +190,11 @@ def near_dup_within(chunks: DataFrame, threshold: float) -> DataFrame:
             {"threshold": threshold, "skip_self": True},
         )
     )
-    first = distinct.withColumnRenamed("chunk_id", "_first")
-    copies = chunks.join(first, "dense").where(F.col("chunk_id") != F.col("_first"))
+    copies = (
+        coded.select("chunk_id", "_a", "_b")
+        .join(first, ["_a", "_b"])
+        .where(F.col("chunk_id") != F.col("_first"))
+    )
     closer = found.where(F.col("score") >= 1.0).select(
         F.col("chunk_id").alias("_first"), F.col("duplicate_of").alias("_closer")
     )
@@ -218,7 +228,9 @@ def rrf_fuse(
     placed = lists.withColumn(
         "_place", F.when(F.col("rank") > 0, F.col("rank")).otherwise(length + 1)
     )
+    carried = [c for c in ("document_id",) if c in hits.columns]
     fused = placed.groupBy("query_id", "chunk_id").agg(
+        *[F.min(c).alias(c) for c in carried],
         F.round(F.sum(1.0 / (F.lit(k) + F.col("_place"))), 12).alias("_sum"),
         F.min(F.struct("list_no", "rank")).alias("_seen"),
     )
@@ -227,8 +239,9 @@ def rrf_fuse(
     if top_k is not None:
         ranked = ranked.where(F.col("rank") <= top_k)
     return ranked.select(
-        "query_id", "chunk_id", F.lit("rrf").alias("stage"), F.round("_sum", 6).alias("score"), "rank"
-    )
+        "query_id", "chunk_id", *carried, F.lit("rrf").alias("stage"),
+        F.round("_sum", 6).alias("score"), "rank",
+    )
 
 
 def overlap_score(query: Column, passage: Column) -> Column:
@@ -282,7 +295,8 @@ def build_sources(kept: DataFrame) -> DataFrame:
 
 def hybrid_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Dense and sparse winners from a single pass over the chunk table."""
-    return score_topk(chunks, queries, ("dense", "sparse"), rules.TOP_K_DENSE)
+    carry = "document_id" if "document_id" in chunks.columns else None
+    return score_topk(chunks, queries, ("dense", "sparse"), rules.TOP_K_DENSE, carry=carry)
 
 
 def hybrid_search(
@@ -293,14 +307,18 @@ def hybrid_search(
 ) -> DataFrame:
     """Dense and sparse search, fusion and reranking for a table of queries.
 
-    ``texts(fused)`` returns the chunk rows of the fused hits; the default joins
-    the chunk table. The fused side has at most 40 rows per query, and adaptive
-    execution broadcasts it only when its measured size allows.
+    Each chunk is scored once for both legs. The fused hits (at most 40 rows per
+    query) are written down, because two steps need them: ``texts(documents)``
+    returns the chunk rows of the documents that were hit, and those are joined
+    back. By default the chunk table itself is filtered by those documents.
     """
-    fused = rrf_fuse(hybrid_hits(chunks, queries))
-    rows = texts(fused) if texts else chunks
-    candidates = fused.drop("stage", "score").join(rows, "chunk_id").join(
-        queries.select("query_id", "query"), "query_id"
+    fused = materialise(rrf_fuse(hybrid_hits(chunks, queries)), "fused")
+    hit = fused.select("document_id").distinct()
+    rows = texts(hit) if texts else chunks.join(hit, "document_id", "left_semi")
+    candidates = (
+        fused.drop("stage", "score", "document_id")
+        .join(rows, "chunk_id")
+        .join(queries.select("query_id", "query"), "query_id")
     )
     return rerank_topk(candidates, scorer=scorer)
 

@@ -32,6 +32,11 @@ def round6(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
 
 
+def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
+
+
 class QueryBlock:
     """Arrays of one set of queries: matrix, postings, filters and limits."""
 
@@ -44,7 +49,7 @@ class QueryBlock:
         self.k = [a or k for a in asked]
         self.dense = None
         if "dense" in names and n:
-            self.dense = np.array(rows["dense"].to_pylist(), dtype=np.float64)
+            self.dense = as_matrix(rows["dense"])
         self.columns: dict[str, int] = {}
         if "terms" in names:
             postings: list[list[tuple[int, float]]] = []
@@ -90,9 +95,7 @@ class QueryBlock:
         return out
 
     def dense_scores(self, batch: pa.Table) -> np.ndarray:
-        column = batch["dense"].combine_chunks()
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return flat.reshape(len(column), -1) @ self.dense.T
+        return as_matrix(batch["dense"]) @ self.dense.T
 
     def sparse_scores(self, batch: pa.Table) -> np.ndarray:
         n, width = batch.num_rows, len(self.ids)
@@ -122,10 +125,12 @@ class Best:
         self.block = block
         self.score = [np.empty(0)] * len(block.ids)
         self.chunk = [None] * len(block.ids)
+        self.carried = [None] * len(block.ids)
         # Score to reach per query; below any real score until k chunks are held.
         self.bar = np.full(len(block.ids), np.finfo(np.float64).min)
 
-    def offer_all(self, members: list[int], rows: np.ndarray, matrix: np.ndarray, ids: np.ndarray):
+    def offer_all(self, members: list[int], rows: np.ndarray, matrix: np.ndarray, ids: np.ndarray,
+                  carried: np.ndarray | None) -> None:
         """Offer ``rows`` to the queries ``members``; most queries are ruled out at once."""
         seen = matrix if len(rows) == len(matrix) else matrix[rows]
         tops = seen.max(axis=0)
@@ -133,20 +138,24 @@ class Best:
             if tops[q] >= self.bar[q]:
                 scores = seen[:, q]
                 good = np.flatnonzero(scores >= self.bar[q])
-                self._offer(q, rows[good], scores[good], ids)
+                self._offer(q, rows[good], scores[good], ids, carried)
 
-    def _offer(self, q: int, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    def _offer(self, q: int, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray,
+               carried: np.ndarray | None) -> None:
         k = self.block.k[q]
         if len(rows) > k:
             edge = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= edge
             rows, scores = rows[keep], scores[keep]
         names = ids[rows]
+        extra = None if carried is None else carried[rows]
         if self.chunk[q] is not None:
             names = np.concatenate([self.chunk[q], names])
             scores = np.concatenate([self.score[q], scores])
+            extra = None if carried is None else np.concatenate([self.carried[q], extra])
         order = np.lexsort((names, -scores))[:k]
         self.score[q], self.chunk[q] = scores[order], names[order]
+        self.carried[q] = None if extra is None else extra[order]
         if len(order) == k:
             self.bar[q] = self.score[q][-1]
 
@@ -155,15 +164,18 @@ class Best:
         query = [self.block.ids[q] for q in used for _ in self.score[q]]
         chunk = [c for q in used for c in self.chunk[q].tolist()]
         score = [float(s) for q in used for s in self.score[q]]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(query, self.block.query_type),
-                pa.array(chunk, self.block.id_type),
-                pa.array([stage] * len(chunk), pa.string()),
-                pa.array(score, pa.float64()),
-            ],
-            ["query_id", "chunk_id", "stage", "score"],
-        )
+        arrays = [
+            pa.array(query, self.block.query_type),
+            pa.array(chunk, self.block.id_type),
+            pa.array([stage] * len(chunk), pa.string()),
+            pa.array(score, pa.float64()),
+        ]
+        names = ["query_id", "chunk_id", "stage", "score"]
+        if self.block.carry:
+            held = [c for q in used for c in self.carried[q].tolist()]
+            arrays.append(pa.array(held, pa.string()))
+            names.append(self.block.carry)
+        return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def _score(
@@ -177,6 +189,9 @@ def _score(
         for start in range(0, batch.num_rows, tile):
             part = pa.Table.from_batches([batch.slice(start, tile)])
             ids = np.asarray(part["chunk_id"].to_pylist())
+            carried = None
+            if block.carry:
+                carried = part[block.carry].to_numpy()
             closed = None
             if options.get("skip_self"):
                 closed = ids[:, None] >= query_ids[None, :]
@@ -195,7 +210,7 @@ def _score(
                 for members, mask in masks:
                     rows = np.arange(len(ids)) if mask is None else np.flatnonzero(mask)
                     if len(rows):
-                        best[leg].offer_all(members, rows, matrix, ids)
+                        best[leg].offer_all(members, rows, matrix, ids, carried)
     for leg in legs:
         yield best[leg].rows(leg)
 
@@ -212,13 +227,15 @@ def score_topk(
     k: int,
     options: dict | None = None,
     broadcast_queries: int = BROADCAST_QUERIES,
+    carry: str | None = None,
 ) -> DataFrame:
     """Best ``k`` chunks per query and leg: ``query_id, chunk_id, stage, score, rank``.
 
     Chunks: ``chunk_id`` with ``dense`` and/or ``terms``, plus the filter columns
     ``domain, document_id, acl, chunk_type`` that the queries use. Queries:
     ``query_id``, the same vectors, optional filters (``acl`` and ``chunk_types``
-    as arrays) and optional ``top_k`` (NULL or 0: ``k``).
+    as arrays) and optional ``top_k`` (NULL or 0: ``k``). ``carry`` names one string
+    column of the chunks to hand through, such as the document id.
     """
     options = options or {}
     spark = chunks.sparkSession
@@ -227,7 +244,7 @@ def score_topk(
     used = [c for c in FILTERS if c in queries.columns and c in chunks.columns]
     if "chunk_types" in queries.columns and "chunk_type" not in used:
         used.append("chunk_type")
-    extra = options.get("columns", [])
+    extra = [*options.get("columns", []), *([carry] if carry and carry not in used else [])]
     chunks = chunks.select("chunk_id", *legs_columns(legs), *used, *extra)
     query_type, id_type = _arrow(queries, "query_id"), _arrow(chunks, "chunk_id")
     names = {"bigint": "bigint", "int": "int", "string": "string"}
@@ -235,11 +252,11 @@ def score_topk(
         f"query_id {names[queries.schema['query_id'].dataType.simpleString()]},"
         f"chunk_id {names[chunks.schema['chunk_id'].dataType.simpleString()]},"
         "stage string, score double"
-    )
+    ) + (f", {carry} string" if carry else "")
 
     def build(rows: pa.Table) -> QueryBlock:
         block = QueryBlock(rows, k, id_type)
-        block.query_type = query_type
+        block.query_type, block.carry = query_type, carry
         return block
 
     # Bounded look: one row more than the limit is enough to decide.

@@ -628,7 +628,7 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 
 def _reranked(spark: SparkSession, sf: str) -> DataFrame:
     docs, asked = _documents_and_queries(spark, sf)
-    fused = retrieval.rrf_fuse(_both_hits(spark, sf)).drop("score", "stage")
+    fused = retrieval.rrf_fuse(_both_hits(spark, sf)).drop("score", "stage", "document_id")
     asked = asked.select("query_id", "query")
     return retrieval.rerank_topk(fused.join(docs, "chunk_id").join(asked, "query_id"))
 
@@ -681,12 +681,13 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("general").alias("domain"),
         )
     ).drop("domain")
-    # The text is fetched by cutting again: narrow work without vectors, cheaper
-    # than writing and reading vectors of every chunk.
+    # Only the documents that were hit are cut again to fetch their text.
     found = retrieval.hybrid_search(
-        coded.drop("document_id"),
+        coded,
         retrieval.with_vectors(asked, "general"),
-        lambda fused: cut(docs).select("chunk_id", "document_id", "text"),
+        lambda hit: cut(docs.join(hit, "document_id", "left_semi")).select(
+            "chunk_id", "document_id", "text"
+        ),
     )
     counted = budget.with_token_counts(found, F.lit(rules.SYSTEM_PROMPTS["general"]))
     return budget.fit_budget(counted, n_ctx=1800).select(
@@ -708,7 +709,7 @@ def _fit(spark: SparkSession, sf: str, fused: DataFrame | None = None) -> DataFr
     """Fused hits as ranked chunks under a small budget."""
     docs, asked = _documents_and_queries(spark, sf)
     fused = fused or retrieval.rrf_fuse(_both_hits(spark, sf))
-    rows = fused.join(docs.drop("domain", "doc_id"), "chunk_id").join(
+    rows = fused.drop("document_id").join(docs.drop("domain", "doc_id"), "chunk_id").join(
         asked.select("query_id", "query"), "query_id"
     )
     counted = budget.with_token_counts(rows, F.lit(rules.SYSTEM_PROMPTS["general"]))
