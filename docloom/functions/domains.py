@@ -9,16 +9,20 @@ from docloom import rules
 from docloom.functions.text import strip
 
 
+# The built-in domains plus those added by ``plans.extension.register_domain``.
+KNOWN: list[str] = list(rules.DOMAINS)
+
+
 def normalise_domain(raw: Column, default: str = "general") -> Column:
     """Lenient form: trimmed and lower-cased; unknown or missing becomes ``default``."""
     clean = F.lower(strip(raw))
-    return F.when(clean.isin(*rules.DOMAINS), clean).otherwise(F.lit(default))
+    return F.when(clean.isin(*KNOWN), clean).otherwise(F.lit(default))
 
 
 def valid_domain(raw: Column) -> Column:
     """Strict form: the clean value, or NULL when it must be rejected."""
     clean = F.lower(strip(raw))
-    return F.when(clean.isin(*rules.DOMAINS), clean)
+    return F.when(clean.isin(*KNOWN), clean)
 
 
 def ingest_domain(form: Column, header: Column) -> Column:

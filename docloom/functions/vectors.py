@@ -64,16 +64,17 @@ def hashed_encoder(width: int) -> Callable[[Column], Column]:
     return lambda text: encode(tokens(text))
 
 
-_DENSE: dict[str, Callable[[Column], Column]] = {}
+ENCODERS: dict[str, Callable[[Column], Column]] = {}
 
 
 def register_encoder(domain: str, encoder: Callable[[Column], Column]) -> None:
     """Use ``encoder`` (text column in, ``array<float>`` column out) for ``domain``."""
-    _DENSE[domain] = encoder
+    ENCODERS[domain] = encoder
 
 
 def encode_dense(text: Column, domain: str) -> Column:
-    encoder = _DENSE.get(domain) or hashed_encoder(rules.VECTOR_WIDTH[domain])
+    width = rules.VECTOR_WIDTH.get(domain, rules.VECTOR_WIDTH["general"])
+    encoder = ENCODERS.get(domain) or hashed_encoder(width)
     return encoder(text)
 
 

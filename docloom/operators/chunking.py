@@ -159,21 +159,21 @@ def chunk_domain(
 
 
 Chunker = Callable[[DataFrame, int | None], DataFrame]
-_CHUNKERS: dict[str, Chunker] = {
+CHUNKERS: dict[str, Chunker] = {
     d: (lambda df, cap, d=d: chunk_domain(df, d, max_chunks=cap)) for d in rules.DOMAINS
 }
 
 
 def register_chunker(domain: str, chunker: Chunker) -> None:
     """Use ``chunker`` (documents and chunk cap in, chunk table out) for ``domain``."""
-    _CHUNKERS[domain] = chunker
+    CHUNKERS[domain] = chunker
 
 
 def chunk_documents(documents: DataFrame, max_chunks: int | None = None) -> DataFrame:
     """Chunk every document with the chunker of its ``domain``."""
     parts = [
         chunker(documents.where(F.col("domain") == domain), max_chunks)
-        for domain, chunker in _CHUNKERS.items()
+        for domain, chunker in CHUNKERS.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import vectors as V
+from docloom.functions.domains import KNOWN
 
 
 def add_vectors(df: DataFrame, domain: str, text: str = "text") -> DataFrame:
@@ -20,7 +21,7 @@ def add_vectors(df: DataFrame, domain: str, text: str = "text") -> DataFrame:
 
 def add_vectors_by_domain(df: DataFrame, text: str = "text") -> DataFrame:
     """Every domain's rows with that domain's encoder."""
-    parts = [add_vectors(df.where(F.col("domain") == d), d, text) for d in rules.DOMAINS]
+    parts = [add_vectors(df.where(F.col("domain") == d), d, text) for d in KNOWN]
     return reduce(DataFrame.unionByName, parts)
 
 

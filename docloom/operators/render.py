@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import rules
+from docloom.functions.domains import KNOWN
 from docloom.functions.guards import asks_diagnosis
 from docloom.functions.text import strip
 
@@ -128,7 +129,7 @@ def render_prompts(
     ``queries``: ``query_id, query, domain``. At most a handful of chunks per
     query survive reranking, so the ordered list per query is small.
     """
-    prompts = system_prompts or rules.SYSTEM_PROMPTS
+    prompts = rules.SYSTEM_PROMPTS | (system_prompts or {})
     ordered = F.array_sort(F.collect_list(F.struct("position", "block")))
     contexts = (
         context_blocks(kept)
@@ -141,6 +142,8 @@ def render_prompts(
     rows = queries.join(contexts, "query_id", "left").fillna(0, ["n_blocks"])
 
     def prompt(domain: str) -> Column:
+        own = prompts.get(domain, prompts["general"])
+        domain = domain if domain in rules.DOMAINS else "general"
         before, after = rules.CONTEXT_HEADING[domain].replace("{today}", today).split("{n}")
         note = (
             F.when(asks_diagnosis(F.col("query")), rules.NOTE_DIAGNOSIS).otherwise("")
@@ -151,7 +154,7 @@ def render_prompts(
         # Only the medical frame keeps a line for the note, even when it is empty.
         gap = "\n" if domain == "medical" else "\n\n"
         return F.concat(
-            F.lit(f"{prompts[domain]}\n\n---\n\n{before}"),
+            F.lit(f"{own}\n\n---\n\n{before}"),
             F.col("n_blocks").cast("string"),
             F.lit(f"{after}\n\n"),
             F.coalesce("context", F.lit(rules.EMPTY_CONTEXT[domain])),
@@ -161,7 +164,7 @@ def render_prompts(
         )
 
     text = F.lit(None).cast("string")
-    for domain in rules.DOMAINS:
+    for domain in KNOWN:
         text = F.when(F.col("domain") == domain, prompt(domain)).otherwise(text)
     return rows.select("query_id", "domain", "n_blocks", text.alias("prompt"))
 

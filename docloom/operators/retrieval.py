@@ -14,7 +14,8 @@ from docloom import rules
 from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.functions.arrays import let
-from docloom.operators.scoring import score_topk
+from docloom.functions.domains import KNOWN
+from docloom.operators.scoring import score_topk, with_list_filters
 from docloom.session import materialise
 
 
@@ -39,6 +40,7 @@ def filtered_candidates(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     the others are answered from a small roll-up by domain, access tag and type.
     An absent or empty filter adds no condition.
     """
+    queries = with_list_filters(queries)
     free = lambda c: F.col(c).isNull() | (F.col(c) == "")
     open_list = lambda c: F.col(c).isNull() | (F.size(c) == 0)
     facets = chunks.groupBy("document_id", "domain", "acl", "chunk_type").agg(
@@ -63,7 +65,7 @@ def filtered_candidates(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     each_domain = asked.where(free("q_document")).withColumn(
         "domain_key",
         F.explode(
-            F.when(free("q_domain"), F.array(*[F.lit(d) for d in rules.DOMAINS])).otherwise(
+            F.when(free("q_domain"), F.array(*[F.lit(d) for d in KNOWN])).otherwise(
                 F.array("q_domain")
             )
         ),
@@ -149,7 +151,7 @@ def near_dup_chunks(existing: DataFrame, incoming: DataFrame, threshold: float)
     """
     hits = score_topk(
         existing,
-        incoming.withColumnRenamed("chunk_id", "query_id"),
+        incoming.select(F.col("chunk_id").alias("query_id"), "dense"),
         ("dense",),
         1,
         {"threshold": threshold},

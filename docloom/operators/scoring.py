@@ -220,6 +220,15 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 
 
+def with_list_filters(queries: DataFrame) -> DataFrame:
+    """Allow one value as well as a list for the filters that take any of several."""
+    for name in ("acl", "chunk_types"):
+        if name in queries.columns and queries.schema[name].dataType.simpleString() == "string":
+            one = F.when(F.col(name) != "", F.array(F.col(name)))
+            queries = queries.withColumn(name, one)
+    return queries
+
+
 def score_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -240,7 +249,7 @@ def score_topk(
     options = options or {}
     spark = chunks.sparkSession
     needed = {"query_id", "top_k", "chunk_types", "code", *legs_columns(legs), *FILTERS}
-    queries = queries.select(*[c for c in queries.columns if c in needed])
+    queries = with_list_filters(queries.select(*[c for c in queries.columns if c in needed]))
     used = [c for c in FILTERS if c in queries.columns and c in chunks.columns]
     if "chunk_types" in queries.columns and "chunk_type" not in used:
         used.append("chunk_type")
