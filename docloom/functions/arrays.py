@@ -8,13 +8,33 @@ nothing is shuffled and no group can become hot.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK = 256
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Reuse a large column built from plain arguments.
+
+    Building thousands of nested calls over the Python-JVM bridge takes seconds;
+    a finished column refers to its inputs by name and fits any DataFrame.
+    """
+    held: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def run(*args, **kwargs) -> Column:
+        key = (id(SparkContext._gateway), args, tuple(sorted(kwargs.items())))
+        if key not in held:
+            held[key] = build(*args, **kwargs)
+        return held[key]
+
+    return run
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from docloom import rules
 from docloom.functions.arrays import let
@@ -36,32 +37,37 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def hashed_encoder(width: int) -> Callable[[Column], Column]:
+@F.pandas_udf(ArrayType(FloatType()))
+def _hash_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    number_of: dict[str, int] = {}
+
+    def number(word: str) -> int:
+        found = number_of.get(word)
+        if found is None:
+            digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+            found = int(digest[:8], 16)
+            if len(number_of) < 500_000:
+                number_of[word] = found
+        return found
+
+    for words_of_rows, widths in batches:
+        rows = []
+        for words, width in zip(words_of_rows, widths, strict=True):
+            buckets = np.fromiter((number(w) for w in words), np.int64, len(words)) % width
+            counts = np.bincount(buckets, minlength=width).astype(np.float64)
+            length = np.sqrt(counts @ counts)
+            rows.append((counts / length if length else counts).astype(np.float32))
+        yield pd.Series(rows)
+
+
+def hashed_encoder(width: int | Column) -> Callable[[Column], Column]:
     """Default dense encoder: unit-norm counts of tokens hashed to ``width`` buckets.
 
-    The bucket of a token is the first 32 bits of its MD5 modulo ``width``.
+    The bucket of a token is the first 32 bits of its MD5 modulo ``width``, which
+    may be a column, so rows of different domains share one pass.
     """
-
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bucket_of: dict[str, int] = {}
-        for batch in batches:
-            rows = []
-            for words in batch:
-                counts = np.zeros(width)
-                for word in words:
-                    bucket = bucket_of.get(word)
-                    if bucket is None:
-                        digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-                        bucket = int(digest[:8], 16) % width
-                        if len(bucket_of) < 500_000:
-                            bucket_of[word] = bucket
-                    counts[bucket] += 1
-                length = np.sqrt(counts @ counts)
-                rows.append((counts / length if length else counts).astype(np.float32))
-            yield pd.Series(rows)
-
-    return lambda text: encode(tokens(text))
+    size = width if isinstance(width, Column) else F.lit(width)
+    return lambda text: _hash_counts(tokens(text), size)
 
 
 ENCODERS: dict[str, Callable[[Column], Column]] = {}

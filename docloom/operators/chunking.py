@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as T
-from docloom.functions.arrays import let
+from docloom.functions.arrays import built_once, let
 from docloom.functions.ids import chunk_id, table_id
 from docloom.operators import elements as E
 from docloom.operators import entities as N
@@ -106,29 +106,19 @@ def unit_chunks(unit: Column, domain: str, cap_tables: bool = False) -> Column:
     return flow.otherwise(plain)
 
 
-def chunk_array(content: Column, domain: str, cap_tables: bool = False) -> Column:
+@built_once
+def document_chunks(domain: str, cap_tables: bool = False, content: str = "content") -> Column:
     """All chunks of one document as an array; the position is the chunk index."""
-    gathered = E.units(E.elements(T.unix_lines(content), domain), domain)
-    if domain == "financial":
-        gathered = E.attach_footnotes(gathered)
+    gathered = E.document_units(domain, content)
     return F.flatten(
         let(gathered, lambda us: F.transform(us, lambda u: unit_chunks(u, domain, cap_tables)))
     )
 
 
-def chunk_domain(
-    documents: DataFrame,
-    domain: str,
-    cap_tables: bool = False,
-    max_chunks: int | None = None,
+def _explode_chunks(
+    documents: DataFrame, array: Column, medical: Column, max_chunks: int | None
 ) -> DataFrame:
-    """Chunk table of documents that all use one domain's chunker.
-
-    In: ``document_id, content`` plus any further columns, which are kept. With
-    ``max_chunks`` only the first chunks of a document are kept and
-    ``sparse_enabled`` tells whether the document is small enough for sparse
-    terms; both are decided inside the row, before anything is exploded.
-    """
+    """One row per chunk. The cap and the sparse flag are decided inside the row."""
 
     def capped(chunks: Column) -> Column:
         kept = chunks if max_chunks is None else F.slice(chunks, 1, F.lit(max_chunks))
@@ -136,32 +126,40 @@ def chunk_domain(
         flag = small <= rules.SPARSE_MAX_CHUNKS
         return F.transform(kept, lambda c: c.withField("sparse_enabled", flag))
 
-    array = let(chunk_array(F.col("content"), domain, cap_tables), capped)
-    chunks = documents.select(
+    rows = documents.select(
         *[c for c in documents.columns if c != "content"],
-        F.posexplode(array).alias("chunk_index", "_chunk"),
+        F.posexplode(let(array, capped)).alias("chunk_index", "_chunk"),
     )
-    chunks = chunks.select(
-        *[c for c in chunks.columns if c != "_chunk"],
+    rows = rows.select(
+        *[c for c in rows.columns if c != "_chunk"],
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         "_chunk.*",
     ).withColumnRenamed("page", "page_number")
     if max_chunks is None:
-        chunks = chunks.drop("sparse_enabled")
-    entities = (
-        F.when(
-            F.col("chunk_type") != "header", N.extract_entities(F.col("text"))
-        ).otherwise(F.expr("cast(array() as array<string>)"))
-        if domain == "medical"
-        else F.lit(None).cast("array<string>")
-    )
-    return chunks.withColumn("entities", entities)
+        rows = rows.drop("sparse_enabled")
+    none = F.expr("cast(array() as array<string>)")
+    found = F.when(F.col("chunk_type") != "header", N.extract_entities(F.col("text")))
+    return rows.withColumn("entities", F.when(medical, F.coalesce(found, none)))
+
+
+def chunk_domain(
+    documents: DataFrame,
+    domain: str,
+    cap_tables: bool = False,
+    max_chunks: int | None = None,
+) -> DataFrame:
+    """Chunk table of documents that all use one domain's chunker.
+
+    In: ``document_id, content`` plus any further columns, which are kept. With
+    ``max_chunks`` only the first chunks of a document are kept and
+    ``sparse_enabled`` tells whether the document is small enough for sparse terms.
+    """
+    array = document_chunks(domain, cap_tables)
+    return _explode_chunks(documents, array, F.lit(domain == "medical"), max_chunks)
 
 
 Chunker = Callable[[DataFrame, int | None], DataFrame]
-CHUNKERS: dict[str, Chunker] = {
-    d: (lambda df, cap, d=d: chunk_domain(df, d, max_chunks=cap)) for d in rules.DOMAINS
-}
+CHUNKERS: dict[str, Chunker] = {}  # domains with a chunker of their own
 
 
 def register_chunker(domain: str, chunker: Chunker) -> None:
@@ -170,10 +168,23 @@ def register_chunker(domain: str, chunker: Chunker) -> None:
 
 
 def chunk_documents(documents: DataFrame, max_chunks: int | None = None) -> DataFrame:
-    """Chunk every document with the chunker of its ``domain``."""
-    parts = [
-        chunker(documents.where(F.col("domain") == domain), max_chunks)
-        for domain, chunker in CHUNKERS.items()
+    """Chunk every document with the chunker of its ``domain``.
+
+    The built-in chunkers run in one pass over the documents, chosen per row;
+    only domains with a registered chunker are split off.
+    """
+    built_in = [d for d in rules.DOMAINS if d not in CHUNKERS]
+    domain = F.col("domain")
+    parts = []
+    if built_in:
+        choices = [F.when(domain == d, document_chunks(d)) for d in built_in]
+        array = F.coalesce(*choices)
+        mine = documents if not CHUNKERS else documents.where(domain.isin(built_in))
+        medical = F.lit("medical" in built_in) & (domain == "medical")
+        parts.append(_explode_chunks(mine, array, medical, max_chunks))
+    parts += [
+        chunker(documents.where(domain == name), max_chunks)
+        for name, chunker in CHUNKERS.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

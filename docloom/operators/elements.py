@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as T
-from docloom.functions.arrays import empty, let, scan
+from docloom.functions.arrays import built_once, empty, let, scan
 
 ELEMENT = "struct<kind:string,text:string,page:int>"
 JSON_ELEMENTS = (
@@ -294,5 +294,13 @@ def attach_footnotes(unit_array: Column) -> Column:
     return let(unit_array, run)
 
 
-def with_elements(documents: DataFrame, domain: str, content: str = "content") -> DataFrame:
-    return documents.withColumn("elements", elements(F.col(content), domain))
+@built_once
+def document_elements(domain: str, content: str = "content") -> Column:
+    return elements(T.unix_lines(F.col(content)), domain)
+
+
+@built_once
+def document_units(domain: str, content: str = "content") -> Column:
+    """Units of a document column; for financial text with footnotes at their tables."""
+    gathered = units(document_elements(domain, content), domain)
+    return attach_footnotes(gathered) if domain == "financial" else gathered

@@ -20,8 +20,19 @@ def add_vectors(df: DataFrame, domain: str, text: str = "text") -> DataFrame:
 
 
 def add_vectors_by_domain(df: DataFrame, text: str = "text") -> DataFrame:
-    """Every domain's rows with that domain's encoder."""
-    parts = [add_vectors(df.where(F.col("domain") == d), d, text) for d in KNOWN]
+    """Every row with its domain's encoder.
+
+    Domains on the default encoder share one pass with the width as a column;
+    only domains with an encoder of their own are split off.
+    """
+    own = [d for d in KNOWN if d in V.ENCODERS]
+    width = F.lit(rules.VECTOR_WIDTH["general"])
+    for domain, size in rules.VECTOR_WIDTH.items():
+        width = F.when(F.col("domain") == domain, size).otherwise(width)
+    shared = (df.where(~F.col("domain").isin(own)) if own else df).withColumns(
+        {"dense": V.hashed_encoder(width)(F.col(text)), "terms": V.term_weights(F.col(text))}
+    )
+    parts = [shared, *[add_vectors(df.where(F.col("domain") == d), d, text) for d in own]]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -313,7 +313,7 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 def _classified(spark: SparkSession, sf: str, domain: str) -> DataFrame:
     return (
         derive.structured_documents(spark, sf)
-        .select("doc_id", F.posexplode(elements.elements(F.col("content"), domain)).alias("pos", "e"))
+        .select("doc_id", F.posexplode(elements.document_elements(domain)).alias("pos", "e"))
         .select("doc_id", "pos", "e.kind", "e.text")
     )
 
@@ -341,10 +341,9 @@ def clinical_section(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf: str, domain: str) -> DataFrame:
-    gathered = elements.units(elements.elements(F.col("content"), domain), domain)
     return (
         derive.structured_documents(spark, sf)
-        .select("doc_id", F.posexplode(gathered).alias("unit_no", "u"))
+        .select("doc_id", F.posexplode(elements.document_units(domain)).alias("unit_no", "u"))
         .select("doc_id", "unit_no", "u.*")
     )
 
@@ -437,12 +436,8 @@ def table_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def attach_footnotes(spark: SparkSession, sf: str) -> DataFrame:
-    gathered = elements.units(elements.elements(F.col("content"), "financial"), "financial")
-    noted = elements.attach_footnotes(gathered)
-    return (
-        derive.structured_documents(spark, sf)
-        .select("doc_id", F.posexplode(noted).alias("unit_no", "u"))
-        .select("doc_id", "unit_no", "u.kind", "u.text", "u.notes", "u.section")
+    return _units(spark, sf, "financial").select(
+        "doc_id", "unit_no", "kind", "text", "notes", "section"
     )
 
 
