@@ -113,7 +113,7 @@ def term_weights(text: Column) -> Column:
         )
 
     return let(
-        F.array_sort(tokens(text)),
+        F.sort_array(tokens(text)),
         lambda words: F.when(F.size(words) > 0, count_runs(words)).otherwise(
             F.expr("cast(array() as array<struct<token:string,weight:double>>)")
         ),

@@ -92,7 +92,7 @@ def merge_span_array(spans: Column) -> Column:
         )
 
     return scan(
-        F.array_sort(spans),
+        F.sort_array(spans),
         F.lit(None).cast(SPAN),
         step,
         SPAN,

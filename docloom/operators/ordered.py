@@ -22,7 +22,7 @@ def concat_ordered(
     """
 
     def join(df: DataFrame, by: list[str], at: str, out: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(at), F.col(out))))
+        ordered = F.sort_array(F.collect_list(F.struct(F.col(at), F.col(out))))
         return df.groupBy(*by).agg(
             F.array_join(F.transform(ordered, lambda r: r[out]), separator).alias(out)
         )

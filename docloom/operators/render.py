@@ -130,7 +130,7 @@ def render_prompts(
     query survive reranking, so the ordered list per query is small.
     """
     prompts = rules.SYSTEM_PROMPTS | (system_prompts or {})
-    ordered = F.array_sort(F.collect_list(F.struct("position", "block")))
+    ordered = F.sort_array(F.collect_list(F.struct("position", "block")))
     contexts = (
         context_blocks(kept)
         .groupBy("query_id")
@@ -194,7 +194,7 @@ def request_metadata(
         .agg(
             used.alias("chunks_used"),
             (F.count(F.lit(1)) - used).alias("chunks_dropped"),
-            F.array_sort(F.collect_list(source)).alias("sources"),
+            F.sort_array(F.collect_list(source)).alias("sources"),
         )
     )
     return (

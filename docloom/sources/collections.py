@@ -108,16 +108,23 @@ class ChunkStore:
         self._write(upsert_chunks(old, new, version))
 
     def delete(self, document_ids: DataFrame) -> None:
-        """Remove all chunks of the given documents from the buckets that hold them."""
+        """Remove all chunks of the given documents from the buckets that hold them.
+
+        Buckets that keep rows are rewritten first; a bucket left empty writes no
+        file, so its folder is dropped afterwards.
+        """
+        parts = lambda df: {
+            (r["domain"], r["bucket"]) for r in df.select("domain", "bucket").distinct().collect()
+        }
         doomed = self._bucketed(document_ids.select("document_id").distinct())
         touched = [r["bucket"] for r in doomed.select("bucket").distinct().collect()]
         stored = self.read().where(F.col("bucket").isin(touched))
-        # A bucket that becomes empty writes no file, so its folder goes first.
-        left = delete_document(stored, doomed)
-        staged = materialise(left, "chunks")
-        for part in stored.select("domain", "bucket").distinct().collect():
-            self._drop(f"domain={part['domain']}/bucket={part['bucket']}")
-        self._write(staged)
+        before = parts(stored)
+        left = materialise(delete_document(stored, doomed), "chunks")
+        emptied = before - parts(left)
+        self._write(left)
+        for domain, bucket in emptied:
+            self._drop(f"domain={domain}/bucket={bucket}")
 
     def wipe(self, domains: tuple[str, ...] = rules.DOMAINS) -> None:
         """Drop whole collections; a missing one is skipped."""

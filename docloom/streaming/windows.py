@@ -49,7 +49,7 @@ def stream_answers(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     the watermark has passed the session gap after its last event. A running
     answer is bounded by the model's answer limit.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "content")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "content")))
     return (
         as_event_time(events)
         .where((F.col("type") == "token") & (F.col("content") != ""))
