@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import vectors as V
+from docloom.functions.arrays import let
 from docloom.functions.domains import KNOWN
 
 
@@ -93,12 +94,16 @@ def quantise_int8(
         .scalar()
     )
 
-    def to_byte(x):
-        bounded = F.greatest(F.least(x.cast("double"), F.col("clip")), -F.col("clip"))
-        return F.round(bounded / F.col("clip") * 127).cast("tinyint")
+    def to_bytes(limit):
+        def to_byte(x):
+            bounded = F.greatest(F.least(x.cast("double"), limit), -limit)
+            return F.round(bounded / limit * 127).cast("tinyint")
 
+        return F.transform(vector, to_byte)
+
+    # Bound once, so the sub-query appears once however often the limit is used.
     return (
         df.withColumn("clip", clip)
-        .withColumn("quantised", F.transform(vector, to_byte))
+        .withColumn("quantised", let(F.col("clip"), to_bytes))
         .select(key, "clip", "quantised")
     )
