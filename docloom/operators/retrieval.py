@@ -124,24 +124,20 @@ def ann_topk(
         if "code" in df.columns
         else df.withColumn("code", lsh_code(F.col("dense"), width, bits))
     )
-    chunks, queries = with_code(chunks), with_code(queries)
-    # At most 2**bits codes come back.
-    asked = [row["code"] for row in queries.select("code").distinct().collect()]
-    in_reach = [
-        c for c in range(1 << bits) if any((c ^ a).bit_count() <= radius for a in asked)
-    ]
+    queries = with_code(queries)
+    if "code" in chunks.columns:
+        # At most 2**bits codes come back.
+        asked = [row["code"] for row in queries.select("code").distinct().collect()]
+        near = [c for c in range(1 << bits) if any((c ^ a).bit_count() <= radius for a in asked)]
+        chunks = chunks.where(F.col("code").isin(near))
+    chunks = with_code(chunks)
 
     def reach(part, block) -> np.ndarray:
         mine = part["code"].to_numpy().astype(np.int64)
         return np.bitwise_count(mine[:, None] ^ block.codes[None, :].astype(np.int64)) <= radius
 
-    return score_topk(
-        chunks.where(F.col("code").isin(in_reach)),
-        queries,
-        ("dense",),
-        k,
-        {"reach": reach, "columns": ["code"]},
-    )
+    options = {"reach": reach, "columns": ["code"]}
+    return score_topk(chunks, queries, ("dense",), k, options)
 
 
 def near_dup_chunks(existing: DataFrame, incoming: DataFrame, threshold: float) -> DataFrame:

@@ -122,6 +122,8 @@ def test_approximate_search_recall_and_full_radius(spark, vectors):
     exact = {q: brute(vectors, q, 10) for q in range(30)}
     assert collect(retrieval.ann_topk(chunks, asked, 16, 10, radius=8)) == exact
     near = collect(retrieval.ann_topk(chunks, asked, 16, 10, radius=3))
+    stored = chunks.withColumn("code", retrieval.lsh_code(F.col("dense"), 16))
+    assert collect(retrieval.ann_topk(stored, asked, 16, 10, radius=3)) == near
     found = sum(len(set(exact[q]) & set(near.get(q, []))) for q in exact)
     assert found / 300 >= 0.6
 
