@@ -192,6 +192,16 @@ def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - length), length)
 
 
-def running_key(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows; the numbers hold only if the result is written before it is used twice."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+
+def joined(words: Words, keep: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space."""
+    size = np.diff(words.ends, prepend=0)
+    flat = words.flat[np.repeat(keep, size)]
+    size, row = size[keep], words.row[keep]
+    n = len(words.count)
+    later = np.zeros(len(row), np.int64)  # words that follow another one of their text
+    later[1:] = row[1:] == row[:-1]
+    place = np.arange(len(flat)) + np.repeat(np.cumsum(later), size)
+    out = np.full(len(flat) + int(later.sum()), 0x20, np.uint8)
+    out[place] = flat
+    return strings(np.cumsum(np.bincount(row, size + later, n).astype(np.int64)), out)
