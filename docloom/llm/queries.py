@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, packing, sharding, substrings, token_files
+from docloom.llm import decontamination, near_duplicates, packing, sharding, substrings
+from docloom.llm import token_files
 from docloom.llm.common import table
 from docloom.session import scratch_path
 
@@ -118,3 +119,8 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kep
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op6_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))

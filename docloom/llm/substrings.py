@@ -43,8 +43,6 @@ GRAM = 5
 GROUP_ROWS = 100_000
 #: Occurrences that a task combines at once.
 BLOCK = 2_000_000
-#: Bits of the filter that tells which documents need not move.
-FILTER_BITS = 22
 
 
 def _fold(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -116,24 +114,6 @@ def shared_prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     )
 
 
-def _bits(ids: DataFrame, name: str) -> DataFrame:
-    """A filter over ids: at most 2**FILTER_BITS / 32 rows, whatever their number."""
-    bit = ids.select(F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)).alias("bit"))
-    return bit.groupBy(F.shiftright("bit", 5).alias("_slot")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("_bits")
-    )
-
-
-def _split(docs: DataFrame, bits: DataFrame, maybe: bool) -> DataFrame:
-    """Documents that the filter may contain, or those that it does not."""
-    bit = F.pmod(F.xxhash64("_doc"), F.lit(1 << FILTER_BITS))
-    held = docs.withColumn("_bit", bit).withColumn("_slot", F.shiftright("_bit", 5))
-    set_ = F.expr("shiftright(_bits, cast(_bit % 32 as int)) & 1") == 1
-    found = held.join(F.broadcast(bits), "_slot", "inner" if maybe else "left")
-    found = found.where(set_ if maybe else ~F.coalesce(set_, F.lit(False)))
-    return found.select(docs.columns)
-
-
 _GROUP = "key long, doc long, copy int, first int, n int, words string"
 
 
@@ -283,7 +263,7 @@ def repeated_spans(
     """
     shared = C.keep(shared_prefixes(docs.select("_doc", "_text"), window, gram), "prefixes")
     places = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pos").alias("_places"))
-    moved = _split(docs, _bits(shared, "doc"), True).join(places, "_doc")
+    moved = C.passing(docs, C.id_filter(shared, "doc"), "_doc").join(places, "_doc")
     rows = _suffixes(moved.select("_doc", "_copy", "_text", "_places"), window, gram)
     # Prefixes with more rows than a group may have: at most all rows / group_rows.
     large = C.keep(
@@ -362,8 +342,8 @@ def remove_repeats(
     )
     known = rows.where(F.col("_doc").isNotNull())
     spans = C.keep(repeated_spans(known.drop(key), window, gram, group_rows), "spans")
-    bits = _bits(spans, "_doc")
-    touched = _split(rows, bits, True).join(spans, ["_doc", "_copy"], "left")
-    others = _split(rows, bits, False).withColumn("_spans", F.lit(None).cast("array<array<int>>"))
+    held = C.id_filter(spans, "_doc")
+    touched = C.passing(rows, held, "_doc").join(spans, ["_doc", "_copy"], "left")
+    others = C.passing(rows, held, "_doc", maybe=False).withColumn("_spans", F.lit(None).cast("array<array<int>>"))
     columns = [key, "_text", "_spans"]
     return _rebuild(touched.select(columns), key).unionByName(_rebuild(others.select(columns), key))
