@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, near_duplicates, packing, sharding, substrings
-from docloom.llm import token_files
+from docloom.llm import decontamination, line_rules, near_duplicates, packing, sharding
+from docloom.llm import substrings, token_files
 from docloom.llm.common import table
 from docloom.session import scratch_path
 
@@ -124,3 +124,51 @@ FROM d LEFT JOIN kept USING (doc_id)
 @query
 def op6_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_rules.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+ORACLES["op10_line_cleaning"] = r"""
+WITH d AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+tri AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
+  FROM (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c
+        FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) >= 3))),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM tri WHERE n > 1) GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         length(array_to_string(lines, '')) AS chars,
+         length(array_to_string(list_filter(lines, lambda x:
+           regexp_matches(x, '[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}]["''\x{201D}\x{2019}\x{BB})\]]*[\x20\x09-\x0D]*$')
+           AND len(regexp_extract_all(x, '[#*$%&|<>]|!!')) * 100 <= length(x) * 5
+           AND NOT (length(x) > 20 AND x = upper(x) AND x <> lower(x))
+           AND NOT regexp_matches(x, '([|\x{BB}\x{203A}\x{2022}\x{2192}][^|\x{BB}\x{203A}\x{2022}\x{2192}]{0,40}){3,}')
+           AND NOT regexp_matches(lower(x), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|we use cookies|accept (all )?cookies|enable javascript|copyright \(c\)|\x{A9}|click here to|subscribe to our|sign up for our|follow us on|share this (page|article|post)')), '')) AS left_chars
+  FROM d LEFT JOIN rep USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * left_chars >= 50 * chars AS kept
+FROM counted
+"""
