@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontamination, line_rules, near_duplicates, packing, sharding
-from docloom.llm import substrings, token_files
+from docloom.llm import substrings, token_files, warc
 from docloom.llm.common import table
 from docloom.session import scratch_path
 
@@ -172,3 +172,33 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * left_chars >= 50 * chars AS kept
 FROM counted
 """
+
+
+@query
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path, payloads=False))
+    return captures.select(
+        F.col("metadata.page_id").alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        F.col("response.kind").alias("record_type"),
+        F.col("refers_to.page_id").alias("refers_to"),
+    )
+
+
+ORACLES["op3_warc_transactions"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS lead,
+         array_to_string(list_transform(range(0, 32), lambda k:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+             1 + ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)]), '') AS payload_digest
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM d
+"""
