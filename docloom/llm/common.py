@@ -24,6 +24,14 @@ STEP_BYTES = 8 << 20
 #: Rows of one Arrow batch sent to Python.
 BATCH_ROWS = 2000
 
+#: Common function words of some European languages (fixed values).
+FUNCTION_WORDS = (
+    "the of and to in is that for it with as was on be by at this from are or an not have "
+    "le la les de des du un une et est que qui dans pour sur par avec pas au "
+    "der die das und ist von den mit zu im für nicht auf ein eine dem sich auch als "
+    "el los las y en que del se por con una su para es al lo"
+).split()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

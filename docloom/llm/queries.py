@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, line_rules, near_duplicates, packing, sharding
-from docloom.llm import substrings, token_files, warc
+from docloom.llm import decontamination, html_blocks, line_rules, near_duplicates, packing
+from docloom.llm import quality, sharding, substrings, token_files, warc
 from docloom.llm.common import table
 from docloom.session import scratch_path
 
@@ -202,3 +202,20 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id <> lead THEN lead END AS refers_to
 FROM d
 """
+
+
+@query
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine).select(
+        "doc_id",
+        F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
