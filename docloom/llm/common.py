@@ -238,3 +238,13 @@ def passing(rows: DataFrame, held: DataFrame, name: str, maybe: bool = True) ->
     found = found.join(F.broadcast(held), "_slot", "inner" if maybe else "left")
     hit = F.coalesce(F.expr("shiftright(_bits, cast(_bit % 32 as int)) & 1") == 1, F.lit(False))
     return found.where(hit if maybe else ~hit).select(rows.columns)
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``dropped`` (written, as it is read twice).
+
+    Only rows that the filter may contain are shuffled. Null keys stay.
+    """
+    held = id_filter(dropped, key)
+    sure = passing(docs, held, key, maybe=False)
+    return sure.unionByName(passing(docs, held, key).join(dropped.select(key), key, "left_anti").select(docs.columns))

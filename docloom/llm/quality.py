@@ -255,3 +255,21 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(got)], names=schema.names)
 
     return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, machine: Machine, cut: float = CUT, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, whose score is at least ``cut``."""
+    C.small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays([batch.column(at)], names=["_text"])
+            begin = 0
+            for part in C.steps(named, "_text"):
+                good = held.value.score(*_rows_of(part)) >= cut
+                yield batch.slice(begin, part.num_rows).filter(pa.array(good))
+                begin += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)

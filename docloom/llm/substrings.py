@@ -281,10 +281,10 @@ def repeated_spans(
     )
 
 
-def _rebuild(docs: DataFrame, key: str) -> DataFrame:
+def _rebuild(docs: DataFrame, carried: list[str]) -> DataFrame:
     schema = T.StructType(
         [
-            docs.schema[key],
+            *(docs.schema[c] for c in carried),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("kept", T.StringType()),
@@ -306,7 +306,7 @@ def _rebuild(docs: DataFrame, key: str) -> DataFrame:
                 left = np.bincount(words.row[keep], minlength=len(words.count))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(key),
+                        *(part.column(c) for c in carried),
                         pa.array(words.count.astype(np.int64)),
                         pa.array(words.count - left),
                         C.joined(words, keep).cast(pa.string()),
@@ -314,7 +314,7 @@ def _rebuild(docs: DataFrame, key: str) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.select(key, "_text", "_spans").mapInArrow(run, schema)
+    return docs.select(*carried, "_text", "_spans").mapInArrow(run, schema)
 
 
 def remove_repeats(
@@ -324,26 +324,31 @@ def remove_repeats(
     window: int = WINDOW,
     gram: int = GRAM,
     group_rows: int = GROUP_ROWS,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: key, n_words, n_removed, kept (the words left, joined by one space).
+    """Per row of ``docs``: key, carried columns, n_words, n_removed, kept (words left, joined by one space).
 
     A word goes if a window of ``window`` words over it also starts in a document
     with a smaller key. Keys are integers. A row with a null key neither loses
     words nor makes others lose them; rows with equal keys do not count as
     earlier than each other. Null and empty texts have no words; an empty table
-    gives no rows; further columns are not read.
+    gives no rows; columns that are not
+    ``carried`` are not read.
     """
     C.small_batches(docs.sparkSession)
+    out = list(dict.fromkeys([key, *carried]))
     rows = docs.select(
-        F.col(key),
+        *out,
         F.col(key).cast("long").alias("_doc"),
         F.hash(text).alias("_copy"),
         F.col(text).alias("_text"),
     )
     known = rows.where(F.col("_doc").isNotNull())
-    spans = C.keep(repeated_spans(known.drop(key), window, gram, group_rows), "spans")
+    spans = C.keep(
+        repeated_spans(known.select("_doc", "_copy", "_text"), window, gram, group_rows), "spans"
+    )
     held = C.id_filter(spans, "_doc")
     touched = C.passing(rows, held, "_doc").join(spans, ["_doc", "_copy"], "left")
     others = C.passing(rows, held, "_doc", maybe=False).withColumn("_spans", F.lit(None).cast("array<array<int>>"))
-    columns = [key, "_text", "_spans"]
-    return _rebuild(touched.select(columns), key).unionByName(_rebuild(others.select(columns), key))
+    columns = [*out, "_text", "_spans"]
+    return _rebuild(touched.select(columns), out).unionByName(_rebuild(others.select(columns), out))
