@@ -1,29 +1,84 @@
-"""From raw documents to packed training sequences, one stage after another."""
+"""From raw documents to packed training sequences, one stage after another.
+
+Every stage takes (spark, docs, sf_dir) with the columns of ``documents`` and, but
+for the last, returns these columns for the documents it leaves.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import packing
+from docloom.llm import decontamination, near_duplicates, packing, quality, substrings
+from docloom.llm.common import keep, table, without
 from docloom.llm.queries import tokenizer
 from docloom.session import scratch_path, ship_package
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents that the factorisation machine rejects."""
+    ship_package(spark)
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, machine)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave the document with the least id of every class; of repeated rows one stays."""
+    ship_package(spark)
+    classes = near_duplicates.near_duplicate_classes(docs).where(F.col("doc_id").isNotNull())
+    held = keep(classes, "classes")
+    dropped = held.where("doc_id <> class_id").select("doc_id").distinct()
+    left = without(docs, keep(dropped, "dropped"), "doc_id")
+    repeated = keep(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without(left, repeated, "doc_id").unionByName(once.select(left.columns))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated windows out of the texts; a document of which nothing is left goes."""
+    ship_package(spark)
+    others = tuple(c for c in docs.columns if c != "n_chars")
+    cut = substrings.remove_repeats(docs, carried=others)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return (
+        cut.where("n_removed = 0 or n_removed < n_words")
+        .withColumn("text", text)
+        .withColumn("n_chars", F.char_length("text").cast("long"))
+        .select(docs.columns)
+    )
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents of whose words the benchmark holds one in twenty or more."""
+    ship_package(spark)
+    hits = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    dropped = hits.where(decontamination.contaminated()).select("doc_id").distinct()
+    return without(docs, keep(dropped, "contaminated"), "doc_id")
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left as pieces of sequences of at most 2,048 tokens."""
     ship_package(spark)
     return packing.pack(docs, tokenizer())
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Tokenizers and trained models have no SQL twin; tests compare with brute force.
+#: Trained models and tokenizers have no SQL twin; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
