@@ -107,8 +107,3 @@ def running_sums(lengths: Column) -> Column:
         lambda total, n: F.struct((total + n).alias("state"), F.array(total).alias("emit")),
         "bigint",
     )
-
-
-def indices(array: Column) -> Column:
-    """0-based positions of ``array`` (empty for an empty array)."""
-    return F.transform(array, lambda _x, i: i)

@@ -34,13 +34,12 @@ def injection_message(pattern: str) -> str:
 
 
 def sanitise(query: Column, domain: Column) -> tuple[Column, Column]:
-    """Cut to the length limit and flag injection patterns; text is never removed."""
-    short = F.substring(query, 1, rules.MAX_QUERY_CHARS)
-    checks = [(F.length(query) > rules.MAX_QUERY_CHARS, rules.WARN_TRUNCATED)]
+    """Flag long queries and injection patterns anywhere in the text, which is kept as it is."""
+    checks = [(F.length(query) > rules.MAX_QUERY_CHARS, rules.WARN_LONG)]
     checks += [
-        (short.rlike(jvm(p, "i")), injection_message(p)) for p in rules.INJECTION_PATTERNS
+        (query.rlike(jvm(p, "i")), injection_message(p)) for p in rules.INJECTION_PATTERNS
     ]
-    return short, _warnings(*checks)
+    return query, _warnings(*checks)
 
 
 def asks_diagnosis(query: Column) -> Column:
@@ -71,8 +70,8 @@ def replace_empty(response: Column, domain: Column) -> Column:
     return F.when(empty, rules.EMPTY_RESPONSE).otherwise(response)
 
 
-def _append_once(response: Column, text: str, known_by: int, separator: str) -> Column:
-    present = F.contains(response, F.lit(text[:known_by]))
+def _append_once(response: Column, text: str, separator: str) -> Column:
+    present = F.contains(response, F.lit(text))
     return F.when(~present, F.concat(rstrip(response), F.lit(separator + text))).otherwise(response)
 
 
@@ -86,23 +85,21 @@ def forward_looking(response: Column, domain: Column) -> Column:
 
 def crisis_referral(response: Column, domain: Column) -> Column:
     hit = (domain == "medical") & response.rlike(jvm(rules.SENSITIVE_TOPICS, "i"))
-    added = _append_once(response, rules.CRISIS_REFERRAL, rules.PRESENT_CHARS["referral"], "\n\n")
+    added = _append_once(response, rules.CRISIS_REFERRAL, "\n\n")
     return F.when(hit, added).otherwise(response)
 
 
 def prescribing_note(response: Column, domain: Column) -> Column:
     hit = (domain == "medical") & response.rlike(jvm(rules.DOSE, "i"))
-    added = _append_once(
-        response, rules.PRESCRIBING_NOTE, rules.PRESENT_CHARS["prescribing"], "\n\n"
-    )
+    added = _append_once(response, rules.PRESCRIBING_NOTE, "\n\n")
     return F.when(hit, added).otherwise(response)
 
 
 def disclaimer(response: Column, domain: Column) -> Column:
     """Medical and general footers; financial answers carry none."""
     rule = rules.DISCLAIMER_RULE
-    medical = _append_once(response, rules.MEDICAL_DISCLAIMER, rules.PRESENT_CHARS["medical"], rule)
-    general = _append_once(response, rules.GENERAL_DISCLAIMER, rules.PRESENT_CHARS["general"], rule)
+    medical = _append_once(response, rules.MEDICAL_DISCLAIMER, rule)
+    general = _append_once(response, rules.GENERAL_DISCLAIMER, rule)
     return (
         F.when(domain == "medical", medical)
         .when(domain == "financial", response)

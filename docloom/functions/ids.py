@@ -37,6 +37,7 @@ def chunk_id(document_id: Column, chunk_index: Column) -> Column:
     return uuid5(F.concat_ws(":", document_id, chunk_index.cast("string")))
 
 
-def table_id(text: Column) -> Column:
-    """First 12 hex digits of the SHA-256 of the first 64 characters."""
-    return F.substring(F.sha2(F.substring(text, 1, 64), 256), 1, 12)
+def table_id(document_id: Column, position: Column, text: Column) -> Column:
+    """32 hex digits of the SHA-256 of document, place in it and whole text of a table."""
+    whole = F.concat_ws("\n", document_id, position.cast("string"), text)
+    return F.substring(F.sha2(whole, 256), 1, 32)

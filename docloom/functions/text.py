@@ -32,11 +32,8 @@ def unix_lines(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of 2 to 15 characters, in order, with repeats."""
-    return F.filter(
-        F.split(F.lower(text), rules.TOKEN_SEPARATOR),
-        lambda t: F.length(t).between(rules.TOKEN_MIN_CHARS, rules.TOKEN_MAX_CHARS),
-    )
+    """Lower-case words of any length, in order, with repeats."""
+    return F.filter(F.split(F.lower(text), rules.TOKEN_SEPARATOR), lambda t: t != F.lit(""))
 
 
 def count_tokens(text: Column) -> Column:
@@ -77,11 +74,27 @@ def hard_cut(text: Column, max_chars: int, overlap: int) -> Column:
     count = F.when(F.length(text) <= max_chars, F.lit(0)).otherwise(
         F.ceil((F.length(text) - max_chars) / F.lit(step)).cast("int")
     )
-    slices = F.transform(
-        F.sequence(F.lit(0), count),
-        lambda i: strip(F.substring(text, i * step + 1, F.lit(max_chars))),
-    )
-    return F.filter(slices, lambda s: s != F.lit(""))
+
+    def from_steps(pieces: Column) -> Column:
+        # One pass cuts the steps; a slice is a step and the begin of the steps after it.
+        return F.transform(
+            F.slice(pieces, F.lit(1), count + 1),
+            lambda piece, i: strip(
+                F.left(
+                    F.concat(
+                        piece,
+                        *[
+                            F.coalesce(F.get(pieces, i + j), F.lit(""))
+                            for j in range(1, -(-max_chars // step))
+                        ],
+                    ),
+                    F.lit(max_chars),
+                )
+            ),
+        )
+
+    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return F.filter(let(steps, from_steps), lambda s: s != F.lit(""))
 
 
 def tail(text: Column, n: int) -> Column:

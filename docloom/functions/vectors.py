@@ -32,11 +32,6 @@ def l2_normalise(vector: Column) -> Column:
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
 @F.pandas_udf(ArrayType(FloatType()))
 def _hash_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     number_of: dict[str, int] = {}
@@ -51,13 +46,19 @@ def _hash_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         return found
 
     for words_of_rows, widths in batches:
-        rows = []
-        for words, width in zip(words_of_rows, widths, strict=True):
-            buckets = np.fromiter((number(w) for w in words), np.int64, len(words)) % width
-            counts = np.bincount(buckets, minlength=width).astype(np.float64)
-            length = np.sqrt(counts @ counts)
-            rows.append((counts / length if length else counts).astype(np.float32))
-        yield pd.Series(rows)
+        sizes = words_of_rows.map(len).to_numpy(np.int64)
+        width = widths.to_numpy(np.int64)
+        begin = np.cumsum(width) - width
+        flat = np.concatenate(words_of_rows.to_list()) if sizes.sum() else np.array([], object)
+        code, distinct = pd.factorize(flat)
+        bucket = np.fromiter((number(w) for w in distinct), np.int64, len(distinct))[code]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(begin[row] + bucket % width[row], minlength=int(width.sum()))
+        counts = counts.astype(np.float64)
+        squares = np.add.reduceat(counts * counts, begin) if len(begin) else counts
+        length = np.sqrt(squares)
+        unit = counts / np.repeat(np.where(length > 0, length, 1.0), width)
+        yield pd.Series(np.split(unit.astype(np.float32), begin[1:]))
 
 
 def hashed_encoder(width: int | Column) -> Callable[[Column], Column]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.functions import text as T
 from docloom.functions.arrays import built_once, let
+from docloom.functions.domains import normalise_domain
 from docloom.functions.ids import chunk_id, table_id
 from docloom.operators import elements as E
 from docloom.operators import entities as N
@@ -26,22 +27,20 @@ SENTENCES: dict[str, Callable[[Column], Column]] = {
     "medical": N.sentences_medical,
 }
 
-CHUNK = (
-    "struct<chunk_type:string,text:string,section:string,section_raw:string,page:int,"
-    "table_id:string,row_range:string>"
-)
-
-
 def text_windows(
     text: Column, domain: str, max_chars: int | None = None, overlap: int = rules.CHUNK_OVERLAP
 ) -> Column:
     """Sentence windows of running text under the domain's size and boundary rules."""
-    size = min(max_chars or rules.CHUNK_CHARS[domain], rules.HARD_CAP_CHARS)
+    size = max_chars or rules.CHUNK_CHARS[domain]
+    if size > rules.HARD_CAP_CHARS:
+        raise ValueError(f"a window holds at most {rules.HARD_CAP_CHARS} characters")
     return T.windows(SENTENCES[domain](text), size, overlap)
 
 
-def unit_chunks(unit: Column, domain: str, cap_tables: bool = False) -> Column:
-    """The chunks of one unit, in order."""
+def unit_chunks(
+    unit: Column, position: Column, domain: str, cap_tables: bool = False
+) -> Column:
+    """The chunks of the unit at this position of its document, in order."""
     null = F.lit(None).cast("string")
 
     def chunk(kind: Column, text: Column, tid: Column = null, rows: Column = null) -> Column:
@@ -76,7 +75,7 @@ def unit_chunks(unit: Column, domain: str, cap_tables: bool = False) -> Column:
                 noted = F.when(
                     i == F.size(all_pieces) - 1, F.concat(T.strip(p["text"]), unit["notes"])
                 ).otherwise(T.strip(p["text"]))
-                return chunk(F.lit("table"), noted, table_id(text), p["row_range"])
+                return chunk(F.lit("table"), noted, table_id(F.col("document_id"), position, text), p["row_range"])
 
             return F.transform(all_pieces, one)
 
@@ -111,32 +110,27 @@ def document_chunks(domain: str, cap_tables: bool = False, content: str = "conte
     """All chunks of one document as an array; the position is the chunk index."""
     gathered = E.document_units(domain, content)
     return F.flatten(
-        let(gathered, lambda us: F.transform(us, lambda u: unit_chunks(u, domain, cap_tables)))
+        let(
+            gathered,
+            lambda us: F.transform(us, lambda u, i: unit_chunks(u, i, domain, cap_tables)),
+        )
     )
 
 
 def _explode_chunks(
     documents: DataFrame, array: Column, medical: Column, max_chunks: int | None
 ) -> DataFrame:
-    """One row per chunk. The cap and the sparse flag are decided inside the row."""
-
-    def capped(chunks: Column) -> Column:
-        kept = chunks if max_chunks is None else F.slice(chunks, 1, F.lit(max_chunks))
-        small = F.least(F.size(chunks), F.lit(max_chunks or rules.MAX_CHUNKS_PER_DOCUMENT))
-        flag = small <= rules.SPARSE_MAX_CHUNKS
-        return F.transform(kept, lambda c: c.withField("sparse_enabled", flag))
-
+    """One row per chunk; a cap, if the caller gives one, is applied inside the row."""
+    kept = array if max_chunks is None else F.slice(array, 1, F.lit(max_chunks))
     rows = documents.select(
         *[c for c in documents.columns if c != "content"],
-        F.posexplode(let(array, capped)).alias("chunk_index", "_chunk"),
+        F.posexplode(kept).alias("chunk_index", "_chunk"),
     )
     rows = rows.select(
         *[c for c in rows.columns if c != "_chunk"],
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         "_chunk.*",
     ).withColumnRenamed("page", "page_number")
-    if max_chunks is None:
-        rows = rows.drop("sparse_enabled")
     none = F.expr("cast(array() as array<string>)")
     found = F.when(F.col("chunk_type") != "header", N.extract_entities(F.col("text")))
     return rows.withColumn("entities", F.when(medical, F.coalesce(found, none)))
@@ -151,8 +145,7 @@ def chunk_domain(
     """Chunk table of documents that all use one domain's chunker.
 
     In: ``document_id, content`` plus any further columns, which are kept. With
-    ``max_chunks`` only the first chunks of a document are kept and
-    ``sparse_enabled`` tells whether the document is small enough for sparse terms.
+    ``max_chunks`` only the first chunks of a document are kept; by default all are.
     """
     array = document_chunks(domain, cap_tables)
     return _explode_chunks(documents, array, F.lit(domain == "medical"), max_chunks)
@@ -171,9 +164,11 @@ def chunk_documents(documents: DataFrame, max_chunks: int | None = None) -> Data
     """Chunk every document with the chunker of its ``domain``.
 
     The built-in chunkers run in one pass over the documents, chosen per row;
-    only domains with a registered chunker are split off.
+    only domains with a registered chunker are split off. A NULL or unknown domain
+    is chunked as general text and named so.
     """
     built_in = [d for d in rules.DOMAINS if d not in CHUNKERS]
+    documents = documents.withColumn("domain", normalise_domain(F.col("domain")))
     domain = F.col("domain")
     parts = []
     if built_in:
@@ -189,7 +184,7 @@ def chunk_documents(documents: DataFrame, max_chunks: int | None = None) -> Data
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def cap_chunks(chunks: DataFrame, limit: int = rules.MAX_CHUNKS_PER_DOCUMENT) -> DataFrame:
+def cap_chunks(chunks: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` chunks of every document, over a stored chunk table.
 
     The rank filter becomes a per-task group limit before the shuffle, so a
@@ -201,18 +196,6 @@ def cap_chunks(chunks: DataFrame, limit: int = rules.MAX_CHUNKS_PER_DOCUMENT) ->
     )
 
 
-def flag_sparse(chunks: DataFrame, limit: int = rules.SPARSE_MAX_CHUNKS) -> DataFrame:
-    """Mark chunks whose document is small enough for sparse terms, after the cap.
-
-    After ``cap_chunks`` a document has at most 100 rows, and the count reuses
-    the partitioning of the cap.
-    """
-    per_document = Window.partitionBy("document_id")
-    return cap_chunks(chunks).withColumn(
-        "sparse_enabled", F.count(F.lit(1)).over(per_document) <= limit
-    )
-
-
 def ingestion_summary(chunks: DataFrame, upserted: str = "upserted") -> DataFrame:
     """Chunks, written and failed counts per document; ``upserted`` is a boolean column."""
     return chunks.groupBy("document_id", "domain").agg(

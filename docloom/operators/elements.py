@@ -88,9 +88,7 @@ def plain_elements(content: Column, domain: str) -> Column:
 def json_elements(content: Column, domain: str) -> Column:
     """Typed elements of parsed-element JSON; NULL when the JSON is not usable."""
     kinds = F.create_map(*[F.lit(v) for v in chain(*rules.ELEMENT_KINDS[domain].items())])
-    parsed = F.from_json(content, JSON_ELEMENTS, {"mode": "FAILFAST"})
-    # A cast to VARIANT tells broken JSON apart without failing the task.
-    usable = F.try_parse_json(content).isNotNull()
+    parsed = F.from_json(content, JSON_ELEMENTS, {"mode": "PERMISSIVE"})
 
     def typed(e: Column) -> Column:
         kind = F.coalesce(
@@ -109,7 +107,11 @@ def json_elements(content: Column, domain: str) -> Column:
             text = T.strip(text)
         return _element(kind, text, e["metadata"]["page_number"])
 
-    return F.when(usable, F.transform(parsed, typed))
+    # Broken JSON is NULL as a whole; an element that is no object is NULL in its place.
+    return let(
+        parsed,
+        lambda es: F.when(~F.exists(es, lambda e: e.isNull()), F.transform(es, typed)),
+    )
 
 
 def elements(content: Column, domain: str) -> Column:

@@ -30,7 +30,7 @@ def add_vectors_by_domain(df: DataFrame, text: str = "text") -> DataFrame:
     width = F.lit(rules.VECTOR_WIDTH["general"])
     for domain, size in rules.VECTOR_WIDTH.items():
         width = F.when(F.col("domain") == domain, size).otherwise(width)
-    shared = (df.where(~F.col("domain").isin(own)) if own else df).withColumns(
+    shared = (df.where(~F.coalesce(F.col("domain").isin(own), F.lit(False))) if own else df).withColumns(
         {"dense": V.hashed_encoder(width)(F.col(text)), "terms": V.term_weights(F.col(text))}
     )
     parts = [shared, *[add_vectors(df.where(F.col("domain") == d), d, text) for d in own]]

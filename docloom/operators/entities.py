@@ -29,13 +29,22 @@ def extract_entities(text: Column, patterns: list[str] | None = None) -> Column:
     long_enough = F.filter(
         F.transform(found, T.strip), lambda e: F.length(e) >= rules.ENTITY_MIN_CHARS
     )
-    first_only = lambda items: let(
-        F.transform(items, F.lower),
-        lambda lowered: F.filter(
-            items, lambda e, i: F.array_position(lowered, F.lower(e)) == i + 1
-        ),
+    # Sorted by lower-case form and place, equal ones lie side by side and the first leads.
+    marked = F.sort_array(
+        F.transform(
+            long_enough,
+            lambda e, i: F.struct(F.lower(e).alias("low"), i.alias("i"), e.alias("e")),
+        )
     )
-    return let(long_enough, first_only)
+
+    def leaders(items: Column) -> Column:
+        first = F.filter(
+            items, lambda s, k: (k == 0) | (s["low"] != F.get(items, k - 1)["low"])
+        )
+        in_order = F.sort_array(F.transform(first, lambda s: F.struct(s["i"], s["e"])))
+        return F.transform(in_order, lambda s: s["e"])
+
+    return let(marked, leaders)
 
 
 def has_dose(text: Column) -> Column:

@@ -47,7 +47,7 @@ def list_documents(
         live.select("user_id", *columns),
         ["user_id"],
         [F.desc("created_at"), F.col("document_id")],
-        min(limit, rules.MAX_PAGE),
+        limit,
         skip,
     )
     return page.join(totals, "user_id")
@@ -62,7 +62,7 @@ def list_user_documents(
         rows.select(*[c for c in LISTED if c in rows.columns])
         .orderBy(F.desc("created_at"), "document_id")
         .offset(skip)
-        .limit(min(limit, rules.MAX_PAGE))
+        .limit(limit)
     )
 
 
@@ -78,7 +78,7 @@ def admin_documents(
         _live(registry, domain=domain, status=status)
         .orderBy(F.desc("created_at"), "document_id")
         .offset(skip)
-        .limit(min(limit, rules.MAX_ADMIN_PAGE))
+        .limit(limit)
     )
     return page.join(users.select("user_id", "email", "name"), "user_id", "left")
 
@@ -121,7 +121,7 @@ def list_sessions(
         rows,
         ["user_id"],
         [F.desc("updated_at"), F.col("session_id")],
-        min(limit, rules.MAX_PAGE),
+        limit,
         skip,
     )
 
@@ -175,7 +175,7 @@ def message_page(messages: DataFrame, cursors: DataFrame, limit: int = 50) -> Da
     message, or the first one, cuts nothing. ``has_more`` compares the page size
     with all messages of the session.
     """
-    size = min(limit, rules.MAX_PAGE)
+    size = limit
     facts = (
         messages.join(cursors, "session_id")
         .groupBy("session_id", "before")

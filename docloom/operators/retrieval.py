@@ -15,6 +15,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.functions.arrays import let
 from docloom.functions.domains import KNOWN
+from docloom.operators.encoding import add_vectors_by_domain
 from docloom.operators.scoring import score_topk, with_list_filters
 from docloom.session import materialise
 
@@ -61,16 +62,15 @@ def filtered_candidates(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     by_document = asked.where(~free("q_document")).join(
         facets, (F.col("q_document") == F.col("document_id")) & visible
     )
-    rollup = facets.groupBy("domain", "acl", "chunk_type").agg(F.sum("n").alias("n"))
-    each_domain = asked.where(free("q_document")).withColumn(
-        "domain_key",
-        F.explode(
-            F.when(free("q_domain"), F.array(*[F.lit(d) for d in KNOWN])).otherwise(
-                F.array("q_domain")
-            )
-        ),
+    # Each facet counts under its domain and, for queries open to all domains, under none.
+    rollup = (
+        facets.withColumn("facet", F.explode(F.array(F.struct("domain"), F.struct(F.lit("").alias("domain")))))
+        .groupBy(F.col("facet.domain").alias("key"), "acl", "chunk_type")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("domain", F.col("key"))
     )
-    by_facet = each_domain.join(rollup, (F.col("domain_key") == F.col("domain")) & visible)
+    each = asked.where(free("q_document")).withColumn("wanted", F.coalesce("q_domain", F.lit("")))
+    by_facet = each.join(rollup, (F.col("wanted") == F.col("key")) & visible)
     found = by_document.select("query_id", "n").unionByName(by_facet.select("query_id", "n"))
     counts = found.groupBy("query_id").agg(F.sum("n").alias("n_candidates"))
     return queries.select("query_id").join(counts, "query_id", "left").fillna(0, ["n_candidates"])
@@ -316,7 +316,7 @@ def hybrid_search(
     candidates = (
         fused.drop("stage", "score", "document_id")
         .join(rows, "chunk_id")
-        .join(queries.select("query_id", "query"), "query_id")
+        .join(queries.select("query_id", "query").distinct(), "query_id")
     )
     return rerank_topk(candidates, scorer=scorer)
 
@@ -335,6 +335,17 @@ def semantic_cache_lookup(
     )
 
 
+def with_vectors_by_domain(queries: DataFrame, text: str = "query") -> DataFrame:
+    """A row per query and domain it may search, encoded the way that domain's chunks are.
+
+    A query without a domain searches all of them. Ranks are taken over all rows of
+    a query id, so the best chunks of every domain meet in one list.
+    """
+    open_ = F.col("domain").isNull() | (F.col("domain") == "")
+    each = F.when(open_, F.array(*[F.lit(d) for d in KNOWN])).otherwise(F.array("domain"))
+    return add_vectors_by_domain(queries.withColumn("domain", F.explode(each)), text)
+
+
 def with_vectors(queries: DataFrame, domain: str, text: str = "query") -> DataFrame:
     """Encode a query table the way its chunks are encoded."""
     return queries.withColumn("dense", V.encode_dense(F.col(text), domain)).withColumn(

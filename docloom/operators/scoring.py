@@ -24,6 +24,7 @@ BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 BLOCK_ROWS = 20_000
 TILE_CELLS = 4_000_000
+MERGE_GROUPS = 64
 FILTERS = ("domain", "document_id", "acl", "chunk_type")
 
 
@@ -32,9 +33,16 @@ def round6(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
 
 
-def as_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
+def by_width(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each width; NULL and empty vectors are left out."""
+    lists = column.combine_chunks()
+    widths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    found = {}
+    for width in np.unique(widths[widths > 0]).tolist():
+        rows = np.flatnonzero(widths == width)
+        flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        found[width] = rows, flat.astype(np.float64).reshape(len(rows), width)
+    return found
 
 
 class QueryBlock:
@@ -47,9 +55,7 @@ class QueryBlock:
         n = len(self.ids)
         asked = rows["top_k"].to_pylist() if "top_k" in names else [None] * n
         self.k = [a or k for a in asked]
-        self.dense = None
-        if "dense" in names and n:
-            self.dense = as_matrix(rows["dense"])
+        self.dense = by_width(rows["dense"]) if "dense" in names and n else {}
         self.columns: dict[str, int] = {}
         if "terms" in names:
             postings: list[list[tuple[int, float]]] = []
@@ -95,7 +101,13 @@ class QueryBlock:
         return out
 
     def dense_scores(self, batch: pa.Table) -> np.ndarray:
-        return as_matrix(batch["dense"]) @ self.dense.T
+        """Scores of vectors of equal width; others never meet."""
+        out = np.full((batch.num_rows, len(self.ids)), -np.inf)
+        for width, (rows, matrix) in by_width(batch["dense"]).items():
+            if width in self.dense:
+                queries, asked = self.dense[width]
+                out[np.ix_(rows, queries)] = matrix @ asked.T
+        return out
 
     def sparse_scores(self, batch: pa.Table) -> np.ndarray:
         n, width = batch.num_rows, len(self.ids)
@@ -133,12 +145,11 @@ class Best:
                   carried: np.ndarray | None) -> None:
         """Offer ``rows`` to the queries ``members``; most queries are ruled out at once."""
         seen = matrix if len(rows) == len(matrix) else matrix[rows]
-        tops = seen.max(axis=0)
-        for q in members:
-            if tops[q] >= self.bar[q]:
-                scores = seen[:, q]
-                good = np.flatnonzero(scores >= self.bar[q])
-                self._offer(q, rows[good], scores[good], ids, carried)
+        held = np.asarray(members)
+        for q in held[seen.max(axis=0)[held] >= self.bar[held]].tolist():
+            scores = seen[:, q]
+            good = np.flatnonzero(scores >= self.bar[q])
+            self._offer(q, rows[good], scores[good], ids, carried)
 
     def _offer(self, q: int, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray,
                carried: np.ndarray | None) -> None:
@@ -169,8 +180,9 @@ class Best:
             pa.array(chunk, self.block.id_type),
             pa.array([stage] * len(chunk), pa.string()),
             pa.array(score, pa.float64()),
+            pa.array([self.block.k[q] for q in used for _ in self.score[q]], pa.int32()),
         ]
-        names = ["query_id", "chunk_id", "stage", "score"]
+        names = ["query_id", "chunk_id", "stage", "score", "_k"]
         if self.block.carry:
             held = [c for q in used for c in self.carried[q].tolist()]
             arrays.append(pa.array(held, pa.string()))
@@ -260,7 +272,7 @@ def score_topk(
     ddl = (
         f"query_id {names[queries.schema['query_id'].dataType.simpleString()]},"
         f"chunk_id {names[chunks.schema['chunk_id'].dataType.simpleString()]},"
-        "stage string, score double"
+        "stage string, score double, _k int"
     ) + (f", {carry} string" if carry else "")
 
     def build(rows: pa.Table) -> QueryBlock:
@@ -279,7 +291,7 @@ def score_topk(
         hits = chunks.mapInArrow(run, ddl)
     else:
         hits = _blocked(chunks, queries, build, legs, options, ddl)
-    return take_best(hits, queries, k)
+    return take_best(hits)
 
 
 def legs_columns(legs: tuple[str, ...]) -> list[str]:
@@ -316,13 +328,22 @@ def _blocked(chunks, queries, build, legs, options, ddl) -> DataFrame:
     )
 
 
-def take_best(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Final ranks over the per-task winners."""
-    order = Window.partitionBy("query_id", "stage").orderBy(F.desc("score"), "chunk_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order))
-    if "top_k" not in queries.columns:
-        return ranked.where(F.col("rank") <= k)
-    limits = queries.select(
-        "query_id", F.coalesce(F.nullif(F.col("top_k"), F.lit(0)), F.lit(k)).alias("_k")
+def take_best(hits: DataFrame) -> DataFrame:
+    """Final ranks over the per-task winners, by way of the winners of groups of tasks.
+
+    Every task sends its best rows of every query; the limit of a query travels with
+    them. The first level keeps the best of each group of tasks, so the last one sees
+    at most ``MERGE_GROUPS`` lists per query, however many tasks there were.
+    """
+    order = [F.desc("score"), F.col("chunk_id")]
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS))
+    level = Window.partitionBy("query_id", "stage", "_group").orderBy(*order)
+    last = Window.partitionBy("query_id", "stage").orderBy(*order)
+    return (
+        hits.withColumn("_group", group)
+        .withColumn("rank", F.row_number().over(level))
+        .where(F.col("rank") <= F.col("_k"))
+        .withColumn("rank", F.row_number().over(last))
+        .where(F.col("rank") <= F.col("_k"))
+        .drop("_group", "_k")
     )
-    return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")

@@ -292,8 +292,9 @@ def chunks(domain: str, p: str = "") -> str:
         parts.append(
             f"SELECT tp.doc_id, tp.g, piece_no, 'table', {strip('tp.text')} ||"
             f" CASE WHEN piece_no = {last} THEN notes ELSE '' END, section, section_raw,"
-            f" substr(sha256(substring(u.t, 1, 64)), 1, 12), row_range"
-            f" FROM {p}tp tp JOIN {p}un u ON u.doc_id = tp.doc_id AND u.g = tp.g"
+            f" substr(sha256('doc-' || tp.doc_id || chr(10) || u.place || chr(10) || u.t), 1, 32), row_range"
+            f" FROM {p}tp tp JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS place FROM {p}un) u"
+            f" ON u.doc_id = tp.doc_id AND u.g = tp.g"
         )
         parts.append(
             f"SELECT doc_id, g, 0, kind, {strip('t')}, section, section_raw, NULL, NULL"
@@ -317,7 +318,7 @@ def chunks(domain: str, p: str = "") -> str:
 def tokens(t: str) -> str:
     return (
         f"list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'),"
-        " lambda w: length(w) BETWEEN 2 AND 15)"
+        " lambda w: w <> '')"
     )
 
 
@@ -350,13 +351,17 @@ cand AS (SELECT query_id, chunk_id, k FROM q, c
     AND (coalesce(len(q_types), 0) = 0 OR list_contains(q_types, chunk_type)))"""
 
 
-def hits(cand: str = "cand", c: str = "c", sparse_only: str = "true") -> str:
+def hits(cand: str = "cand", c: str = "c") -> str:
     """CTEs ``dh`` and ``sh``: dense and sparse winners."""
-    order = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank"
     return f"""{dense(c, "chunk_id", "text", "cd")}, {dense("q", "query_id", "query", "qd")},
-{sparse(f"(SELECT * FROM {c} WHERE {sparse_only})", "chunk_id", "text", "cs")},
-{sparse("q", "query_id", "query", "qs")},
 ds AS (SELECT query_id, chunk_id, sum(qd.v * cd.v) AS s FROM qd JOIN cd USING (b) GROUP BY ALL),
+{winners(cand, c)}"""
+
+
+def winners(cand: str = "cand", c: str = "c") -> str:
+    """The same from ``ds``, the dense scores."""
+    order = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank"
+    return f"""{sparse(c, "chunk_id", "text", "cs")}, {sparse("q", "query_id", "query", "qs")},
 ss AS (SELECT query_id, chunk_id, sum(qs.v * cs.v) AS s FROM qs JOIN cs USING (token) GROUP BY ALL),
 dh AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, {order} FROM
   (SELECT query_id, chunk_id, k, round(coalesce(s, 0), 6) AS score FROM {cand} LEFT JOIN ds USING (query_id, chunk_id)))
@@ -518,9 +523,6 @@ WITH {REGISTRY}, {USERS} SELECT document_id, reg.user_id, domain FROM reg JOIN u
 WHERE is_active AND role IN ('admin', 'user') AND (role = 'admin' OR list_contains(allowed, domain))"""
 _LINES = f"""{RAW}, lc AS ({explode("docs", "document_id, domain", "string_split_regex(content, '[.\\n] ?')", "text", "chunk_index")})"""
 ORACLES["cap_chunks"] = f"WITH {_LINES} SELECT document_id, chunk_index, text FROM lc WHERE chunk_index < 100"
-ORACLES["sparse_bypass"] = f"""
-WITH {_LINES} SELECT document_id, chunk_index, count(*) OVER (PARTITION BY document_id) <= 30 AS sparse_enabled
-FROM lc WHERE chunk_index < 100"""
 ORACLES["chunk_payload"] = f"""
 WITH {RAW} SELECT CASE WHEN domain = 'medical' THEN document_id || ':' || doc_id ELSE {uuid5("document_id || ':0'")} END AS chunk_id,
   document_id, doc_id AS chunk_index, CASE WHEN domain = 'financial' THEN 'table' ELSE 'narrative' END AS chunk_type,
@@ -579,7 +581,7 @@ SELECT l_suppkey, i AS row_no, array_to_string(rows[i + 1], '|') AS cells FROM r
 ORACLES["split_tables"] = f"""
 WITH {_TABLES}, {pieces("tt", "l_suppkey")} SELECT l_suppkey, piece_no, text, row_range FROM tp"""
 ORACLES["table_ids"] = f"""
-WITH {STRUCTURED} SELECT doc_id, substr(sha256(substring(content, 1, 64)), 1, 12) AS table_id FROM docs"""
+WITH {STRUCTURED} SELECT doc_id, substr(sha256('doc-' || doc_id || chr(10) || '0' || chr(10) || content), 1, 32) AS table_id FROM docs"""
 ORACLES["medication_items"] = f"""
 WITH RECURSIVE {STRUCTURED}, {chunks("medical")} SELECT doc_id, chunk_type, section, text FROM ch WHERE chunk_type IN ('medication', 'list')"""
 ORACLES["extract_entities"] = f"WITH {STRUCTURED} {explode('docs', 'doc_id', entity_list('content'), 'entity')}"
@@ -655,7 +657,7 @@ SELECT chunk_id, duplicate_of, score FROM (SELECT *, row_number() OVER (PARTITIO
   FROM p WHERE score >= 0.95) WHERE n = 1"""
 ORACLES["admin_documents"] = f"""
 WITH {REGISTRY}, {USERS}, pg AS (SELECT * FROM reg WHERE NOT is_deleted AND status = 'failed'
-  ORDER BY created_at DESC, document_id LIMIT 200 OFFSET 10)
+  ORDER BY created_at DESC, document_id LIMIT 500 OFFSET 10)
 SELECT document_id, pg.user_id, email, name, domain FROM pg LEFT JOIN us USING (user_id)"""
 SESSIONS = """se AS (SELECT 's' || conv_id AS session_id, 'u' || count(*) AS user_id,
   CASE sum(length(text)) % 3 WHEN 0 THEN 'financial' WHEN 1 THEN 'medical' ELSE 'general' END AS domain,
@@ -667,12 +669,12 @@ WITH {SESSIONS}, r AS (SELECT CASE WHEN role = 'system' THEN 'unknown' ELSE 's'
 SELECT r.session_id, r.user_id, turn, r.domain, se.domain AS session_domain, coalesce(se.domain = r.domain, true) AS accepted
 FROM r LEFT JOIN se ON se.session_id = r.session_id AND se.user_id = r.user_id"""
 _CHUNKED = f"""{RAW}, {chunks("general")},
-c0 AS (SELECT *, 'doc-' || doc_id AS document_id, {uuid5("'doc-' || doc_id || ':' || chunk_index")} AS chunk_id FROM ch WHERE chunk_index < 100),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) <= 30 AS small FROM c0),
-q AS (SELECT item_id AS query_id, substring(text, 1, 2000) AS query FROM benchmark),
+c0 AS (SELECT *, 'doc-' || doc_id AS document_id, {uuid5("'doc-' || doc_id || ':' || chunk_index")} AS chunk_id FROM ch),
+c AS (SELECT * FROM c0),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 cand AS (SELECT query_id, chunk_id, 20 AS k FROM q, c)"""
 ORACLES["hybrid_search"] = f"""
-WITH RECURSIVE {_CHUNKED}, {hits("cand", "c", "small")}, {FUSED}, {reranked()},
+WITH RECURSIVE {_CHUNKED}, {hits("cand", "c")}, {FUSED}, {reranked()},
 {fitted("(SELECT rr.*, query, text, document_id FROM rr JOIN c USING (chunk_id) JOIN q USING (query_id))", 1800)}
 SELECT query_id, rank, chunk_id, document_id, score, chunk_tokens, kept FROM bt"""
 
@@ -690,9 +692,9 @@ ORACLES["estimate_tokens"] = f"""
 ORACLES["token_budget"] = f"""
 {FIT} SELECT query_id, rank, chunk_id, kept, tokens_chunks, tokens_total, budget_tokens, truncated, round(tokens_total / 4096, 6) AS utilisation FROM bt"""
 _WARN = ", ".join(
-    [f"CASE WHEN length(query) > 2000 THEN {lit(rules.WARN_TRUNCATED)} END"]
+    [f"CASE WHEN length(query) > 2000 THEN {lit(rules.WARN_LONG)} END"]
     + [
-        f"CASE WHEN regexp_matches(substring(query, 1, 2000), {re2(p, 'i')}) THEN {lit(injection_message(p))} END"
+        f"CASE WHEN regexp_matches(query, {re2(p, 'i')}) THEN {lit(injection_message(p))} END"
         for p in rules.INJECTION_PATTERNS
     ]
 )
@@ -700,7 +702,7 @@ _DIAGNOSIS = f"regexp_matches(query, {re2(rules.DIAGNOSIS_REQUEST, 'i')})"
 ORACLES["request_metadata"] = f"""
 {FIT}, {_FIRST}, n AS (SELECT query_id, sum(kept::BIGINT)::BIGINT AS used, count(*) - sum(kept::BIGINT)::BIGINT AS dropped, count(*) AS got FROM bt GROUP BY query_id),
 sl AS (SELECT query_id, string_agg(document_id, '|' ORDER BY rank) AS sources FROM so GROUP BY query_id)
-SELECT query_id, CASE WHEN q_domain = 'financial' THEN q_domain ELSE 'general' END AS domain, {n_tokens("substring(query, 1, 2000)")} AS query_tokens,
+SELECT query_id, CASE WHEN q_domain = 'financial' THEN q_domain ELSE 'general' END AS domain, {n_tokens("query")} AS query_tokens,
   coalesce(got, 0) AS chunks_retrieved, coalesce(used, 0) AS chunks_used, coalesce(dropped, 0) AS chunks_dropped,
   array_to_string(list_filter([{_WARN}], lambda w: w IS NOT NULL), '|') AS warnings, coalesce(sources, '') AS sources
 FROM q LEFT JOIN n USING (query_id) LEFT JOIN sl USING (query_id)"""
@@ -721,7 +723,7 @@ ORACLES["list_sessions"] = f"""
 WITH {SESSIONS} SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, session_id) AS position,
   session_id, domain, title FROM se WHERE NOT is_archived) WHERE position BETWEEN 2 AND 6"""
 ORACLES["update_sessions"] = f"""
-WITH {SESSIONS}, u AS (SELECT conv_id, max_by(substring(text, 1, 40), turn) FILTER (role = 'user') AS title,
+WITH {SESSIONS}, u AS (SELECT conv_id, max_by(text, turn) FILTER (role = 'user') AS title,
   max_by(length(text) % 2 = 0, turn) FILTER (role = 'assistant') AS archived, bool_or(turn = 7 AND role = 'user') AS gone
   FROM conversations WHERE conv_id % 4 <> 3 GROUP BY conv_id)
 SELECT session_id, user_id, coalesce(u.title, se.title) AS title, coalesce(archived, is_archived) AS is_archived
@@ -731,8 +733,8 @@ FROM se LEFT JOIN u USING (conv_id) WHERE NOT coalesce(gone, false)"""
 
 ORACLES["sanitise_queries"] = f"""
 WITH r AS (SELECT doc_id, {DOMAIN} AS domain, text AS query FROM documents)
-SELECT doc_id, substring(query, 1, 2000) AS query, array_to_string(list_filter([{_WARN},
-  CASE WHEN domain = 'medical' AND {_DIAGNOSIS.replace("query", "substring(query, 1, 2000)")} THEN {lit(rules.WARN_DIAGNOSIS)} END],
+SELECT doc_id, query, array_to_string(list_filter([{_WARN},
+  CASE WHEN domain = 'medical' AND {_DIAGNOSIS} THEN {lit(rules.WARN_DIAGNOSIS)} END],
   lambda w: w IS NOT NULL), '|') AS warnings FROM r"""
 ORACLES["diagnosis_flag"] = f"""
 WITH r AS (SELECT doc_id, {DOMAIN} AS domain, text || CASE WHEN source IN ('src1', 'src2', 'src3') THEN ' Should I take it?' ELSE '' END AS query
@@ -743,9 +745,9 @@ _RESPONSES = f"""r0 AS (SELECT conv_id || ':' || turn AS response_id, CASE conv_
 
 
 def guard_steps(source: str) -> str:
-    def add(test: str, text: str, known: int, sep: str) -> str:
+    def add(test: str, text: str, sep: str) -> str:
         return (
-            f"CASE WHEN {test} AND NOT contains(r, {lit(text[:known])}) THEN rtrim(r, {WS}) || {lit(sep + text)} ELSE r END"
+            f"CASE WHEN {test} AND NOT contains(r, {lit(text)}) THEN rtrim(r, {WS}) || {lit(sep + text)} ELSE r END"
         )
 
     triggers = " OR ".join(f"contains(lower(r), {lit(t)})" for t in rules.FORWARD_LOOKING_TRIGGERS)
@@ -754,10 +756,10 @@ def guard_steps(source: str) -> str:
     rule = rules.DISCLAIMER_RULE
     return f"""g1 AS (SELECT * REPLACE (CASE WHEN r IS NULL OR {strip("r")} = '' THEN {lit(rules.EMPTY_RESPONSE)} ELSE r END AS r) FROM {source}),
 g2 AS (SELECT * REPLACE (CASE WHEN domain = 'financial' AND ({triggers}) THEN {lit(rules.FORWARD_LOOKING_NOTICE)} || r ELSE r END AS r) FROM g1),
-g3 AS (SELECT * REPLACE ({add(f"{med} AND regexp_matches(r, {topics})", rules.CRISIS_REFERRAL, 30, chr(10) * 2)} AS r) FROM g2),
-g4 AS (SELECT * REPLACE ({add(f"{med} AND regexp_matches(r, {dose})", rules.PRESCRIBING_NOTE, 30, chr(10) * 2)} AS r) FROM g3),
-g5 AS (SELECT * REPLACE ({add(med, rules.MEDICAL_DISCLAIMER, 40, rule)} AS r) FROM g4),
-g6 AS (SELECT * REPLACE ({add("domain = 'general'", rules.GENERAL_DISCLAIMER, 30, rule)} AS r) FROM g5)"""
+g3 AS (SELECT * REPLACE ({add(f"{med} AND regexp_matches(r, {topics})", rules.CRISIS_REFERRAL, chr(10) * 2)} AS r) FROM g2),
+g4 AS (SELECT * REPLACE ({add(f"{med} AND regexp_matches(r, {dose})", rules.PRESCRIBING_NOTE, chr(10) * 2)} AS r) FROM g3),
+g5 AS (SELECT * REPLACE ({add(med, rules.MEDICAL_DISCLAIMER, rule)} AS r) FROM g4),
+g6 AS (SELECT * REPLACE ({add("domain = 'general'", rules.GENERAL_DISCLAIMER, rule)} AS r) FROM g5)"""
 
 
 ORACLES["guard_responses"] = f"WITH {_RESPONSES}, {guard_steps('r0')} SELECT response_id, domain, r AS guarded FROM g6"
@@ -842,8 +844,28 @@ _STREAMED = ",\n".join(
 ORACLES["stream_ingest"] = f"""
 WITH RECURSIVE {RAW}, {_STREAMED}, a AS ({_ALL})
 SELECT domain, 'doc-' || doc_id AS document_id, chunk_index, {uuid5("'doc-' || doc_id || ':' || chunk_index")} AS chunk_id, chunk_type
-FROM a WHERE chunk_index < 100"""
+FROM a"""
 ORACLES["semantic_cache_lookup"] = f"""
 SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_DOT} AS score FROM embeddings a, embeddings b WHERE b.label * 600 > 5400 - 3600)
   WHERE score >= 0.92) WHERE n = 1"""
+
+
+def _by_width(source: str, key: str, t: str, name: str) -> str:
+    """Like ``dense`` with the width of each vector as a column of the source."""
+    return f"""{name} AS (SELECT {key}, width, b, (n / sqrt(sum(n * n) OVER (PARTITION BY {key}, width)))::FLOAT::DOUBLE AS v
+  FROM (SELECT {key}, width, ('0x' || substr(md5(w), 1, 8))::BIGINT % width AS b, count(*)::DOUBLE AS n
+    FROM (SELECT {key}, width, unnest({tokens(t)}) AS w FROM {source}) GROUP BY ALL))"""
+
+
+ORACLES["cross_domain_search"] = f"""
+WITH RECURSIVE {RAW}, {_STREAMED}, a AS ({_ALL}),
+c AS (SELECT domain, {uuid5("'doc-' || doc_id || ':' || chunk_index")} AS chunk_id, text,
+  CASE WHEN domain = 'general' THEN 384 ELSE 768 END AS width FROM a),
+q AS (SELECT item_id AS query_id, text AS query,
+  CASE item_id % 4 WHEN 0 THEN 'financial' WHEN 1 THEN 'medical' WHEN 2 THEN 'general' END AS wanted FROM benchmark),
+qw AS (SELECT query_id, query, unnest([384, 768]) AS width FROM q),
+cand AS (SELECT query_id, chunk_id, 20 AS k FROM q JOIN c ON wanted IS NULL OR wanted = domain),
+{_by_width("c", "chunk_id", "text", "cd")}, {_by_width("qw", "query_id", "query", "qd")},
+ds AS (SELECT query_id, chunk_id, sum(qd.v * cd.v) AS s FROM qd JOIN cd USING (width, b) GROUP BY ALL),
+{winners()}, {FUSED} SELECT query_id, chunk_id, score, rank FROM fu"""

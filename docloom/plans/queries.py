@@ -238,14 +238,7 @@ def _line_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cap_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.cap_chunks(_line_chunks(spark, sf)).select("document_id", "chunk_index", "text")
-
-
-@query
-def sparse_bypass(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.flag_sparse(_line_chunks(spark, sf)).select(
-        "document_id", "chunk_index", "sparse_enabled"
-    )
+    return chunking.cap_chunks(_line_chunks(spark, sf), 100).select("document_id", "chunk_index", "text")
 
 
 @query
@@ -430,7 +423,7 @@ def split_tables(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def table_ids(spark: SparkSession, sf: str) -> DataFrame:
     return derive.structured_documents(spark, sf).select(
-        "doc_id", ids.table_id(F.col("content")).alias("table_id")
+        "doc_id", ids.table_id(F.col("document_id"), F.lit(0), F.col("content")).alias("table_id")
     )
 
 
@@ -665,11 +658,9 @@ def session_domain_check(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = derive.raw_documents(spark, sf)
     cut = lambda df: chunking.chunk_domain(
-        df.select("document_id", "content"), "general", max_chunks=rules.MAX_CHUNKS_PER_DOCUMENT
-    )
-    coded = encoding.add_vectors(cut(docs), "general").withColumn(
-        "terms", F.when(F.col("sparse_enabled"), F.col("terms"))
+        df.select("document_id", "content"), "general"
     )
+    coded = encoding.add_vectors(cut(docs), "general")
     asked = guarding.sanitise_queries(
         derive.table(spark, sf, "benchmark").select(
             F.col("item_id").alias("query_id"), F.col("text").alias("query"),
@@ -690,6 +681,24 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def cross_domain_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every domain's chunks with its own encoder; a query searches one domain or all."""
+    docs = derive.raw_documents(spark, sf).select("document_id", "domain", "content")
+    chunks = encoding.add_vectors_by_domain(chunking.chunk_documents(docs))
+    shape = F.col("item_id") % 4
+    asked = derive.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.col("text").alias("query"),
+        F.when(shape == 0, "financial")
+        .when(shape == 1, "medical")
+        .when(shape == 2, "general")
+        .alias("domain"),
+    )
+    found = retrieval.hybrid_hits(chunks, retrieval.with_vectors_by_domain(asked))
+    return retrieval.rrf_fuse(found).select("query_id", "chunk_id", "score", "rank")
+
+
 # --- aggregations and window-style operators ---------------------------------------------
 
 
@@ -796,7 +805,7 @@ def update_sessions(spark: SparkSession, sf: str) -> DataFrame:
             "session_id",
             F.when(F.col("conv_id") % 4 == 3, "stranger").otherwise(F.col("user_id")).alias("user_id"),
             F.col("turn").alias("seq"),
-            F.when(user, F.substring("text", 1, 40)).alias("title"),
+            F.when(user, F.col("text")).alias("title"),
             F.when(F.col("role") == "assistant", F.length("text") % 2 == 0).alias("is_archived"),
             F.lit(None).cast("array<string>").alias("pinned"),
             ((F.col("turn") == 7) & user).alias("deleted"),

@@ -15,8 +15,6 @@ CHUNK_CHARS = {"general": 800, "financial": 512, "medical": 384}
 CHUNK_OVERLAP = 32
 HARD_CAP_CHARS = 2000
 MAX_TABLE_CHARS = 2048
-MAX_CHUNKS_PER_DOCUMENT = 100
-SPARSE_MAX_CHUNKS = 30
 TOP_K_DENSE = 20
 TOP_K_SPARSE = 20
 TOP_K_FUSED = 40
@@ -32,8 +30,6 @@ MAX_QUERY_CHARS = 2000
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 TASK_TTL_SECONDS = 86_400
 HISTORY_MESSAGES = 11
-MAX_PAGE = 100
-MAX_ADMIN_PAGE = 200
 RATE_LIMITS = {"global": (60, 60), "ingest": (60, 10), "auth": (900, 20)}  # (seconds, requests)
 RATE_LIMIT_EXEMPT_PATH = "/health"
 SEMANTIC_CACHE_THRESHOLD = 0.92
@@ -55,8 +51,6 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
-TOKEN_MIN_CHARS = 2
-TOKEN_MAX_CHARS = 15
 
 # --- fixed values: sentence boundaries ----------------------------------------
 SENTENCE_GENERAL = r"(?<=[.!?])\s+(?=[A-Z\"'(])"
@@ -144,7 +138,7 @@ INJECTION_PATTERNS = (
     r"\[/?INST\]",
     r"#{3,}",
 )
-WARN_TRUNCATED = "Query truncated to 2000 characters"
+WARN_LONG = "Query exceeds 2000 characters"
 WARN_INJECTION_PREFIX = "Potential prompt injection detected (pattern: "
 WARN_INJECTION_SUFFIX = ")"
 WARN_PATTERN_CHARS = 40
@@ -207,7 +201,6 @@ GENERAL_DISCLAIMER = (
     "information. Verify important facts with primary sources."
 )
 DISCLAIMER_RULE = "\n\n---\n"
-PRESENT_CHARS = {"referral": 30, "prescribing": 30, "medical": 40, "general": 30}
 
 # --- fixed values: prompt texts -----------------------------------------------------
 NO_CONTEXT_ANSWER = (

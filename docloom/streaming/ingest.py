@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom import rules
 from docloom.operators.chunking import chunk_documents
 from docloom.operators.encoding import add_vectors_by_domain
 from docloom.sources.collections import ChunkStore
 
 
 def build_points(documents: DataFrame) -> DataFrame:
-    """Documents to indexed points: chunks, cap, vectors, sparse terms where allowed."""
-    chunks = chunk_documents(documents, rules.MAX_CHUNKS_PER_DOCUMENT)
-    points = add_vectors_by_domain(chunks)
-    return points.withColumn("terms", F.when(F.col("sparse_enabled"), F.col("terms")))
+    """Documents to indexed points: all their chunks, with vectors and sparse terms."""
+    return add_vectors_by_domain(chunk_documents(documents))
 
 
 def start_ingest(

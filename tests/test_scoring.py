@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval, scoring
+from docloom.operators import chunking, encoding, retrieval, scoring
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +135,47 @@ def test_custom_pair_scorer(spark):
     )
     got = retrieval.rerank_topk(rows, 1, lambda q, t: F.length(t).cast("double")).collect()
     assert [(r["chunk_id"], r["score"], r["rank"]) for r in got] == [("b", 4.0, 1)]
+
+
+def test_vectors_of_other_widths_and_null_vectors_never_meet(spark):
+    chunks = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0, 0.0]), (4, [0.6, 0.8]), (5, [])],
+        "chunk_id bigint, dense array<float>",
+    ).coalesce(1)
+    asked = spark.createDataFrame(
+        [(1, [0.0, 1.0]), (2, [0.0, 1.0, 0.0]), (3, None)], "query_id bigint, dense array<float>"
+    )
+    got = collect(retrieval.dense_topk(chunks, asked, 5))
+    assert got == {1: [(4, 0.8), (1, 0.0)], 2: [(3, 1.0)]}
+
+
+def test_search_over_all_domains_finds_the_last_chunk_of_a_long_document(spark):
+    """The README example: chunk, encode and search three domains; nothing is capped."""
+    tail = "zanzibar quokka marmalade"
+    long = "\n\n".join(f"# Part {i}\n\nSentence number {i} says little." for i in range(150))
+    docs = spark.createDataFrame(
+        [("g", "general", long + f"\n\n# End\n\nAt last {tail}."), ("f", "financial", f"Revenue of {tail} rose."),
+         ("m", "medical", f"# Plan\n\nTake {tail} daily.")],
+        "document_id string, domain string, content string",
+    )
+    chunks = encoding.add_vectors_by_domain(chunking.chunk_documents(docs))
+    asked = spark.createDataFrame(
+        [(1, tail, None), (2, tail, "medical")], "query_id bigint, query string, domain string"
+    )
+    got = retrieval.hybrid_search(chunks, retrieval.with_vectors_by_domain(asked)).collect()
+    found = lambda q: {r["document_id"] for r in got if r["query_id"] == q and r["score"] > 0.9}
+    assert found(1) == {"g", "f", "m"} and found(2) == {"m"}
+    assert max(r["chunk_index"] for r in got if r["document_id"] == "g") > 200
+
+
+def test_open_queries_count_every_chunk(spark):
+    chunks = spark.createDataFrame(
+        [("1", d, "public", "narrative", "x") for d in ("legal", None, "general")],
+        "chunk_id string, domain string, acl string, chunk_type string, document_id string",
+    )
+    asked = spark.createDataFrame(
+        [(1, None, None, None, None), (2, "general", None, None, None), (3, None, "x", ["public"], None)],
+        "query_id bigint, domain string, document_id string, acl array<string>, chunk_types array<string>",
+    )
+    got = {r["query_id"]: r["n_candidates"] for r in retrieval.filtered_candidates(chunks, asked).collect()}
+    assert got == {1: 3, 2: 1, 3: 3}
