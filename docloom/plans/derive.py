@@ -6,10 +6,11 @@ structural rules (headers, lists, tables, footnotes, doses) meet real cases.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from docloom.session import spread
 
 
@@ -79,24 +80,35 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def searchable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as one chunk with filter columns from ``labels``."""
-    labels = table(spark, sf_dir, "labels")
-    return (
-        raw_documents(spark, sf_dir)
-        .join(labels, "doc_id", "left")
-        .select(
+def searchable_documents(
+    spark: SparkSession,
+    sf_dir: str,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """Every document as one chunk with filter columns from ``labels``.
+
+    ``prepare`` sees the rows before they are shuffled to their labels: it encodes
+    and drops the text, or keeps the texts of some chunks only.
+    """
+    rows = prepare(
+        raw_documents(spark, sf_dir).select(
             "doc_id",
             F.col("document_id").alias("chunk_id"),
             F.concat(F.lit("set-"), F.col("source")).alias("document_id"),
             "domain",
+            "source",
+            F.col("content").alias("text"),
+        )
+    )
+    return (
+        rows.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+        .select(
+            *rows.columns,
             F.when(F.col("quality") == 1, "public")
             .when(F.col("quality") == 0, "internal")
             .otherwise("restricted")
             .alias("acl"),
             F.when(F.col("toxic") == 1, "table").otherwise("narrative").alias("chunk_type"),
-            "source",
-            F.col("content").alias("text"),
         )
     )
 
@@ -174,7 +186,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stream_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_bodies(
+    spark: SparkSession, sf_dir: str, conversations: DataFrame | None = None
+) -> DataFrame:
     """Every message as the body of a token stream: one token event per sentence."""
     event = lambda kind, content: F.concat(
         F.lit("data: "),
@@ -185,7 +199,8 @@ def stream_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = F.concat(
         F.lit('data: {"type":"done","usage":"'), F.length("text").cast("string"), F.lit('"}\n\n')
     )
-    return table(spark, sf_dir, "conversations").select(
+    talk = table(spark, sf_dir, "conversations") if conversations is None else conversations
+    return talk.select(
         F.concat_ws(":", F.col("conv_id"), F.col("turn")).alias("request_id"),
         F.concat(
             F.lit(': keep-alive\n\ndata: {"type":"metadata","content":"'),

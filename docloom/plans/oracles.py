@@ -869,3 +869,8 @@ cand AS (SELECT query_id, chunk_id, 20 AS k FROM q JOIN c ON wanted IS NULL OR w
 {_by_width("c", "chunk_id", "text", "cd")}, {_by_width("qw", "query_id", "query", "qd")},
 ds AS (SELECT query_id, chunk_id, sum(qd.v * cd.v) AS s FROM qd JOIN cd USING (width, b) GROUP BY ALL),
 {winners()}, {FUSED} SELECT query_id, chunk_id, score, rank FROM fu"""
+ORACLES["stream_answers"] = f"""
+WITH {_EVENTS}, an AS (SELECT request_id, string_agg(content, '' ORDER BY seq) FILTER (type = 'token') AS answer, max(usage) AS usage
+  FROM rows GROUP BY request_id HAVING string_agg(content, '' ORDER BY seq) FILTER (type = 'token') <> ''),
+ad AS (SELECT *, CASE split_part(request_id, ':', 1)::BIGINT % 3 WHEN 0 THEN 'financial' WHEN 1 THEN 'medical' ELSE 'general' END AS domain,
+  answer AS r FROM an), {guard_steps("ad")} SELECT request_id, domain, answer, usage, r AS guarded FROM g6"""

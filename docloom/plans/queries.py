@@ -13,7 +13,7 @@ from docloom.functions import guards as G
 from docloom.functions import ids, vectors
 from docloom.functions import text as T
 from docloom.operators import access, budget, chunking, elements, encoding, entities
-from docloom.operators import guarding, registry, render, retrieval, tables
+from docloom.operators import guarding, id_filters, registry, render, retrieval, tables
 from docloom.plans import derive
 from docloom.session import materialise, scratch_path, spread
 from docloom.sources import collections as store
@@ -552,31 +552,39 @@ def quantise_int8(spark: SparkSession, sf: str) -> DataFrame:
 # --- retrieval ----------------------------------------------------------------------------
 
 
-def _documents_and_queries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return derive.searchable_documents(spark, sf), derive.benchmark_queries(spark, sf)
-
-
 def _dense_hits(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = _documents_and_queries(spark, sf)
-    return retrieval.dense_topk(
-        docs.withColumn("dense", vectors.encode_dense(F.col("text"), "general")),
-        asked.withColumn("dense", vectors.encode_dense(F.col("query"), "general")),
-    )
+    coded = lambda rows, text: rows.withColumn(
+        "dense", vectors.encode_dense(F.col(text), "general")
+    ).drop(text)
+    docs = derive.searchable_documents(spark, sf, lambda rows: coded(rows, "text"))
+    return retrieval.dense_topk(docs, coded(derive.benchmark_queries(spark, sf), "query"))
 
 
 def _sparse_hits(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = _documents_and_queries(spark, sf)
-    return retrieval.sparse_topk(
-        docs.withColumn("terms", vectors.term_weights(F.col("text"))),
-        asked.withColumn("terms", vectors.term_weights(F.col("query"))),
-    )
+    coded = lambda rows, text: rows.withColumn(
+        "terms", vectors.term_weights(F.col(text))
+    ).drop(text)
+    docs = derive.searchable_documents(spark, sf, lambda rows: coded(rows, "text"))
+    return retrieval.sparse_topk(docs, coded(derive.benchmark_queries(spark, sf), "query"))
 
 
 def _both_hits(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = _documents_and_queries(spark, sf)
-    return retrieval.hybrid_hits(
-        encoding.add_vectors(docs, "general"), retrieval.with_vectors(asked, "general")
+    coded = lambda rows: encoding.add_vectors(rows, "general").drop("text")
+    docs = derive.searchable_documents(spark, sf, coded)
+    asked = derive.benchmark_queries(spark, sf)
+    return retrieval.hybrid_hits(docs, retrieval.with_vectors(asked, "general"))
+
+
+def _with_text(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
+    """Hits with their chunk's columns; only texts of chunks that were hit leave the scan.
+
+    ``hits`` are written rows: at most 40 per query.
+    """
+    held = id_filters.id_filter(hits, "chunk_id")
+    docs = derive.searchable_documents(
+        spark, sf, lambda rows: id_filters.passing(rows, held, "chunk_id")
     )
+    return hits.drop("document_id").join(docs, "chunk_id")
 
 
 @query
@@ -615,10 +623,10 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = _documents_and_queries(spark, sf)
-    fused = retrieval.rrf_fuse(_both_hits(spark, sf)).drop("score", "stage", "document_id")
-    asked = asked.select("query_id", "query")
-    return retrieval.rerank_topk(fused.join(docs, "chunk_id").join(asked, "query_id"))
+    fused = materialise(retrieval.rrf_fuse(_both_hits(spark, sf)), "fused")
+    asked = derive.benchmark_queries(spark, sf).select("query_id", "query")
+    rows = _with_text(spark, sf, fused.drop("score", "stage"))
+    return retrieval.rerank_topk(rows.join(asked, "query_id"))
 
 
 @query
@@ -711,11 +719,9 @@ def stage_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fit(spark: SparkSession, sf: str, fused: DataFrame | None = None) -> DataFrame:
     """Fused hits as ranked chunks under a small budget."""
-    docs, asked = _documents_and_queries(spark, sf)
-    fused = fused or retrieval.rrf_fuse(_both_hits(spark, sf))
-    rows = fused.drop("document_id").join(docs.drop("domain", "doc_id"), "chunk_id").join(
-        asked.select("query_id", "query"), "query_id"
-    )
+    fused = fused or materialise(retrieval.rrf_fuse(_both_hits(spark, sf)), "fused")
+    asked = derive.benchmark_queries(spark, sf).select("query_id", "query")
+    rows = _with_text(spark, sf, fused).drop("domain", "doc_id").join(asked, "query_id")
     counted = budget.with_token_counts(rows, F.lit(rules.SYSTEM_PROMPTS["general"]))
     return budget.fit_budget(counted, n_ctx=4096)
 
@@ -920,6 +926,35 @@ def dedup_events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _drained(spark: SparkSession, running, label: str, mode: str = "append") -> str:
+    """Run a stream over all that is there and return where its rows are."""
+    out = scratch_path(spark, label)
+    writer = running.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "state"))
+    keep = lambda rows, _number: rows.write.mode("append").parquet(out)
+    writer.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+#: Stateful processors in Python keep their state in RocksDB.
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query
+def stream_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """The token streams of all conversations, closed by ``done`` and guarded."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+    bodies = derive.stream_bodies(spark, sf, _stream(spark, sf, "conversations"))
+    domains = derive.table(spark, sf, "conversations").select(
+        F.concat_ws(":", F.col("conv_id"), F.col("turn")).alias("request_id"),
+        F.when(F.col("conv_id") % 3 == 0, "financial")
+        .when(F.col("conv_id") % 3 == 1, "medical")
+        .otherwise("general")
+        .alias("domain"),
+    )
+    guarded = windows.stream_guarded_answers(events.decode_stream_events(bodies), domains)
+    return spark.read.parquet(_drained(spark, guarded, "answers"))
+
+
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     docs = _stream(spark, sf, "documents").select(

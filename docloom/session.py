@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -45,16 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="docloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove what this driver has staged so far; call it once the results are written.
+
+    Results that were not written yet read staged tables and must not be used after it.
+    """
+    dropped = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        dropped += fs.delete(path, True)
+    return dropped
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

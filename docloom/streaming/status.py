@@ -64,10 +64,13 @@ def status_machine(registry: DataFrame, events: DataFrame) -> DataFrame:
 
 
 class StatusProcessor(StatefulProcessor):
-    """Keeps one small status row per document."""
+    """Keeps one small status row per document, for ``seconds`` after its last event if given."""
+
+    def __init__(self, seconds: int | None = None) -> None:
+        self.millis = None if seconds is None else seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", STATE)
+        self.state = handle.getValueState("status", STATE, self.millis)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else (rules.STATUS_START, None, None)
@@ -93,19 +96,22 @@ class StatusProcessor(StatefulProcessor):
         pass
 
 
-def stream_status(events: DataFrame) -> DataFrame:
+def stream_status(events: DataFrame, seconds: int | None = None) -> DataFrame:
     """Status changes as a stream (RocksDB state store, update mode).
 
     A document's log arrives spread over micro-batches; only its status row is
-    kept between them.
+    kept between them. With ``seconds`` (a day: ``rules.TASK_TTL_SECONDS``) it is
+    dropped that long after the document's last event. Such a stream goes on without
+    data, so run it with a time trigger, or with
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
     """
     return (
         events.select("document_id", "ts", "seq", "status", "chunk_count", "error_message")
         .groupBy("document_id")
         .transformWithStateInPandas(
-            statefulProcessor=StatusProcessor(),
+            statefulProcessor=StatusProcessor(seconds),
             outputStructType=OUTPUT,
             outputMode="Update",
-            timeMode="None",
+            timeMode="None" if seconds is None else "ProcessingTime",
         )
     )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom import rules
+from docloom.operators.guarding import guard_responses
 
 
 def as_event_time(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -42,19 +47,64 @@ def dedup_events(events: DataFrame, key: str = "event_id", late: str = "10 minut
     return as_event_time(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def stream_answers(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Answer text per request as its token rows arrive.
+ANSWER = "request_id string, answer string, usage string"
+
+
+class AnswerProcessor(StatefulProcessor):
+    """Holds the tokens of a running answer until its ``done`` row closes it."""
+
+    def __init__(self, seconds: int | None = None) -> None:
+        self.millis = None if seconds is None else seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tokens = handle.getListState("tokens", "seq long, content string", self.millis)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        text = batch[(batch["type"] == "token") & batch["content"].fillna("").ne("")]
+        if len(text):
+            self.tokens.appendList([(int(s), c) for s, c in zip(text["seq"], text["content"])])
+        done = batch[batch["type"] == "done"]
+        if not len(done):
+            return
+        held = sorted(self.tokens.get()) if self.tokens.exists() else []
+        self.tokens.clear()
+        if held:
+            usage = done.sort_values("seq")["usage"].iloc[-1]
+            yield pd.DataFrame(
+                {"request_id": [key[0]], "answer": ["".join(c for _, c in held)], "usage": [usage]}
+            )
+
+    def close(self) -> None:
+        pass
 
-    ``events``: ``request_id, ts, seq, type, content``. A request is emitted when
-    the watermark has passed the session gap after its last event. A running
-    answer is bounded by the model's answer limit.
+
+def stream_answers(events: DataFrame, seconds: int | None = None) -> DataFrame:
+    """Answer and usage per request, as soon as its ``done`` row has come.
+
+    ``events``: ``request_id, seq, type, content, usage``. A request without token
+    text gives no row, like in the batch form ``assemble_answers``. With ``seconds``,
+    tokens of a request that is never closed are dropped after that time; for the
+    trigger of such a stream see ``stream_status``.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "content")))
     return (
-        as_event_time(events)
-        .where((F.col("type") == "token") & (F.col("content") != ""))
-        .withWatermark("ts", late)
-        .groupBy("request_id", F.session_window("ts", late))
-        .agg(F.array_join(F.transform(ordered, lambda r: r["content"]), "").alias("answer"))
-        .select("request_id", "answer")
+        events.select("request_id", "seq", "type", "content", "usage")
+        .where(F.col("type").isin("token", "done"))
+        .groupBy("request_id")
+        .transformWithStateInPandas(
+            statefulProcessor=AnswerProcessor(seconds),
+            outputStructType=ANSWER,
+            outputMode="Append",
+            timeMode="None" if seconds is None else "ProcessingTime",
+        )
+    )
+
+
+def stream_guarded_answers(
+    events: DataFrame, domains: DataFrame, seconds: int | None = None
+) -> DataFrame:
+    """The same with ``domain`` and ``guarded``; ``domains`` is a static ``request_id, domain``."""
+    named = stream_answers(events, seconds).join(domains, "request_id")
+    return guard_responses(named.withColumnRenamed("answer", "response")).withColumnRenamed(
+        "response", "answer"
     )

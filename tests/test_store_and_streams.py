@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import rules
+from docloom import rules, session
 from docloom.functions import guards as G
 from docloom.functions import vectors
 from docloom.operators import access, chunking, encoding, guarding, ordered, render
@@ -122,17 +122,28 @@ def test_rate_limit_stream_equals_batch(spark, small, tmp_path):
 
 
 def test_answers_stream(spark, tmp_path):
-    rows = [("r1", 0, "a "), ("r1", 1, "b"), ("r2", 0, "c"), ("late", 0, "z")]
-    frame = spark.createDataFrame(rows, "request_id string, seq bigint, content string").select(
-        "*",
-        F.lit("token").alias("type"),
-        F.when(F.col("request_id") == "late", F.lit("2024-01-02").cast("timestamp"))
-        .otherwise(F.lit("2024-01-01").cast("timestamp")).alias("ts"),
+    """Tokens of several micro-batches; only closed answers come out, like in the batch form."""
+    parts = [
+        [("r1", 1, "token", "b", None), ("r2", 0, "token", "c", None), ("open", 0, "token", "z", None)],
+        [("r1", 0, "token", "a ", None), ("r2", 9, "done", None, "7"), ("none", 3, "done", None, "1")],
+        [("r1", 2, "token", "", None), ("r1", 3, "done", None, "5")],
+    ]
+    names = "request_id string, seq bigint, type string, content string, usage string"
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, names).coalesce(1).write.parquet(str(tmp_path / "ev" / f"part={i}"))
+    every = spark.read.schema(names).parquet(str(tmp_path / "ev"))
+    feed = (
+        spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1)
+        .parquet(str(tmp_path / "ev"))
     )
-    frame.write.parquet(str(tmp_path / "ev"))
-    feed = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "ev"))
-    got = _drain(windows.stream_answers(feed), tmp_path, "answers")
-    assert {tuple(r) for r in got.collect()} >= {("r1", "a b"), ("r2", "c")}
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    got = {tuple(r) for r in _drain(windows.stream_answers(feed), tmp_path, "answers").collect()}
+    assert got == {("r1", "a b", "5"), ("r2", "c", "7")}
+    batch = guarding.assemble_answers(every.where("request_id <> 'open'"))
+    assert got == {(r.request_id, r.answer, r.usage) for r in batch.collect()}
 
 
 def test_ingest_stream_survives_redelivery(spark, small, tmp_path):
@@ -143,7 +154,7 @@ def test_ingest_stream_survives_redelivery(spark, small, tmp_path):
         feed = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
         ingest.start_ingest(feed, store, str(tmp_path / f"state-{run}"), "seq").awaitTermination()
     stored = store.read()
-    n = chunking.chunk_documents(docs, rules.MAX_CHUNKS_PER_DOCUMENT).count()
+    n = chunking.chunk_documents(docs).count()
     assert stored.count() == n == stored.select("chunk_id").distinct().count()
     wrong = stored.where(F.size("dense") != F.when(F.col("domain") == "general", 384).otherwise(768))
     assert wrong.count() == 0
@@ -261,3 +272,12 @@ def _forget_extra_domains():
     from docloom.plans.extension import forget_domain
 
     forget_domain("legal")
+
+
+def test_staged_tables_are_removed_on_request(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    monkeypatch.setattr(session, "shared_dir", lambda _spark: str(tmp_path))
+    held = session.materialise(spark.range(5), "five")
+    assert held.count() == 5 and len(list(tmp_path.iterdir())) == 1
+    assert session.drop_scratch(spark) == 1 and not list(tmp_path.iterdir())
+    assert session.drop_scratch(spark) == 0
