@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from docloom.operators.id_filters import id_filter, passing
 from docloom.session import scratch_path
 
 #: Text bytes that one step of a task handles at once; one longer text is still taken whole.
@@ -215,31 +215,6 @@ def joined(words: Words, keep: np.ndarray) -> pa.Array:
     return strings(np.cumsum(np.bincount(row, size + later, n).astype(np.int64)), out)
 
 
-#: Bits of a filter over ids.
-FILTER_BITS = 22
-
-
-def id_filter(ids: DataFrame, name: str) -> DataFrame:
-    """A filter over a column of ids: at most 2**FILTER_BITS / 32 rows, whatever their number."""
-    bit = ids.select(F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS)).alias("bit"))
-    return bit.groupBy(F.shiftright("bit", 5).alias("_slot")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("_bits")
-    )
-
-
-def passing(rows: DataFrame, held: DataFrame, name: str, maybe: bool = True) -> DataFrame:
-    """Rows whose id the filter may contain, or (``maybe=False``) those whose id it does not.
-
-    The filter's size is fixed, so it can be broadcast. Where it is full it lets
-    everything pass: a join that follows stays right and only moves more rows.
-    """
-    bit = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
-    found = rows.withColumn("_bit", bit).withColumn("_slot", F.shiftright("_bit", 5))
-    found = found.join(F.broadcast(held), "_slot", "inner" if maybe else "left")
-    hit = F.coalesce(F.expr("shiftright(_bits, cast(_bit % 32 as int)) & 1") == 1, F.lit(False))
-    return found.where(hit if maybe else ~hit).select(rows.columns)
-
-
 def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose key is not in ``dropped`` (written, as it is read twice).
 
@@ -247,4 +222,5 @@ def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """
     held = id_filter(dropped, key)
     sure = passing(docs, held, key, maybe=False)
-    return sure.unionByName(passing(docs, held, key).join(dropped.select(key), key, "left_anti").select(docs.columns))
+    rest = passing(docs, held, key).join(dropped.select(key), key, "left_anti")
+    return sure.unionByName(rest.select(docs.columns))

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.llm import common as C
+from docloom.operators.id_filters import id_filter, passing
 
 WINDOW = 13
 GRAM = 5
@@ -246,7 +247,8 @@ def _long_prefixes(groups: DataFrame, window: int) -> DataFrame:
         (F.col("first") + F.col("j")).alias("begin"),
         F.array_join(F.slice("words", F.col("j") + 1, window), " ").alias("prefix"),
     )
-    earliest = each.groupBy("prefix").agg(F.min("doc").alias("earliest"))
+    # Written, so that the join reads both sides alike and splits a prefix with many rows.
+    earliest = C.keep(each.groupBy("prefix").agg(F.min("doc").alias("earliest")), "earliest")
     return (
         each.join(earliest, "prefix")
         .where(F.col("doc") > F.col("earliest"))
@@ -263,7 +265,7 @@ def repeated_spans(
     """
     shared = C.keep(shared_prefixes(docs.select("_doc", "_text"), window, gram), "prefixes")
     places = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pos").alias("_places"))
-    moved = C.passing(docs, C.id_filter(shared, "doc"), "_doc").join(places, "_doc")
+    moved = passing(docs, id_filter(shared, "doc"), "_doc").join(places, "_doc")
     rows = _suffixes(moved.select("_doc", "_copy", "_text", "_places"), window, gram)
     # Prefixes with more rows than a group may have: at most all rows / group_rows.
     large = C.keep(
@@ -347,8 +349,8 @@ def remove_repeats(
     spans = C.keep(
         repeated_spans(known.select("_doc", "_copy", "_text"), window, gram, group_rows), "spans"
     )
-    held = C.id_filter(spans, "_doc")
-    touched = C.passing(rows, held, "_doc").join(spans, ["_doc", "_copy"], "left")
-    others = C.passing(rows, held, "_doc", maybe=False).withColumn("_spans", F.lit(None).cast("array<array<int>>"))
+    held = id_filter(spans, "_doc")
+    touched = passing(rows, held, "_doc").join(spans, ["_doc", "_copy"], "left")
+    others = passing(rows, held, "_doc", maybe=False).withColumn("_spans", F.lit(None).cast("array<array<int>>"))
     columns = [*out, "_text", "_spans"]
     return _rebuild(touched.select(columns), out).unionByName(_rebuild(others.select(columns), out))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import common as C
+from docloom.operators.id_filters import id_filter, passing
 
 CRLF = "\r\n"
 #: Records of one file; a reader takes a file whole.
@@ -97,9 +98,9 @@ def write_captures(
         .select("_digest", F.col("_lead._page").alias("_lead_page"), F.col("_lead._uri").alias("_lead_uri"))
     )
     lead = C.keep(lead, "payloads")
-    held = C.id_filter(lead, "_digest")
-    shared = C.passing(rows, held, "_digest").join(lead, "_digest", "left").select(*rows.columns, "_lead_page", "_lead_uri")
-    alone = C.passing(rows, held, "_digest", maybe=False).select(
+    held = id_filter(lead, "_digest")
+    shared = passing(rows, held, "_digest").join(lead, "_digest", "left").select(*rows.columns, "_lead_page", "_lead_uri")
+    alone = passing(rows, held, "_digest", maybe=False).select(
         *rows.columns, F.lit(None).cast("long").alias("_lead_page"), F.lit(None).cast("string").alias("_lead_uri")
     )
     every = shared.unionByName(alone)
