@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import common as C
+from docloom.operators.id_filters import id_filter, passing
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -159,7 +160,7 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) ->
     of ``a`` meets it in the join, whose large partitions Spark splits.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
-    texts = C.passing(docs.select("_doc", "_text"), C.id_filter(ids, "_id"), "_doc")
+    texts = passing(docs.select("_doc", "_text"), id_filter(ids, "_id"), "_doc")
     one = texts.select(F.col("_doc").alias("a"), F.col("_text").alias("_one"))
     two = texts.select(F.col("_doc").alias("b"), F.col("_text").alias("_two"))
     both = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_one", "_two")
@@ -256,23 +257,16 @@ def near_duplicate_classes(
     keyed = C.keep(
         signed.join(leaders, "_doc", "left_semi").select("_doc", "n", F.explode("keys").alias("key")), "bands"
     )
-    who = F.struct("_doc", "n")
+    who = F.struct(F.col("_doc").alias("root"), "_doc", "n")
     bucket = (
         keyed.groupBy("key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low._doc < high._doc")
     )
-    member_of = keyed.join(bucket, "key")
-    each = F.explode(F.array("low", "high")).alias("lead")
-    pairs = (
-        member_of.select("_doc", "n", each)
-        .where(F.col("_doc") != F.col("lead._doc"))
-        .where(_alike(F.least("n", "lead.n"), F.greatest("n", "lead.n"), threshold))
-        .select(F.least("_doc", "lead._doc").alias("a"), F.greatest("_doc", "lead._doc").alias("b"))
-        .distinct()
-    )
-    tried = C.keep(pairs, "pairs")
+    member_of = keyed.withColumn("root", F.col("_doc")).join(bucket, "key")
+    tried = C.keep(_pairs_of(member_of, threshold), "pairs")
     links = C.keep(verify(tried, known, shingle, threshold), "verified")
     while True:
         root = components(links)
+        links = root.select(F.col("root").alias("a"), F.col("node").alias("b"))
         if (new := _open_pairs(keyed, bucket, root, tried, threshold)).isEmpty():
             break
         found = C.keep(verify(new, known, shingle, threshold), "verified")
@@ -288,6 +282,22 @@ def near_duplicate_classes(
     return out.join(best, "_doc", "left").select(key, F.coalesce("_class", "_doc").alias("class_id"))
 
 
+def _pairs_of(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members with those leaders of their bucket that have another root."""
+
+    def fits(lead: Column) -> Column:
+        n, m = F.col("n"), lead["n"]
+        return (lead["root"] != F.col("root")) & _alike(F.least(n, m), F.greatest(n, m), threshold)
+
+    return (
+        members.withColumn("leads", F.filter(F.array("low", "high"), fits))
+        .where(F.size("leads") > 0)
+        .select("_doc", F.explode("leads._doc").alias("lead"))
+        .select(F.least("_doc", "lead").alias("a"), F.greatest("_doc", "lead").alias("b"))
+        .distinct()
+    )
+
+
 def _open_pairs(
     keyed: DataFrame, bucket: DataFrame, root: DataFrame, tried: DataFrame, threshold: float
 ) -> DataFrame:
@@ -302,13 +312,5 @@ def _open_pairs(
         .agg(F.min(who).alias("low"), F.max(who).alias("high"))
         .where("low.root < high.root")
     )
-    new = (
-        named.join(apart, "key")
-        .select("_doc", "n", "root", F.explode(F.array("low", "high")).alias("lead"))
-        .where(F.col("root") != F.col("lead.root"))
-        .where(_alike(F.least("n", "lead.n"), F.greatest("n", "lead.n"), threshold))
-        .select(F.least("_doc", "lead._doc").alias("a"), F.greatest("_doc", "lead._doc").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+    new = _pairs_of(named.join(apart, "key"), threshold).join(tried, ["a", "b"], "left_anti")
     return C.keep(new, "pairs")
