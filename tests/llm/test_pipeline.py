@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from docloom.llm import quality
 
-from .conftest import SENTENCE, odd_documents, plain_words, varied, words
+from .conftest import SENTENCE, odd_documents, varied, words
 from .test_pairs_and_spans import brute_classes, brute_hits, brute_repeats
 from .test_rows import check_packing
 
@@ -84,8 +84,8 @@ def test_run_applies_all_stages(spark, odd, tmp_path):
     got = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "sequence_id", "offset", "tokens"} <= set(got.columns)
     ids = {r.doc_id for r in got.select("doc_id").collect()}
-    assert not ids & {2, 3, 4, 5, 6, 12, 13} and {1, 9, 14} <= ids
-    assert plain_words("A b") == ["a", "b"]
+    # 4 holds a benchmark passage first; 5 and 14 lose theirs as repeats of it, and 6 is nothing else.
+    assert not ids & {2, 3, 4, 6, 13} and {1, 5, 9, 14} <= ids
 
 
 def test_run_over_empty_documents(spark, odd, tmp_path):
