@@ -123,7 +123,7 @@ def _bands(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.steps(batch, "_text", C.STEP_BYTES // 4):
+            for part in C.steps(batch, "_text", C.STEP_BYTES // 2):
                 words = C.words_of(part.column("_text"), C.SPACED)
                 row, gram, weight = shingles(words, shingle)
                 n = len(words.count)
@@ -173,8 +173,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for half in C.steps(batch, "_two", C.STEP_BYTES // 4):
-                for part in C.steps(half, "_one", C.STEP_BYTES // 4):
+            for half in C.steps(batch, "_two", C.STEP_BYTES // 2):
+                for part in C.steps(half, "_one", C.STEP_BYTES // 2):
                     coded = part.column("_one").dictionary_encode()
                     left, right = bags(coded.dictionary), bags(part.column("_two"))
                     good = []
@@ -257,11 +257,15 @@ def near_duplicate_classes(
     keyed = C.keep(
         signed.join(leaders, "_doc", "left_semi").select("_doc", "n", F.explode("keys").alias("key")), "bands"
     )
-    who = F.struct(F.col("_doc").alias("root"), "_doc", "n")
+    who = F.struct("_doc", "n")
     bucket = (
         keyed.groupBy("key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low._doc < high._doc")
     )
-    member_of = keyed.withColumn("root", F.col("_doc")).join(bucket, "key")
+    # At first every document is a class of its own.
+    own = lambda lead: F.struct(F.col(f"{lead}._doc").alias("root"), f"{lead}.*")
+    member_of = keyed.join(bucket, "key").withColumns(
+        {"root": F.col("_doc"), "low": own("low"), "high": own("high")}
+    )
     tried = C.keep(_pairs_of(member_of, threshold), "pairs")
     links = C.keep(verify(tried, known, shingle, threshold), "verified")
     while True:
