@@ -7,6 +7,7 @@ flags decides every byte and no character is ever cut in two.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from docloom.operators.id_filters import id_filter, passing
 from docloom.session import scratch_path
 
 #: Text bytes that one step of a task handles at once; one longer text is still taken whole.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 #: Rows of one Arrow batch sent to Python.
 BATCH_ROWS = 2000
 
@@ -52,8 +53,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``limit`` bytes of text each (one row at least)."""
+    """Slices of a batch with at most ``limit`` bytes of text each (one row at least).
+
+    What earlier batches have left free is given back at the end of each.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     begin, n = 0, batch.num_rows
@@ -62,6 +76,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         stop = max(begin + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(begin, stop - begin)
         begin = stop
+    give_back()
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docloom.llm.common import small_batches, steps
-from docloom.llm.tokens import encoder
+from docloom.llm.tokens import ENCODE_BYTES, encoder
 
 LENGTH = 2048
 OPEN_BINS = 4096
@@ -104,7 +104,7 @@ def pack(
         bins = Bins(length, open_bins)
         base = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, ENCODE_BYTES):
                 ids, stops = tokens.ids(part.column(text))
                 sizes = np.diff(stops, prepend=0)
                 doc, number, start, size = cut(sizes, length)

@@ -43,7 +43,7 @@ GRAM = 5
 #: Rows of one prefix that a task may hold as one group.
 GROUP_ROWS = 100_000
 #: Occurrences that a task combines at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def _fold(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -99,6 +99,8 @@ def shared_prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     held, n = [], 0
         if held:
             yield _fold(*(np.concatenate(x) for x in zip(*held)))
+        held = []
+        C.give_back()
 
     found = docs.mapInArrow(run, "key long, shared boolean, doc long, pos int, n int")
     same = Window.partitionBy("key")
@@ -123,7 +125,7 @@ def _suffixes(moved: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in C.steps(batch, "_text", C.STEP_BYTES // 4):
+            for part in C.steps(batch, "_text", C.STEP_BYTES // 2):
                 words = C.words_of(part.column("_text"), C.SPACED)
                 begin, anchor, grams = _anchors(words, window, gram)
                 if not len(begin):
@@ -233,6 +235,7 @@ def _subtrees(groups: DataFrame, window: int) -> DataFrame:
                 held, n = [batch.slice(cut)], batch.num_rows - cut
         if held:
             yield _repeats(held, window)
+        C.give_back()
 
     return groups.mapInArrow(run, "doc long, copy int, begin int, end int")
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.llm.common import keep, small_batches, steps
-from docloom.llm.tokens import checksums, encoder
+from docloom.llm.tokens import ENCODE_BYTES, checksums, encoder
 
 INDEX_ROWS = 1000
 
@@ -42,7 +42,7 @@ def write_tokens(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, ENCODE_BYTES):
                 ids, stops = tokens.ids(part.column(text))
                 offsets = pa.array(np.concatenate(([0], stops)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))

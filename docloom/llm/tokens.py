@@ -21,7 +21,9 @@ import pyarrow as pa
 from docloom.llm.common import spans, strings, utf8
 
 #: Parts whose ids a task keeps between steps; beyond it the memory is emptied.
-HELD_PARTS = 600_000
+HELD_PARTS = 400_000
+#: Text bytes that are encoded at once.
+ENCODE_BYTES = 4 << 20
 END = 0
 
 _GAP = np.zeros(256, bool)
