@@ -10,13 +10,17 @@ their weighted Jaccard similarity. Points are drawn up to the time by which all
 slots are filled, so most shingles are done after their first one, and a
 weight of ``w`` costs about ``log2 w`` processes.
 
-*Candidates.* Slots are banded. Members of a bucket are compared with its
-smallest and its largest member only, never all with all.
+*Candidates.* Slots are banded. Members of a bucket are first compared with its
+smallest and its largest member only.
 
 *Verification.* The texts of a candidate pair are compared exactly, as multisets
 of shingles. Then members of a bucket that still belong to different classes
 are compared with the leaders of the other classes, until nothing new turns up.
 
+*The rest.* A leader that is similar to nobody hides the links of the others. So
+all pairs of a bucket that are in different classes even then, and were not
+compared yet, are compared as well: which pairs are leaders only saves work.
+
 *Classes* are connected components, found by alternating star contractions over
 tables in the shared folder.
 """
@@ -35,6 +39,8 @@ from docloom.operators.id_filters import id_filter, passing
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
+#: Members of a bucket that meet as many others in one group of the join.
+BLOCK = 128
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = (1 << 64) - 1
 
@@ -278,6 +284,10 @@ def near_duplicate_classes(
         if found.isEmpty():
             break
         links = links.union(found)
+    if not (rest := _rest_pairs(keyed, bucket, root, tried, threshold)).isEmpty():
+        found = C.keep(verify(rest, known, shingle, threshold), "verified")
+        if not found.isEmpty():
+            root = components(links.union(found))
     classes = member.join(root, member["first"] == root["node"], "left").select(
         "_doc", F.coalesce("root", "first").alias("_class")
     )
@@ -302,14 +312,19 @@ def _pairs_of(members: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _named(keyed: DataFrame, bucket: DataFrame, root: DataFrame) -> DataFrame:
+    """Members of buckets of several documents, each with the root of its class."""
+    shared = keyed.join(bucket.select("key"), "key", "left_semi")
+    return shared.join(root, shared["_doc"] == root["node"], "left").select(
+        "key", "_doc", "n", F.coalesce("root", "_doc").alias("root")
+    )
+
+
 def _open_pairs(
     keyed: DataFrame, bucket: DataFrame, root: DataFrame, tried: DataFrame, threshold: float
 ) -> DataFrame:
     """Pairs not tried yet of members of a bucket and the leaders of other classes in it."""
-    shared = keyed.join(bucket.select("key"), "key", "left_semi")
-    named = shared.join(root, shared["_doc"] == root["node"], "left").select(
-        "key", "_doc", "n", F.coalesce("root", "_doc").alias("root")
-    )
+    named = _named(keyed, bucket, root)
     who = F.struct("root", "_doc", "n")
     apart = (
         named.groupBy("key")
@@ -318,3 +333,38 @@ def _open_pairs(
     )
     new = _pairs_of(named.join(apart, "key"), threshold).join(tried, ["a", "b"], "left_anti")
     return C.keep(new, "pairs")
+
+
+def _rest_pairs(
+    keyed: DataFrame, bucket: DataFrame, root: DataFrame, tried: DataFrame, threshold: float
+) -> DataFrame:
+    """All pairs not tried yet of members of a bucket that are in different classes.
+
+    A bucket is cut into blocks of about ``BLOCK`` members, and every two blocks meet in
+    a group of their own: no group of the join grows with the bucket.
+    """
+    named = _named(keyed, bucket, root)
+    sizes = (
+        named.groupBy("key")
+        .agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low < high")
+        .select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    )
+    placed = named.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("_doc", "key"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = placed.withColumn("other", other).select(
+        "key",
+        F.least("mine", "other").alias("p"),
+        F.greatest("mine", "other").alias("q"),
+        *("mine", "_doc", "n", "root"),
+    )
+    one, two = met.alias("one"), met.alias("two")
+    n, m = F.col("one.n"), F.col("two.n")
+    apart = (F.col("one.mine") != F.col("two.mine")) | (F.col("one.p") == F.col("one.q"))
+    pairs = one.join(
+        two,
+        [F.col(f"one.{c}") == F.col(f"two.{c}") for c in ("key", "p", "q")]
+        + [F.col("one._doc") < F.col("two._doc"), F.col("one.root") != F.col("two.root"), apart]
+        + [_alike(F.least(n, m), F.greatest(n, m), threshold)],
+    ).select(F.col("one._doc").alias("a"), F.col("two._doc").alias("b"))
+    return C.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "rest")

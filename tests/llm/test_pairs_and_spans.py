@@ -192,3 +192,34 @@ def test_digest_of_kept_words(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     want = {d: (n, gone, sha(kept)) for d, n, gone, kept in brute_repeats(rows)}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_links_behind_leaders_that_resemble_nobody(spark):
+    """A base in the middle and independently edited copies: most are similar to few others."""
+    drawn = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(404)]
+    rows = [(70, " ".join(base))]
+    for doc in [d for d in range(1, 141) if d != 70]:
+        copy = list(base)
+        for at in drawn.choice(404, drawn.integers(4, 15), replace=False):
+            copy[at] = f"{doc}x{at}"
+        rows.append((doc, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, near_duplicates.near_duplicate_classes(docs).collect()))
+    want = brute_classes(rows)
+    assert 40 < Counter(want.values()).most_common(1)[0][1] < 140
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [near_duplicates.BLOCK, 3])
+def test_rest_holds_every_open_pair_once(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    keyed = spark.createDataFrame(
+        [(d, 100, k) for k, ds in ((1, range(20)), (2, range(15, 25)), (3, [30])) for d in ds], "_doc long, n int, key long"
+    )
+    bucket = spark.createDataFrame([(1,), (2,)], "key long")
+    root = spark.createDataFrame([(4, 3), (3, 3)], "node long, root long")
+    tried = spark.createDataFrame([(0, 1), (5, 9)], "a long, b long")
+    got = [tuple(r) for r in near_duplicates._rest_pairs(keyed, bucket, root, tried, 0.8).collect()]
+    want = {(a, b) for ds in (range(20), range(15, 25)) for a in ds for b in ds if a < b}
+    assert sorted(got) == sorted(want - {(0, 1), (5, 9), (3, 4)})
