@@ -6,12 +6,14 @@ that are not white space, and before punctuation (but for the apostrophe) that
 follows a letter or digit. Texts are cut at such places only, every distinct
 part is encoded once per task by the tokenizers library, and the ids are put
 together again: the same ids as encoding each text at once, for a fraction of
-the work.
+the work. Tokens that the tokenizer's file adds, such as ``<|endoftext|>``, are
+parts of their own: the text between them is cut as if each stretch were a text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from itertools import chain
 
@@ -74,9 +76,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The longest first, as the library takes them.
+        listed = b"|".join(map(re.escape, sorted(filter(None, added), key=len, reverse=True)))
+        self.added = re.compile(listed) if listed else None
         self.forget()
 
+    def borders(self, off: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of texts, stretches and added tokens; begin and end of these tokens, as rows."""
+        raw = memoryview(np.ascontiguousarray(buf))
+        if self.added is None or not self.added.search(raw):
+            return off, np.zeros((0, 2), np.int64)
+        ends = off.tolist()
+        found = [m.span() for a, b in zip(ends, ends[1:]) for m in self.added.finditer(raw[:b], a)]
+        held = np.array(found, np.int64).reshape(-1, 2)
+        return np.union1d(off, held.reshape(-1)), held
+
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids_of = [np.zeros(0, np.uint32)]
@@ -102,7 +117,11 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's ids stop."""
         off, buf = utf8(texts)
-        cut = cuts(off, buf)
+        border, added = self.borders(off, buf)
+        cut = cuts(border, buf)
+        if len(added):  # never within an added token
+            at = np.searchsorted(added[:, 0], cut) - 1
+            cut = cut[(at < 0) | (cut >= added[at, 1])]
         if not len(cut):
             return np.full(len(off) - 1, END, np.uint32), np.arange(1, len(off))
         coded = strings(np.append(cut[1:], len(buf)), buf).dictionary_encode()

@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docloom.llm import common as C
 from docloom.llm import html_blocks, line_rules, packing, quality, sharding, token_files, tokens, warc
@@ -46,6 +47,22 @@ def test_ids_equal_those_of_whole_texts():
         begin = stop
 
 
+def test_added_tokens_are_those_of_the_file():
+    """Against a tokenizer of its own, as its file has it."""
+    fresh = Tokenizer.from_file(PATH)
+    end = "<|endoftext|>"
+    assert fresh.encode(f"a {end} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    drawn = random.Random(7)
+    pieces = [end, end, "<|endof", "text|>", "<|", "|>", "a", " b", " ", "  ", "\n", ".", "é", "漢", "'s", "12"]
+    texts = [*ODD_TEXTS, f"a {end} b", f"a{end}b", end, end * 2, f"{end} ", f" {end}", f"x.{end}.y", f"a  {end}  b", "<|endof", "text|>"]
+    texts += ["".join(drawn.choices(pieces, k=drawn.randint(1, 14))) for _ in range(2000)]
+    ids, stops = tokens.Encoder(PATH).ids(pa.array([*texts, None]))
+    begin = 0
+    for text, stop in zip([*texts, ""], stops.tolist()):
+        assert ids[begin:stop].tolist() == fresh.encode(text, add_special_tokens=False).ids + [0], text
+        begin = stop
+
+
 def test_words_equal_those_of_the_pattern():
     for member, lower, pattern in ((C.SPACED, False, r"[^\x20\x09-\x0D]+"), (C.PLAIN, True, r"[0-9a-z\x80-\U0010ffff]+")):
         texts = [*ODD_TEXTS, None]
