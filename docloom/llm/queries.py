@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, html_blocks, line_rules, near_duplicates, packing
-from docloom.llm import quality, sharding, substrings, token_files, warc
+from docloom.llm import clusters, decontamination, divergence, html_blocks, line_rules, near_duplicates
+from docloom.llm import packing, quality, sharding, substrings, token_files, toxicity, warc
 from docloom.llm.common import table
 from docloom.session import scratch_path
 
@@ -219,3 +219,99 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+per AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df
+  FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS all_n FROM per GROUP BY ALL HAVING sum(df) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(all_n) AS all_total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, all_n
+  FROM g JOIN kept k USING (lang) LEFT JOIN per USING (lang, source, term)),
+total AS (SELECT lang, source, sum(n) AS total FROM cell GROUP BY ALL),
+share AS (
+  SELECT c.lang, c.source, term, n,
+         1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (all_n + 5)) // (all_total + 5 * v)::HUGEINT AS q
+  FROM cell c JOIN total USING (lang, source) JOIN v ON v.lang = c.lang),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM share WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(rounds: int) -> str:
+    """One step of the rounds as SQL: distances to all centroids, then floors of means."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS (
+  SELECT r, vec_id, cluster, distance FROM (
+    SELECT r, vec_id, cluster, distance, row_number() OVER (PARTITION BY r ORDER BY distance, cluster) AS place
+    FROM (SELECT r, vec_id, cluster,
+                 list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS distance
+          FROM vec, c{k}))
+  WHERE place = 1)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n
+        FROM a{k} JOIN vec USING (r), range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster),
+c{k + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (cluster))""")
+    return ",\n".join(parts)
+
+
+ORACLES["op12_orchard_clusters"] = rf"""
+WITH vec AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS cluster, v AS c FROM vec
+  ORDER BY sha256('1:' || vec_id::VARCHAR), v LIMIT 16),
+{_rounds(3)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster)
+"""
+
+
+@query
+def op13_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, classifier).select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
