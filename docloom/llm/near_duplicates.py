@@ -10,16 +10,16 @@ their weighted Jaccard similarity. Points are drawn up to the time by which all
 slots are filled, so most shingles are done after their first one, and a
 weight of ``w`` costs about ``log2 w`` processes.
 
-*Candidates.* Slots are banded. Members of a bucket are first compared with its
-smallest and its largest member only.
+*Candidates.* A slot is kept as 16 bits, and slots are banded: texts that agree in all
+slots of a band are in one bucket. Of buckets with the same members only the first
+stays, and a pair is looked at in the first band that it shares, so once.
 
-*Verification.* The texts of a candidate pair are compared exactly, as multisets
-of shingles. Then members of a bucket that still belong to different classes
-are compared with the leaders of the other classes, until nothing new turns up.
-
-*The rest.* A leader that is similar to nobody hides the links of the others. So
-all pairs of a bucket that are in different classes even then, and were not
-compared yet, are compared as well: which pairs are leaders only saves work.
+*Verification.* Members of a bucket meet in groups of bounded size, with their signatures
+and the hashes of their shingles. A group goes over its members one after another: those
+of other classes, of similar size, that agree in enough slots are compared exactly, as
+multisets of shingles, and linked ones become one class at once. A group returns
+links between classes only, at most one less than it has members; pairs are never
+written or moved.
 
 *Classes* are connected components, found by alternating star contractions over
 tables in the shared folder.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import common as C
@@ -39,8 +39,10 @@ from docloom.operators.id_filters import id_filter, passing
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-#: Members of a bucket that meet as many others in one group of the join.
-BLOCK = 128
+#: Shingles of the members of a bucket that meet as many others in one group, on average at most.
+BLOCK_SHINGLES = 1 << 20
+#: Standard deviations below its mean of the slots that a pair at the threshold agrees in.
+DEVIATIONS = 6.5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = (1 << 64) - 1
 
@@ -124,8 +126,8 @@ def signatures(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, rows: int,
     return out
 
 
-def _bands(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """_doc, n (shingles) and the keys of its bands, for texts with words."""
+def _signed(docs: DataFrame, shingle: int, slots: int) -> DataFrame:
+    """_doc, _hash, n (shingles) and sign (two bytes a slot) of the texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,69 +136,120 @@ def _bands(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 row, gram, weight = shingles(words, shingle)
                 n = len(words.count)
                 total = np.bincount(row, weight, n).astype(np.int64)
-                signed = signatures(row, gram, weight, n, bands * rows).reshape(n, bands, rows)
-                key = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
-                for j in range(rows):
-                    key = C.mixed(key * _GOLD + signed[:, :, j])
                 have = np.flatnonzero(total)
-                flat = pa.array(key[have].reshape(-1).view(np.int64))
+                signed = signatures(row, gram, weight, n, slots)[have].astype(np.uint16)
+                offsets = pa.py_buffer((np.arange(len(have) + 1) * 2 * slots).astype(np.int32))
+                held = [None, offsets, pa.py_buffer(np.ascontiguousarray(signed))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("_doc").take(pa.array(have)),
+                        part.column("_hash").take(pa.array(have)),
                         pa.array(total[have].astype(np.int32)),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(len(have) + 1, dtype=np.int32) * bands), flat
-                        ),
+                        pa.Array.from_buffers(pa.binary(), len(have), held),
                     ],
-                    names=["_doc", "n", "keys"],
+                    names=["_doc", "_hash", "n", "sign"],
                 )
 
-    return docs.mapInArrow(run, "_doc long, n int, keys array<long>")
+    return docs.mapInArrow(run, "_doc long, _hash long, n int, sign binary")
 
 
-def _alike(least: Column, most: Column, threshold: float) -> Column:
-    """Can texts of so many shingles be similar enough at all?"""
-    return least >= F.lit(threshold - 1e-9) * most
+def _bags(docs: DataFrame, shingle: int) -> DataFrame:
+    """_doc, _hash and bag: the ascending hashes of its shingles; the k-th occurrence of one has a hash of its own."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.steps(batch, "_text"):
+                words = C.words_of(part.column("_text"), C.SPACED)
+                row, gram, weight = shingles(words, shingle)
+                number = (C.spans(np.zeros(len(weight), np.int64), weight)).astype(np.uint64)
+                row, gram = np.repeat(row, weight), C.mixed(np.repeat(gram, weight) + number * _GOLD)
+                gram = gram[np.lexsort((gram, row))]
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram.view(np.int64)))
+                ids = [part.column("_doc"), part.column("_hash")]
+                yield pa.RecordBatch.from_arrays([*ids, held], names=["_doc", "_hash", "bag"])
+
+    return docs.mapInArrow(run, "_doc long, _hash long, bag array<long>")
+
+
+def least_agreement(slots: int, threshold: float) -> int:
+    """Slots in which a pair at the threshold agrees, but for one in 10**10 of such pairs."""
+    spread = (slots * threshold * (1 - threshold)) ** 0.5
+    return max(1, int(slots * threshold - DEVIATIONS * spread))
+
+
+def group_links(
+    part: pa.Table, bands: int, rows: int, threshold: float, every: bool
+) -> tuple[list[int], list[int]]:
+    """Links that join the members of a group into its classes; ``every``: also within a block."""
+    m = part.num_rows
+    doc, n, band, mine = (part.column(c).to_numpy() for c in ("_doc", "n", "band", "mine"))
+    sign = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.uint16).reshape(m, bands * rows)
+    bags = part.column("bag").combine_chunks()
+    flat = bags.flatten().to_numpy().view(np.uint64)
+    first = np.concatenate(([0], np.cumsum(bags.value_lengths().to_numpy())))
+    enough = least_agreement(bands * rows, threshold)
+    root = np.arange(m)
+    one, two = [], []
+    for i in range(m - 1):
+        fits = np.minimum(n[i + 1 :], n[i]) >= (threshold - 1e-9) * np.maximum(n[i + 1 :], n[i])
+        fits &= (root[i + 1 :] != root[i]) & (band[i + 1 :] == band[i])
+        if not every:
+            fits &= mine[i + 1 :] != mine[i]
+        other = np.flatnonzero(fits) + i + 1
+        if not len(other):
+            continue
+        same = sign[other] == sign[i]
+        shared = same.reshape(len(other), bands, rows).all(axis=2)
+        here = shared[:, band[i]] & (shared.argmax(axis=1) == band[i]) & (same.sum(axis=1) >= enough)
+        other = other[here]
+        if not len(other):
+            continue
+        own = flat[first[i] : first[i + 1]]
+        size = first[other + 1] - first[other]
+        theirs = flat[C.spans(first[other], size)]
+        at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        common = np.add.reduceat(own[at] == theirs, np.cumsum(size) - size, dtype=np.int64)
+        whole = len(own) + size - common
+        for j in other[common >= (threshold - 1e-9) * whole].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                one.append(doc[i])
+                two.append(doc[j])
+    return one, two
+
+
+def _linked(dealt: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    """Links (a, b) of all groups (key, p, q); a group is held as a whole, and no more of its task."""
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of documents whose multisets of shingles overlap enough.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
 
-    Only documents of some pair move. The text of ``b`` moves once per pair, that
-    of ``a`` meets it in the join, whose large partitions Spark splits.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
-    texts = passing(docs.select("_doc", "_text"), id_filter(ids, "_id"), "_doc")
-    one = texts.select(F.col("_doc").alias("a"), F.col("_text").alias("_one"))
-    two = texts.select(F.col("_doc").alias("b"), F.col("_text").alias("_two"))
-    both = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "_one", "_two")
-
-    def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        words = C.words_of(texts, C.SPACED)
-        row, gram, count = shingles(words, shingle)
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
-        return [(gram[i:j], count[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+        def close() -> pa.RecordBatch:
+            group = pa.Table.from_batches(held)
+            every = last[1] == last[2]
+            one, two = group_links(group, bands, rows, threshold, every) if group.num_rows > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for half in C.steps(batch, "_two", C.STEP_BYTES // 2):
-                for part in C.steps(half, "_one", C.STEP_BYTES // 2):
-                    coded = part.column("_one").dictionary_encode()
-                    left, right = bags(coded.dictionary), bags(part.column("_two"))
-                    good = []
-                    for i, code in enumerate(coded.indices.to_pylist()):
-                        (g, m), (h, n) = left[code], right[i]
-                        if not len(g) or not len(h):
-                            continue
-                        at = np.minimum(np.searchsorted(g, h), len(g) - 1)
-                        same = g[at] == h
-                        common = int(np.minimum(m[at[same]], n[same]).sum())
-                        whole = int(m.sum() + n.sum()) - common
-                        if common >= (threshold - 1e-9) * whole:
-                            good.append(i)
-                    yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    return both.mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")], 1)
+            cut = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            for begin, end in zip(np.append(0, cut), np.append(cut, batch.num_rows)):
+                name = tuple(names[begin].tolist())
+                if held and name != last:
+                    yield close()
+                    held = []
+                last = name
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield close()
+        C.give_back()
+
+    ordered = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,7 +295,8 @@ def near_duplicate_classes(
 
     Texts are linked if the weighted Jaccard similarity of their shingle multisets is
     at least ``threshold``; equal texts with words are always in one class. Keys
-    are integers; rows that share a key count as one document. Texts that are
+    are integers; rows that share a key count as one document, in the least of its
+    texts' classes. Texts that are
     null or without words are in a class of their own key, rows with a null key have
     the null class. An empty table gives no rows; further columns are not read.
     """
@@ -250,121 +304,72 @@ def near_duplicate_classes(
     wordy = F.col(text).rlike(r"[^\x20\x09-\x0D]")
     rows_ = docs.select(
         F.col(key).cast("long").alias("_doc"),
-        F.when(wordy, F.sha2(text, 256)).alias("_same"),
+        F.when(wordy, F.unhex(F.sha2(text, 256))).alias("_same"),
         F.col(text).alias("_text"),
     )
     known = rows_.where(F.col("_doc").isNotNull())
-    copies = known.where(F.col("_same").isNotNull()).select("_doc", "_same")
-    first = copies.groupBy("_same").agg(F.min("_doc").alias("first"))
-    member = C.keep(copies.join(first, "_same").select("_doc", "first"), "copies")
-    leaders = member.select(F.col("first").alias("_doc")).distinct()
-
-    signed = _bands(known.select("_doc", "_text"), shingle, bands, rows)
-    keyed = C.keep(
-        signed.join(leaders, "_doc", "left_semi").select("_doc", "n", F.explode("keys").alias("key")), "bands"
-    )
-    who = F.struct("_doc", "n")
-    bucket = (
-        keyed.groupBy("key").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low._doc < high._doc")
-    )
-    # At first every document is a class of its own.
-    own = lambda lead: F.struct(F.col(f"{lead}._doc").alias("root"), f"{lead}.*")
-    member_of = keyed.join(bucket, "key").withColumns(
-        {"root": F.col("_doc"), "low": own("low"), "high": own("high")}
+    texts = known.select("_doc", F.xxhash64("_text").alias("_hash"), "_text")
+    copies = known.where(F.col("_same").isNotNull()).select("_doc", "_same", F.xxhash64("_text").alias("_hash"))
+    repeated = copies.groupBy("_same").agg(F.min("_doc").alias("first"), F.count("*").alias("times"))
+    repeated = C.keep(repeated.where("times > 1").drop("times"), "copies")
+    # One document of each text is enough: the others are copies of it.
+    member = copies.join(repeated, "_same").where("_doc <> first").select("_doc", "_hash", "first")
+    member = C.keep(member.distinct(), "copied")
+    signed = C.keep(
+        _signed(texts, shingle, bands * rows)
+        .join(member.select("_doc", "_hash"), ["_doc", "_hash"], "left_anti")
+        .dropDuplicates(["_doc", "_hash"]),
+        "signed",
     )
-    tried = C.keep(_pairs_of(member_of, threshold), "pairs")
-    links = C.keep(verify(tried, known, shingle, threshold), "verified")
-    while True:
-        root = components(links)
-        links = root.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        if (new := _open_pairs(keyed, bucket, root, tried, threshold)).isEmpty():
-            break
-        found = C.keep(verify(new, known, shingle, threshold), "verified")
-        tried = tried.union(new)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-    if not (rest := _rest_pairs(keyed, bucket, root, tried, threshold)).isEmpty():
-        found = C.keep(verify(rest, known, shingle, threshold), "verified")
-        if not found.isEmpty():
-            root = components(links.union(found))
-    classes = member.join(root, member["first"] == root["node"], "left").select(
+    links = C.keep(_links_of(signed, texts, shingle, bands, rows, threshold), "verified")
+    root = components(links)
+    copied = member.join(root, member["first"] == root["node"], "left").select(
         "_doc", F.coalesce("root", "first").alias("_class")
     )
+    moved = root.select(F.col("node").alias("_doc"), F.col("root").alias("_class")).union(copied)
+    best = moved.groupBy("_doc").agg(F.min("_class").alias("_class"))
     out = docs.select(F.col(key), F.col(key).cast("long").alias("_doc"))
-    best = classes.groupBy("_doc").agg(F.min("_class").alias("_class"))
     return out.join(best, "_doc", "left").select(key, F.coalesce("_class", "_doc").alias("class_id"))
 
 
-def _pairs_of(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members with those leaders of their bucket that have another root."""
-
-    def fits(lead: Column) -> Column:
-        n, m = F.col("n"), lead["n"]
-        return (lead["root"] != F.col("root")) & _alike(F.least(n, m), F.greatest(n, m), threshold)
-
-    return (
-        members.withColumn("leads", F.filter(F.array("low", "high"), fits))
-        .where(F.size("leads") > 0)
-        .select("_doc", F.explode("leads._doc").alias("lead"))
-        .select(F.least("_doc", "lead").alias("a"), F.greatest("_doc", "lead").alias("b"))
-        .distinct()
-    )
-
-
-def _named(keyed: DataFrame, bucket: DataFrame, root: DataFrame) -> DataFrame:
-    """Members of buckets of several documents, each with the root of its class."""
-    shared = keyed.join(bucket.select("key"), "key", "left_semi")
-    return shared.join(root, shared["_doc"] == root["node"], "left").select(
-        "key", "_doc", "n", F.coalesce("root", "_doc").alias("root")
-    )
-
-
-def _open_pairs(
-    keyed: DataFrame, bucket: DataFrame, root: DataFrame, tried: DataFrame, threshold: float
+def _links_of(
+    signed: DataFrame, docs: DataFrame, shingle: int, bands: int, rows: int, threshold: float
 ) -> DataFrame:
-    """Pairs not tried yet of members of a bucket and the leaders of other classes in it."""
-    named = _named(keyed, bucket, root)
-    who = F.struct("root", "_doc", "n")
-    apart = (
-        named.groupBy("key")
-        .agg(F.min(who).alias("low"), F.max(who).alias("high"))
-        .where("low.root < high.root")
+    """Links (a, b) between texts that share a band and are similar enough."""
+    width = 2 * rows
+    band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
+    keyed = signed.select("_doc", "_hash", "n", "sign", band).select(
+        "_doc", "_hash", "n", "band", F.expr(f"xxhash64(band, substring(sign, {width} * band + 1, {width}))").alias("key")
     )
-    new = _pairs_of(named.join(apart, "key"), threshold).join(tried, ["a", "b"], "left_anti")
-    return C.keep(new, "pairs")
-
-
-def _rest_pairs(
-    keyed: DataFrame, bucket: DataFrame, root: DataFrame, tried: DataFrame, threshold: float
-) -> DataFrame:
-    """All pairs not tried yet of members of a bucket that are in different classes.
-
-    A bucket is cut into blocks of about ``BLOCK`` members, and every two blocks meet in
-    a group of their own: no group of the join grows with the bucket.
-    """
-    named = _named(keyed, bucket, root)
-    sizes = (
-        named.groupBy("key")
-        .agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low < high")
-        .select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    buckets = (
+        keyed.groupBy("key")
+        .agg(
+            F.count("*").alias("size"),
+            F.sum(F.col("n").cast("long")).alias("words"),
+            F.bit_xor(F.xxhash64("_doc", "_hash")).alias("x"),
+            F.bit_xor(F.xxhash64("_hash", "_doc")).alias("y"),
+            F.min("band").alias("band"),
+        )
+        .where("size > 1")
     )
-    placed = named.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("_doc", "key"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = placed.withColumn("other", other).select(
-        "key",
-        F.least("mine", "other").alias("p"),
-        F.greatest("mine", "other").alias("q"),
-        *("mine", "_doc", "n", "root"),
+    # Buckets with the same members: a pair is looked at in the first band it shares.
+    chosen = (
+        buckets.groupBy("size", "words", "x", "y")
+        .agg(F.min(F.struct("band", "key")).alias("least"))
+        .select("least.key", F.ceil(F.col("words") / BLOCK_SHINGLES).alias("blocks"))
     )
-    one, two = met.alias("one"), met.alias("two")
-    n, m = F.col("one.n"), F.col("two.n")
-    apart = (F.col("one.mine") != F.col("two.mine")) | (F.col("one.p") == F.col("one.q"))
-    pairs = one.join(
-        two,
-        [F.col(f"one.{c}") == F.col(f"two.{c}") for c in ("key", "p", "q")]
-        + [F.col("one._doc") < F.col("two._doc"), F.col("one.root") != F.col("two.root"), apart]
-        + [_alike(F.least(n, m), F.greatest(n, m), threshold)],
-    ).select(F.col("one._doc").alias("a"), F.col("two._doc").alias("b"))
-    return C.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    members = C.keep(keyed.join(chosen, "key"), "members")
+    ids = members.select("_doc").distinct()
+    texts = passing(docs, id_filter(ids, "_doc"), "_doc").dropDuplicates(["_doc", "_hash"])
+    entity = ["_doc", "_hash"]
+    payload = _bags(texts, shingle).join(signed.select(*entity, "sign"), entity)
+    mine = F.pmod(F.xxhash64("_doc", "key"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = (
+        members.join(payload, entity)
+        .withColumn("mine", mine)
+        .withColumn("other", other)
+        .select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
+                "_doc", "n", "band", "mine", "sign", "bag")
+    )
+    return _linked(dealt, bands, rows, threshold).where("a <> b").distinct()

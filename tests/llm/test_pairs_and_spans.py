@@ -211,15 +211,56 @@ def test_links_behind_leaders_that_resemble_nobody(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [near_duplicates.BLOCK, 3])
-def test_rest_holds_every_open_pair_once(spark, monkeypatch, block):
-    monkeypatch.setattr(near_duplicates, "BLOCK", block)
-    keyed = spark.createDataFrame(
-        [(d, 100, k) for k, ds in ((1, range(20)), (2, range(15, 25)), (3, [30])) for d in ds], "_doc long, n int, key long"
-    )
-    bucket = spark.createDataFrame([(1,), (2,)], "key long")
-    root = spark.createDataFrame([(4, 3), (3, 3)], "node long, root long")
-    tried = spark.createDataFrame([(0, 1), (5, 9)], "a long, b long")
-    got = [tuple(r) for r in near_duplicates._rest_pairs(keyed, bucket, root, tried, 0.8).collect()]
-    want = {(a, b) for ds in (range(20), range(15, 25)) for a in ds for b in ds if a < b}
-    assert sorted(got) == sorted(want - {(0, 1), (5, 9), (3, 4)})
+@pytest.mark.parametrize("block", [near_duplicates.BLOCK_SHINGLES, 900])
+def test_every_link_of_a_bucket_in_blocks(spark, monkeypatch, block):
+    """One base and many edited copies, around the threshold: buckets of one or many blocks give the same classes."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", block)
+    drawn = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for doc in range(1, 161):
+        copy = list(base)
+        for at in drawn.choice(130, drawn.integers(0, 7), replace=False):
+            copy[at] = f"{doc % 23}x{at}"
+        rows.append((doc, " ".join(copy)))
+    rows += [(3, rows[50][1]), (3, "another text of the third document altogether"), (None, rows[9][1])]
+    docs = spark.createDataFrame(rows[:160], "doc_id long, text string")
+    got = dict(map(tuple, near_duplicates.near_duplicate_classes(docs).collect()))
+    want = brute_classes(rows[:160])
+    assert got == want and len(set(want.values())) > 3
+    again = near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(again) == len(rows) and [r.class_id for r in again if r.doc_id is None] == [None]
+
+
+def test_two_thousand_edited_copies(spark):
+    """Most are similar to few others at 0.6 to 0.9; against all pairs by a matrix of shingles."""
+    drawn = np.random.default_rng(17)
+    base = [f"w{i}" for i in range(104)]
+    rows = []
+    for doc in range(2000):
+        copy = list(base)
+        for at in drawn.choice(104, drawn.integers(0, 8), replace=False):
+            copy[at] = f"{doc % 300}x{at}"
+        rows.append((doc, " ".join(copy)))
+    names = {}
+    held = np.zeros((2000, 100), np.int32)
+    for doc, text in rows:
+        w = text.split()
+        held[doc] = [names.setdefault(tuple(w[i : i + 5]), len(names)) for i in range(100)]
+    # The i-th shingle stands at the same place in all copies: common ones are equal columns.
+    root = np.arange(2000)
+    for i in range(2000):
+        common = (held == held[i]).sum(1)
+        for j in np.flatnonzero(5 * common >= 4 * (200 - common)):
+            if root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+    got = dict(map(tuple, near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == dict(enumerate(root.tolist()))
+    assert 5 < len(set(root.tolist())) < 1990
+
+
+def test_registered_classes_at_a_larger_scale(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert dict(map(tuple, QUERIES["op6_bagminhash_near_duplicates"](spark, sf).collect())) == brute_classes(rows)
