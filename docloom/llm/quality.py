@@ -230,11 +230,9 @@ def train(
             T.StructField("values", T.ArrayType(T.FloatType())),
         ]
     )
-    got = wanted.mapInArrow(run, schema).toArrow().sort_by("_id")
-    names, values, marks = (got.column(c).to_pylist() for c in ("names", "values", "_label"))
-    return fit(
-        [(np.array(a, np.int64), np.array(b, float), m) for a, b, m in zip(names, values, marks)]
-    )
+    got = wanted.mapInArrow(run, schema).toArrow().sort_by("_id").combine_chunks()
+    names, values, marks = (got.column(c).to_numpy() for c in ("names", "values", "_label"))
+    return fit([(a.astype(np.int64), b.astype(float), m) for a, b, m in zip(names, values, marks.tolist())])
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
