@@ -1,9 +1,9 @@
 """Removal of word sequences that already occur in an earlier document.
 
-Suffixes are split by their leading words into groups that fit in memory, each
-group is sorted by prefix doubling as a suffix array is, and the nodes of its
-subtree that lie ``WINDOW`` words deep tell which windows are repeats and in
-which document they start first.
+Suffixes are split by their leading words into groups that fit in memory. Each group is
+sorted as a suffix array, with the common prefix of neighbours, and the inner nodes of
+its subtree that lie ``WINDOW`` words deep or deeper tell which windows are repeats and
+in which document they start first.
 
 1. *Prefix counts.* Of all suffixes only those at winnowed anchors are counted:
    the least 5-word prefix among the suffixes that start in a window. Every window
@@ -13,14 +13,15 @@ which document they start first.
    prefix sends a row for each combined block, whoever holds it.
 2. *Groups.* Documents with shared anchors meet their positions; each shared
    anchor becomes a row with the words of all windows it stands for. Rows are
-   grouped by the 5-word prefix. A prefix with too many rows is extended to the
-   whole window: its windows are keyed by all their words and the first document
-   of each comes from an aggregation, so no group has to be held.
-3. *Subtrees.* Within a group every window gets its rank among the suffixes of
-   ``WINDOW`` words (ranks of 1, 2, 4, 8 words doubled); equal ranks are one
-   deep node. Runs of windows whose node begins in an earlier document are the
-   maximal repeats to remove.
-4. Documents with repeats meet their spans and are put together again; the
+   grouped by the 5-word prefix, and a prefix with more rows than a group may hold
+   by a number drawn from their document as well.
+3. *Subtrees.* Windows of a group below one deep inner node are equal. All but those of
+   the node's earliest document are repeats, whatever other groups of the prefix hold.
+   Runs of them are the maximal repeats to remove.
+4. *Longer prefixes.* Where a prefix has several groups, the earliest documents of their
+   nodes are left open. They alone go on, keyed by the words of the whole window, one
+   row per node and group, and lose the window if another group has an earlier one.
+5. Documents with repeats meet their spans and are put together again; the
    others are passed on where they are.
 """
 
@@ -40,8 +41,8 @@ from docloom.operators.id_filters import id_filter, passing
 
 WINDOW = 13
 GRAM = 5
-#: Rows of one prefix that a task may hold as one group.
-GROUP_ROWS = 100_000
+#: Rows of one prefix that a group holds on average at most.
+GROUP_ROWS = 20_000
 #: Occurrences that a task combines at once.
 BLOCK = 1_000_000
 
@@ -174,49 +175,79 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.unique((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64), return_inverse=True)[1]
 
 
-def suffix_ranks(code: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of the ``depth`` words from each position on: equal exactly if the words are."""
+def suffix_order(code: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``at`` by their first ``depth`` words, and common words with the one before.
+
+    Ranks of 1, 2, 4, ... words are doubled until they cover ``depth`` of them; all
+    suffixes have as many. Common prefixes are counted up to ``depth``.
+    """
     rank, have = code, 1
     while have < depth:
         more = min(have, depth - have)
-        if len(rank) <= more:
-            return np.zeros(0, np.int64)
         rank = _pairs(rank[:-more], rank[more:])
         have += more
-    return rank
+    order = np.argsort(rank[at], kind="stable")
+    common = np.zeros(len(at), np.int64)
+    one, two = at[order[:-1]], at[order[1:]]
+    alike = np.ones(len(one), bool)
+    for j in range(depth):
+        alike &= code[one + j] == code[two + j]
+        common[1:] += alike
+    return order, common
+
+
+def _runs(row: np.ndarray, begin: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of chosen windows that lie side by side in a row."""
+    after = np.zeros(len(row) + 1, bool)
+    after[1:-1] = (row[1:] == row[:-1]) & (begin[1:] == begin[:-1] + 1) & chosen[1:] & chosen[:-1]
+    return np.flatnonzero(chosen & ~after[:-1]), np.flatnonzero(chosen & ~after[1:])
 
 
 def _repeats(rows: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
-    """Word spans of windows that start in an earlier document of these groups."""
+    """Word spans of repeats within these groups, and windows that other groups must decide (with their words)."""
     held = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
     words = C.words_of(held.column("words"), C.SPACED)
-    doc = held.column("doc").to_numpy()
-    first, n = (held.column(c).to_numpy().astype(np.int64) for c in ("first", "n"))
-    at = C.spans(words.first, n)
+    doc, first, n, parts, key, part = (
+        held.column(c).to_numpy().astype(np.int64) for c in ("doc", "first", "n", "parts", "key", "part")
+    )
+    group = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
     row = np.repeat(np.arange(len(n)), n)
-    node = suffix_ranks(words.code, window)[at]
-    earliest = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(earliest, node, doc[row])
-    gone = doc[row] > earliest[node]
-    # Runs of removed windows within a row.
-    same = np.zeros(len(gone), bool)
-    same[1:] = row[1:] == row[:-1]
-    start = np.flatnonzero(gone & ~(same & np.concatenate(([False], gone[:-1]))))
-    after = np.concatenate((same[1:] & gone[1:], [False]))
-    stop = np.flatnonzero(gone & ~after)
-    begin = first[row[start]] + (start - np.searchsorted(row, row[start]))
+    at = C.spans(words.first, n)
+    order, common = suffix_order(words.code, at, window)
+    # Groups side by side may hold parts of one prefix: a node is one of its group.
+    of = group[row[order]]
+    resorted = np.argsort(of, kind="stable")
+    order, of = order[resorted], of[resorted]
+    node = np.cumsum(common < window)[resorted]  # inner nodes, and leaves, of the window's depth
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (node[1:] != node[:-1]) | (of[1:] != of[:-1])
+    low = np.minimum.reduceat(doc[row[order]], np.flatnonzero(fresh)) if len(order) else doc[:0]
+    earliest = np.empty(len(order), np.int64)
+    earliest[order] = low[np.cumsum(fresh) - 1]
+    gone = doc[row] > earliest
+    begin = first[row] + (at - words.first[row])
+    start, stop = _runs(row, begin, gone)
+    left = np.flatnonzero(~gone & (parts[row] > 1))
+    taken = C.spans(at[left], np.full(len(left), window))
+    context = C.Words(
+        np.repeat(np.arange(len(left)), window), np.full(len(left), window), words.code[taken], words.distinct, *_gather(words, taken)
+    )
+    where = np.concatenate((row[start], row[left]))
     return pa.RecordBatch.from_arrays(
         [
-            held.column("doc").take(pa.array(row[start])),
-            held.column("copy").take(pa.array(row[start])),
-            pa.array(begin.astype(np.int32)),
-            pa.array((begin + stop - start + window).astype(np.int32)),
+            held.column("doc").take(pa.array(where)),
+            held.column("copy").take(pa.array(where)),
+            pa.array(np.concatenate((begin[start], begin[left])).astype(np.int32)),
+            pa.array(np.concatenate((begin[stop], begin[left])).astype(np.int32) + window),
+            pa.concat_arrays([pa.nulls(len(start), pa.string()), C.joined(context, np.ones(len(taken), bool)).cast(pa.string())]),
         ],
-        names=["doc", "copy", "begin", "end"],
+        names=["doc", "copy", "begin", "end", "prefix"],
     )
 
 
 def _subtrees(groups: DataFrame, window: int) -> DataFrame:
+    """Spans of repeats, and open windows (``prefix`` is not null), of rows sorted by group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
@@ -227,9 +258,10 @@ def _subtrees(groups: DataFrame, window: int) -> DataFrame:
             n += batch.num_rows
             if n < 20_000:
                 continue
-            # The last prefix may go on in the next batch.
-            key = batch.column("key").to_numpy()
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            # The last group may go on in the next batch.
+            key, part = (batch.column(c).to_numpy() for c in ("key", "part"))
+            other = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield _repeats([*held[:-1], batch.slice(0, cut)], window)
                 held, n = [batch.slice(cut)], batch.num_rows - cut
@@ -237,26 +269,7 @@ def _subtrees(groups: DataFrame, window: int) -> DataFrame:
             yield _repeats(held, window)
         C.give_back()
 
-    return groups.mapInArrow(run, "doc long, copy int, begin int, end int")
-
-
-def _long_prefixes(groups: DataFrame, window: int) -> DataFrame:
-    """The same for prefixes of whole windows: the first document of each by aggregation."""
-    each = groups.select(
-        "doc", "copy", "first", F.split("words", " ").alias("words"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")
-    ).select(
-        "doc",
-        "copy",
-        (F.col("first") + F.col("j")).alias("begin"),
-        F.array_join(F.slice("words", F.col("j") + 1, window), " ").alias("prefix"),
-    )
-    # Written, so that the join reads both sides alike and splits a prefix with many rows.
-    earliest = C.keep(each.groupBy("prefix").agg(F.min("doc").alias("earliest")), "earliest")
-    return (
-        each.join(earliest, "prefix")
-        .where(F.col("doc") > F.col("earliest"))
-        .select("doc", "copy", "begin", (F.col("begin") + window).alias("end"))
-    )
+    return groups.mapInArrow(run, "doc long, copy int, begin int, end int, prefix string")
 
 
 def repeated_spans(
@@ -267,20 +280,24 @@ def repeated_spans(
     ``docs`` has ``_doc`` (long, not null), ``_copy`` (tells rows with one id apart) and ``_text``.
     """
     shared = C.keep(shared_prefixes(docs.select("_doc", "_text"), window, gram), "prefixes")
+    # At most one prefix in ``group_rows`` occurrences has several groups.
+    parts = F.ceil(F.max("total") / group_rows).cast("int").alias("parts")
+    heavy = C.keep(shared.where((F.col("n") > 0) & (F.col("total") > group_rows)).groupBy("key").agg(parts), "heavy")
     places = shared.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pos").alias("_places"))
     moved = passing(docs, id_filter(shared, "doc"), "_doc").join(places, "_doc")
     rows = _suffixes(moved.select("_doc", "_copy", "_text", "_places"), window, gram)
-    # Prefixes with more rows than a group may have: at most all rows / group_rows.
-    large = C.keep(
-        shared.where((F.col("n") > 0) & (F.col("total") > group_rows)).select("key").distinct(), "large"
+    several = F.coalesce("parts", F.lit(1))
+    grouped = rows.join(heavy, "key", "left").withColumns(
+        {"parts": several, "part": F.pmod(F.xxhash64("doc"), several).cast("int")}
     )
-    if large.isEmpty():
-        spans = _subtrees(rows.repartition("key").sortWithinPartitions("key"), window)
-    else:
-        small = rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-        spans = _subtrees(small, window).unionByName(
-            _long_prefixes(rows.join(large, "key", "left_semi"), window)
-        )
+    dealt = grouped.repartition("key", "part").sortWithinPartitions("key", "part")
+    found = C.keep(_subtrees(dealt, window), "repeats")
+    span = ["doc", "copy", "begin", "end"]
+    # The windows of the earliest documents of groups of one prefix: written, so that the join may split.
+    opened = found.where("prefix is not null")
+    earliest = C.keep(opened.groupBy("prefix").agg(F.min("doc").alias("earliest")), "earliest")
+    late = opened.join(earliest, "prefix").where(F.col("doc") > F.col("earliest")).select(span)
+    spans = found.where("prefix is null").select(span).unionByName(late)
     return spans.groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).agg(
         F.collect_list(F.array("begin", "end")).alias("_spans")
     )

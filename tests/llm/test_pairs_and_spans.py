@@ -31,7 +31,7 @@ def brute_repeats(rows, n=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("group_rows", [substrings.GROUP_ROWS, 1])
+@pytest.mark.parametrize("group_rows", [substrings.GROUP_ROWS, 7, 1])
 def test_repeats_match_brute_force(odd, group_rows):
     got = substrings.remove_repeats(odd, group_rows=group_rows)
     assert got.columns == ["doc_id", "n_words", "n_removed", "kept"]
@@ -44,14 +44,23 @@ def test_carried_columns_survive(odd):
     assert {r.lang for r in got.collect()} == {"en"}
 
 
-def test_suffix_ranks_are_equal_exactly_for_equal_words():
+def test_suffixes_are_sorted_with_their_common_words():
     code = np.random.default_rng(3).integers(0, 3, 500)
-    rank = substrings.suffix_ranks(code, 13)
-    assert len(rank) == 488
-    seen = {}
-    for i, r in enumerate(rank.tolist()):
-        assert seen.setdefault(tuple(code[i : i + 13]), r) == r
-    assert len(set(rank.tolist())) == len(seen)
+    at = np.random.default_rng(4).permutation(480)
+    order, common = substrings.suffix_order(code, at, 13)
+    found = [tuple(code[i : i + 13]) for i in at[order]]
+    assert found == sorted(found)
+    for i in range(1, len(found)):
+        same = [a == b for a, b in zip(found[i - 1], found[i])]
+        assert common[i] == (same.index(False) if False in same else 13)
+
+
+@pytest.mark.parametrize("group_rows", [50, 3])
+def test_a_passage_in_very_many_documents(spark, group_rows):
+    """A hot prefix over many groups, whose earliest documents must still meet."""
+    rows = [(d, f"{' '.join(varied(d, 9))} {SENTENCE} {' '.join(varied(d + 1, 9))} {SENTENCE if d % 3 else ''}") for d in range(1, 200)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=group_rows)
+    assert Counter(map(tuple, got.collect())) == brute_repeats(rows)
 
 
 def test_winnowing_guarantee():
