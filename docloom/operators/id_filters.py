@@ -26,7 +26,21 @@ def id_filter(ids: DataFrame, name: str) -> DataFrame:
 
 def passing(rows: DataFrame, held: DataFrame, name: str, maybe: bool = True) -> DataFrame:
     """Rows whose id the filter may contain, or (``maybe=False``) those whose id it does not."""
-    found = rows.withColumn("_bit", _bit(name)).withColumn("_slot", F.shiftright("_bit", 5))
-    found = found.join(F.broadcast(held), "_slot", "inner" if maybe else "left")
-    hit = F.coalesce(F.expr("shiftright(_bits, cast(_bit % 32 as int)) & 1") == 1, F.lit(False))
+    bit, slot, bits = unused(rows, "_bit", "_slot", "_bits")
+    held = held.toDF(slot, bits)
+    found = rows.withColumn(bit, _bit(name)).withColumn(slot, F.shiftright(bit, 5))
+    found = found.join(F.broadcast(held), slot, "inner" if maybe else "left")
+    hit = F.expr(f"shiftright({bits}, cast({bit} % 32 as int)) & 1") == 1
+    hit = F.coalesce(hit, F.lit(False))
     return found.where(hit if maybe else ~hit).select(rows.columns)
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column has it (letter case does not count)."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
