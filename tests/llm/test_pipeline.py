@@ -29,6 +29,29 @@ def tables(spark, tmp_path, docs):
     return sf
 
 
+def frame(spark, rows):
+    return spark.createDataFrame(
+        [(d, t, "en", "src0", len(t or "")) for d, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+
+
+def near_rows(stage, spark, sf, rows):
+    left = stage("MinHash near-dedup")(spark, frame(spark, rows), sf)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    return pairs(left)
+
+
+def kept_rows(rows):
+    """One row of each class of rows: the least id, null last."""
+    classes = brute_classes([(i, t) for i, (_, t) in enumerate(rows)])
+    best = {}
+    for i, (doc, _) in enumerate(rows):
+        rank = (doc is None, doc or 0, i)
+        best[classes[i]] = min(rank, best.get(classes[i], rank))
+    return Counter(rows[i] for _, _, i in best.values())
+
+
 def test_stages_against_brute_force(spark, odd, tmp_path):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     sf = tables(spark, tmp_path, docs)
@@ -40,12 +63,9 @@ def test_stages_against_brute_force(spark, odd, tmp_path):
     assert kept.columns == docs.columns
     assert {(d, n) for d, n in Counter(r.doc_id for r in kept.collect()).items()} == good
 
-    classes = brute_classes(rows)
-    left = stage("MinHash near-dedup")(spark, docs, sf)
-    assert left.columns == docs.columns
-    want = Counter((d, t) for d, t in set(rows) if d is not None and classes[d] == d)
-    want.update((d, t) for d, t in rows if d is None)
-    assert pairs(left) == want
+    # Rows, not ids, are judged: two texts under one id, copies under null ids.
+    mixed = [*rows, (9, "quite another text of the ninth one"), (None, rows[16][1] + " more")]
+    assert near_rows(stage, spark, sf, mixed) == kept_rows(mixed)
 
     cut = stage("substring dedup")(spark, docs, sf)
     assert cut.columns == docs.columns
@@ -60,9 +80,16 @@ def test_stages_against_brute_force(spark, odd, tmp_path):
 
     clean = stage("benchmark decontamination")(spark, docs, sf)
     items = [(1, SENTENCE), (2, " ".join(varied(14, 20000)[100:160]))]
-    bad = {d for (d, n, hit, _, _) in brute_hits(rows, items) if d is not None and hit and 20 * hit >= n}
-    assert bad >= {4, 5, 6} and 14 not in bad
-    assert pairs(clean) == Counter(r for r in rows if r[0] not in bad)
+
+    def bad(text):
+        ((_, n, hit, _, _),) = brute_hits([(0, text)], items)
+        return hit and 20 * hit >= n
+
+    assert {d for d, t in rows if bad(t)} >= {4, 5, 6} and not bad(rows[13][1])
+    assert pairs(clean) == Counter(r for r in rows if not bad(r[1]))
+    mixed = [(1, SENTENCE), (1, "clean words here"), (None, SENTENCE), (None, "clean too"), (None, None)]
+    again = stage("benchmark decontamination")(spark, frame(spark, mixed), sf)
+    assert pairs(again) == Counter([mixed[1], mixed[3], mixed[4]])
 
     some = {d: t for d, t in rows if d is not None and d < 20 and d != 17}
     packed = stage("best-fit packing")(spark, docs.where("doc_id < 20 and doc_id <> 17"), sf)
