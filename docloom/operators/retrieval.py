@@ -1,12 +1,9 @@
-"""Ranked retrieval: dense, sparse, approximate, fused, reranked and end to end."""
+"""Ranked retrieval: dense, sparse, fused, reranked and end to end."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,68 +73,7 @@ def filtered_candidates(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("query_id").join(counts, "query_id", "left").fillna(0, ["n_candidates"])
 
 
-# --- approximate search -------------------------------------------------------
-
-
-def hyperplanes(bits: int, width: int) -> np.ndarray:
-    """Fixed planes with entries of +1 or -1, drawn from MD5."""
-
-    def side(j: int, i: int) -> int:
-        digest = hashlib.md5(f"{j}:{i}".encode(), usedforsecurity=False).hexdigest()
-        return int(digest[:8], 16) % 2 * 2 - 1
-
-    return np.array([[side(j, i) for i in range(width)] for j in range(bits)], dtype=np.float64)
-
-
-def lsh_code(vector: Column, width: int, bits: int = 8) -> Column:
-    """Bucket number of a vector: on which side of each plane it lies."""
-
-    @F.pandas_udf("int")
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes = hyperplanes(bits, width)
-        weights = 1 << np.arange(bits)
-        for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype="int32")
-                continue
-            sides = np.stack(batch.to_numpy()).astype(np.float64) @ planes.T >= 0
-            yield pd.Series((sides @ weights).astype(np.int32))
-
-    return code(vector)
-
-
-def ann_topk(
-    chunks: DataFrame,
-    queries: DataFrame,
-    width: int,
-    k: int = rules.TOP_K_DENSE,
-    bits: int = 8,
-    radius: int = 2,
-) -> DataFrame:
-    """Best ``k`` among chunks whose bucket differs in at most ``radius`` bits.
-
-    A chunk table stored with a ``code`` column (and partitioned by it) is
-    pruned to the buckets in reach before anything is scored.
-    """
-    with_code = lambda df: (
-        df
-        if "code" in df.columns
-        else df.withColumn("code", lsh_code(F.col("dense"), width, bits))
-    )
-    queries = with_code(queries)
-    if "code" in chunks.columns:
-        # At most 2**bits codes come back.
-        asked = [row["code"] for row in queries.select("code").distinct().collect()]
-        near = [c for c in range(1 << bits) if any((c ^ a).bit_count() <= radius for a in asked)]
-        chunks = chunks.where(F.col("code").isin(near))
-    chunks = with_code(chunks)
-
-    def reach(part, block) -> np.ndarray:
-        mine = part["code"].to_numpy().astype(np.int64)
-        return np.bitwise_count(mine[:, None] ^ block.codes[None, :].astype(np.int64)) <= radius
-
-    options = {"reach": reach, "columns": ["code"]}
-    return score_topk(chunks, queries, ("dense",), k, options)
+# --- near duplicates ----------------------------------------------------------
 
 
 def near_dup_chunks(existing: DataFrame, incoming: DataFrame, threshold: float) -> DataFrame:

@@ -71,7 +71,6 @@ class QueryBlock:
             self.to_query = np.array([q for q, _ in flat], dtype=np.int64)
             self.to_weight = np.array([w for _, w in flat], dtype=np.float64)
             self.vocabulary = pa.array(list(self.columns), pa.string())
-        self.codes = rows["code"].to_numpy() if "code" in names else None
         # Queries with the same filter share one mask.
         self.groups: dict[tuple, list[int]] = {}
         taken = {c: rows[c].to_pylist() for c in FILTERS if c in names}
@@ -207,8 +206,6 @@ def _score(
             closed = None
             if options.get("skip_self"):
                 closed = ids[:, None] >= query_ids[None, :]
-            if "reach" in options:
-                closed = ~options["reach"](part, block)
             masks = block.masks(part)
             for leg in legs:
                 matrix = block.dense_scores(part) if leg == "dense" else block.sparse_scores(part)
@@ -241,6 +238,31 @@ def with_list_filters(queries: DataFrame) -> DataFrame:
     return queries
 
 
+def _prepared(chunks, queries, legs, k, options, carry):
+    """Both sides with the columns that are used, how to build a block of queries, and the schema of hits."""
+    needed = {"query_id", "top_k", "chunk_types", *legs_columns(legs), *FILTERS, *options.get("columns", [])}
+    queries = with_list_filters(queries.select(*[c for c in queries.columns if c in needed]))
+    used = [c for c in FILTERS if c in queries.columns and c in chunks.columns]
+    if "chunk_types" in queries.columns and "chunk_type" not in used:
+        used.append("chunk_type")
+    extra = [*options.get("columns", []), *([carry] if carry and carry not in used else [])]
+    chunks = chunks.select("chunk_id", *legs_columns(legs), *used, *extra)
+    query_type, id_type = _arrow(queries, "query_id"), _arrow(chunks, "chunk_id")
+    names = {"bigint": "bigint", "int": "int", "string": "string"}
+    ddl = (
+        f"query_id {names[queries.schema['query_id'].dataType.simpleString()]},"
+        f"chunk_id {names[chunks.schema['chunk_id'].dataType.simpleString()]},"
+        "stage string, score double, _k int"
+    ) + (f", {carry} string" if carry else "")
+
+    def build(rows: pa.Table) -> QueryBlock:
+        block = QueryBlock(rows, k, id_type)
+        block.query_type, block.carry = query_type, carry
+        return block
+
+    return chunks, queries, build, ddl
+
+
 def score_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -260,25 +282,7 @@ def score_topk(
     """
     options = options or {}
     spark = chunks.sparkSession
-    needed = {"query_id", "top_k", "chunk_types", "code", *legs_columns(legs), *FILTERS}
-    queries = with_list_filters(queries.select(*[c for c in queries.columns if c in needed]))
-    used = [c for c in FILTERS if c in queries.columns and c in chunks.columns]
-    if "chunk_types" in queries.columns and "chunk_type" not in used:
-        used.append("chunk_type")
-    extra = [*options.get("columns", []), *([carry] if carry and carry not in used else [])]
-    chunks = chunks.select("chunk_id", *legs_columns(legs), *used, *extra)
-    query_type, id_type = _arrow(queries, "query_id"), _arrow(chunks, "chunk_id")
-    names = {"bigint": "bigint", "int": "int", "string": "string"}
-    ddl = (
-        f"query_id {names[queries.schema['query_id'].dataType.simpleString()]},"
-        f"chunk_id {names[chunks.schema['chunk_id'].dataType.simpleString()]},"
-        "stage string, score double, _k int"
-    ) + (f", {carry} string" if carry else "")
-
-    def build(rows: pa.Table) -> QueryBlock:
-        block = QueryBlock(rows, k, id_type)
-        block.query_type, block.carry = query_type, carry
-        return block
+    chunks, queries, build, ddl = _prepared(chunks, queries, legs, k, options, carry)
 
     # Bounded look: one row more than the limit is enough to decide.
     head = queries.limit(broadcast_queries + 1).toArrow()
@@ -312,20 +316,54 @@ def _blocked(chunks, queries, build, legs, options, ddl) -> DataFrame:
         "_c", every(chunk_blocks)
     )
 
+    return _meet(left, right, ["_c", "_q"], build, legs, options, ddl)
+
+
+def _meet(left, right, keys, build, legs, options, ddl) -> DataFrame:
+    """Hits of the chunks and queries with equal keys, block by block."""
+
     def run(block_chunks: pa.Table, block_queries: pa.Table) -> pa.Table:
         if not block_chunks.num_rows or not block_queries.num_rows:
             empty = build(block_queries.slice(0, 0))
-            return pa.Table.from_batches([Best(empty).rows("dense")])
+            return pa.Table.from_batches([Best(empty).rows(legs[0])])
         out = list(
             _score(iter(block_chunks.to_batches()), build(block_queries), legs, options)
         )
         return pa.Table.from_batches(out)
 
-    return (
-        left.groupBy("_c", "_q")
-        .cogroup(right.groupBy("_c", "_q"))
-        .applyInArrow(run, ddl)
+    # Columns of their own: both sides may come from one table.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, ddl)
+
+
+def score_in_cells(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` chunks per query by cosine among chunks of equal ``cell``; a query has a row per cell.
+
+    A cell with many chunks, or asked by many queries, is dealt out: every block of its
+    chunks meets every block of its queries in a group of its own.
+    """
+    chunks, queries, build, ddl = _prepared(chunks, queries, ("dense",), k, {"columns": ["cell"]}, None)
+    blocks = lambda df, rows, name: df.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / rows).alias(name)
+    )
+    # One row per cell.
+    plan = F.broadcast(
+        blocks(chunks, BLOCK_ROWS, "_cs").join(blocks(queries, BROADCAST_QUERIES, "_qs"), "cell")
+    )
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+    left = (
+        chunks.join(plan, "cell")
+        .withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.col("_cs")))
+        .withColumn("_q", every("_qs"))
+        .drop("_cs", "_qs")
+    )
+    right = (
+        queries.join(plan, "cell")
+        .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_qs")))
+        .withColumn("_c", every("_cs"))
+        .drop("_cs", "_qs")
     )
+    return take_best(_meet(left, right, ["cell", "_c", "_q"], build, ("dense",), {}, ddl))
 
 
 def take_best(hits: DataFrame) -> DataFrame:

@@ -639,14 +639,37 @@ _DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)
 ORACLES["dense_topk_batch"] = f"""
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
   FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_DOT} AS score FROM embeddings a, embeddings b)) WHERE rank <= 10"""
-ORACLES["ann_topk"] = f"""
-WITH pl AS (SELECT j, i, ('0x' || substr(md5(j || ':' || i), 1, 8))::BIGINT % 2 * 2 - 1 AS side FROM range(8) a(j), range(64) b(i)),
-cs AS (SELECT vec_id, j, sum(embedding[i + 1]::DOUBLE * side) >= 0 AS bit FROM embeddings, pl GROUP BY ALL),
-code AS (SELECT vec_id, sum(CASE WHEN bit THEN 1::BIGINT << j ELSE 0 END)::BIGINT AS code FROM cs GROUP BY vec_id),
-e AS (SELECT * FROM embeddings JOIN code USING (vec_id))
-SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-  FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_DOT} AS score FROM e a, e b
-    WHERE bit_count(xor(a.code, b.code)) <= 2)) WHERE rank <= 10"""
+
+
+def _cells(rounds: int) -> str:
+    """Centres: vectors by hashed id, then the directions of their cells' sums."""
+    near = "row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(v, c) DESC, cell)"
+    parts = [
+        """e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) = 64),
+sm AS (SELECT *, row_number() OVER (ORDER BY md5('1:' || vec_id), vec_id) - 1 AS place FROM e QUALIFY place < 16384),
+c0 AS MATERIALIZED (SELECT place AS cell, v AS c FROM sm WHERE place < 128)"""
+    ]
+    for r in range(rounds):
+        parts.append(f"""m{r} AS (SELECT cell, list(s ORDER BY i) AS l FROM (SELECT cell, i, sum(v[i]) AS s
+  FROM (SELECT cell, v FROM sm, c{r} QUALIFY {near} = 1), range(1, 65) t(i) GROUP BY cell, i) GROUP BY cell),
+c{r + 1} AS MATERIALIZED (SELECT cell, CASE WHEN list_dot_product(l, l) > 1e-24
+  THEN list_transform(l, lambda x: x / sqrt(list_dot_product(l, l))) ELSE c END AS c FROM c{r} LEFT JOIN m{r} USING (cell))""")
+    parts.append(f"""pr AS MATERIALIZED (SELECT vec_id, cell, {near} AS n FROM e, c{rounds}),
+ah AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.v, b.v), 6) AS score
+    FROM pr q JOIN pr h ON q.cell = h.cell AND q.n <= 72 AND h.n = 1 JOIN e a ON a.vec_id = q.vec_id JOIN e b ON b.vec_id = h.vec_id)
+  QUALIFY rank <= 10)""")
+    return ",\n".join(parts)
+
+
+ORACLES["ann_topk"] = f"WITH {_cells(2)} SELECT query_id, chunk_id, score, rank FROM ah"
+ORACLES["ann_recall"] = f"""
+WITH {_cells(2)},
+ex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+  QUALIFY rank <= 10)
+SELECT ex.query_id, count(*) AS n, count(ah.chunk_id) AS found, round(count(ah.chunk_id) / count(*), 6) AS recall
+FROM ex LEFT JOIN ah USING (query_id, chunk_id) GROUP BY ex.query_id"""
 ORACLES["rrf_fuse"] = f"{SEARCHED} SELECT query_id, chunk_id, score, rank FROM fu"
 ORACLES["rerank_topk"] = f"{SEARCHED}, {reranked()} SELECT query_id, chunk_id, score, rank FROM rr"
 ORACLES["near_dup_chunks"] = f"""

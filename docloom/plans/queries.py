@@ -12,7 +12,7 @@ from docloom.functions import domains as D
 from docloom.functions import guards as G
 from docloom.functions import ids, vectors
 from docloom.functions import text as T
-from docloom.operators import access, budget, chunking, elements, encoding, entities
+from docloom.operators import access, budget, cells, chunking, elements, encoding, entities
 from docloom.operators import guarding, id_filters, registry, render, retrieval, tables
 from docloom.plans import derive
 from docloom.session import materialise, scratch_path, spread
@@ -607,9 +607,20 @@ def dense_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spread(_vectors(spark, sf))
-    asked = _vectors(spark, sf).withColumnRenamed("chunk_id", "query_id")
-    return retrieval.ann_topk(rows, asked, 64, 10).select("query_id", "chunk_id", "score", "rank")
+    rows = _vectors(spark, sf)
+    asked = rows.withColumnRenamed("chunk_id", "query_id")
+    centres = cells.fit_cells(cells.sample_vectors(rows, 64))
+    return cells.ann_topk(rows, asked, centres, 10).select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the approximate search against the exact one, for ids that 20 divides."""
+    rows = _vectors(spark, sf)
+    asked = rows.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    centres = cells.fit_cells(cells.sample_vectors(rows, 64))
+    exact = retrieval.dense_topk(spread(rows), asked, 10)
+    return cells.cell_recall(exact, cells.ann_topk(rows, asked, centres, 10), 10)
 
 
 @query

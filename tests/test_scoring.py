@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import chunking, encoding, retrieval, scoring
+from docloom.operators import cells, chunking, encoding, retrieval, scoring
 
 
 @pytest.fixture(scope="module")
@@ -116,16 +116,57 @@ def test_near_duplicates_between_tables(spark, vectors):
     assert len(got) == 100 and {r["duplicate_of"] for r in got} == {5}
 
 
-def test_approximate_search_recall_and_full_radius(spark, vectors):
+def test_approximate_search_by_cells(spark, vectors, tmp_path, monkeypatch):
     chunks = frame(spark, vectors, "chunk_id").select("chunk_id", "dense")
     asked = frame(spark, vectors, "query_id", 30).select("query_id", "dense")
     exact = {q: brute(vectors, q, 10) for q in range(30)}
-    assert collect(retrieval.ann_topk(chunks, asked, 16, 10, radius=8)) == exact
-    near = collect(retrieval.ann_topk(chunks, asked, 16, 10, radius=3))
-    stored = chunks.withColumn("code", retrieval.lsh_code(F.col("dense"), 16))
-    assert collect(retrieval.ann_topk(stored, asked, 16, 10, radius=3)) == near
-    found = sum(len(set(exact[q]) & set(near.get(q, []))) for q in exact)
-    assert found / 300 >= 0.6
+    sample = cells.sample_vectors(chunks, 16)
+    assert sample.shape == vectors.shape
+    centres = cells.fit_cells(sample, 20)
+    assert np.allclose((centres * centres).sum(1), 1)
+    assert collect(cells.ann_topk(chunks, asked, centres, 10, probes=20)) == exact
+    probes = cells.tuned_probes(sample, centres, 0.9, 10)
+    assert 1 <= probes < 20
+    near = collect(cells.ann_topk(chunks, asked, centres, 10, probes))
+    found = sum(len(set(exact[q]) & set(near[q])) for q in exact)
+    assert found / 300 >= 0.8
+    # Stored by cell: only probed folders are read, with the same result.
+    cells.add_cell(chunks, centres).write.partitionBy("cell").parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    one = asked.where("query_id = 3")
+    got = cells.ann_topk(stored, one, centres, 10, probes)
+    assert collect(got) == {3: near[3]}
+    # Cells dealt out over many groups on both sides.
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(scoring, "BROADCAST_QUERIES", 3)
+    assert collect(cells.ann_topk(chunks, asked, centres, 10, probes)) == near
+
+
+def test_cells_of_odd_vectors(spark, vectors):
+    """Null, short and repeated vectors, a sample smaller than the cells, none at all, filters."""
+    rows = [(i, v.tolist(), "a" if i % 2 else "b") for i, v in enumerate(vectors[:40])]
+    rows += [(90, None, "a"), (91, [1.0], "a"), (92, vectors[0].tolist(), "a")]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, dense array<float>, domain string")
+    centres = cells.fit_cells(cells.sample_vectors(chunks, 16), 64)
+    assert len(centres) == 41
+    asked = spark.createDataFrame(
+        [(1, vectors[0].tolist(), "a"), (2, vectors[0].tolist(), None), (3, None, None), (4, [1.0], None)],
+        "query_id bigint, dense array<float>, domain string",
+    )
+    got = collect(cells.ann_topk(chunks, asked, centres, 2, probes=64))
+    assert set(got) == {1, 2} and got[2][:2] == [(0, 1.0), (92, 1.0)] and got[1][0] == (92, 1.0)
+    assert all(c % 2 or c == 92 for c, _ in got[1])
+    none = cells.fit_cells(cells.sample_vectors(chunks.limit(0), 16), 64)
+    assert len(none) == 0 and collect(cells.ann_topk(chunks, asked, none, 2)) == {}
+    assert cells.tuned_probes(np.zeros((0, 16)), none) == 1
+
+
+def test_recall_of_the_registered_search(spark):
+    import __spark_entry__ as entry
+
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        rows = entry.queries()["ann_recall"](spark, f"/root/testdata/{sf}").collect()
+        assert sum(r["found"] for r in rows) >= 0.9 * sum(r["n"] for r in rows), sf
 
 
 def test_custom_pair_scorer(spark):
