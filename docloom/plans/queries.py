@@ -113,19 +113,24 @@ def route_collections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Through a store: all documents are loaded, then labelled ones replaced, in two versions at once."""
+    whole = ["chunk_id", "document_id", "domain"]
     docs = derive.raw_documents(spark, sf).select(
-        "doc_id", ids.chunk_id(F.col("document_id"), F.lit(0)).alias("chunk_id"), "content"
+        "doc_id", ids.chunk_id(F.col("document_id"), F.lit(0)).alias("chunk_id"), "document_id", "domain", "content"
     )
     labels = derive.table(spark, sf, "labels")
-    first = docs.select("chunk_id", F.lit(0).alias("seq"), F.md5("content").alias("content_md5"))
+    first = docs.select(*whole, F.lit(0).alias("seq"), F.md5("content").alias("content_md5"))
     changed = docs.join(labels, "doc_id").select(
-        "chunk_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), "content"
+        *whole, F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), "content"
     )
     incoming = changed.select(
-        "chunk_id", "seq",
+        *whole, "seq",
         F.md5(F.concat("content", F.lit("!"), F.col("seq").cast("string"))).alias("content_md5"),
     )
-    return store.upsert_chunks(first, incoming)
+    chunks = store.ChunkStore(spark, scratch_path(spark, "collections"), buckets=8)
+    chunks.append(first)
+    chunks.upsert(incoming)
+    return chunks.read().select("chunk_id", "seq", "content_md5")
 
 
 @query
@@ -133,7 +138,10 @@ def delete_document(spark: SparkSession, sf: str) -> DataFrame:
     chunks = derive.raw_documents(spark, sf).select("doc_id", "document_id", "domain")
     doomed = derive.table(spark, sf, "labels").where("toxic = 1")
     named = doomed.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"))
-    return store.delete_document(chunks, named)
+    held = store.ChunkStore(spark, scratch_path(spark, "collections"), buckets=8)
+    held.append(chunks.withColumn("chunk_id", ids.chunk_id(F.col("document_id"), F.lit(0))))
+    held.delete(named)
+    return held.read().select("doc_id", "document_id", "domain")
 
 
 @query
@@ -941,7 +949,8 @@ def _drained(spark: SparkSession, running, label: str, mode: str = "append") ->
     """Run a stream over all that is there and return where its rows are."""
     out = scratch_path(spark, label)
     writer = running.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "state"))
-    keep = lambda rows, _number: rows.write.mode("append").parquet(out)
+    # By the batch's number: one that is delivered again replaces its own rows.
+    keep = lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
     writer.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return out
 
@@ -963,7 +972,7 @@ def stream_answers(spark: SparkSession, sf: str) -> DataFrame:
         .alias("domain"),
     )
     guarded = windows.stream_guarded_answers(events.decode_stream_events(bodies), domains)
-    return spark.read.parquet(_drained(spark, guarded, "answers"))
+    return spark.read.parquet(_drained(spark, guarded, "answers")).drop("batch")
 
 
 @query

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators.chunking import chunk_documents
 from docloom.operators.encoding import add_vectors_by_domain
+from docloom.session import materialise
 from docloom.sources.collections import ChunkStore
 
 
@@ -18,13 +20,18 @@ def build_points(documents: DataFrame) -> DataFrame:
 def start_ingest(
     documents: DataFrame, store: ChunkStore, checkpoint: str, version: str, **trigger
 ) -> StreamingQuery:
-    """Upsert every micro-batch; chunk ids make a re-delivered batch harmless.
+    """Every micro-batch replaces its documents; one that is delivered again changes nothing.
 
-    ``documents``: streaming ``document_id, domain, content, <version>``.
+    ``documents``: streaming ``document_id, domain, content, <version>``. Of several
+    versions of a document in one batch the largest counts.
     """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        store.upsert(build_points(batch), version)
+    def write(batch: DataFrame, number: int) -> None:
+        newest = Window.partitionBy("document_id").orderBy(F.desc(version))
+        latest = materialise(
+            batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n"), "batch"
+        )
+        store.replace_documents(build_points(latest), version, f"{checkpoint}:{number}", latest)
 
     return (
         documents.writeStream.foreachBatch(write)

@@ -47,6 +47,75 @@ def test_delete_and_wipe(spark, tmp_path):
     assert {r["domain"] for r in store.read().collect()} == {"general"}
 
 
+def files_of(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*.parquet"))
+
+
+def test_a_change_writes_its_own_rows_only(spark, tmp_path):
+    root = tmp_path / "c"
+    store = ChunkStore(spark, str(root), buckets=4)
+    store.append(chunks(spark, [(f"c{i}", f"d{i}", "general", 0, "t" * 50) for i in range(200)]))
+    before = files_of(root)
+    store.upsert(chunks(spark, [("c7", "d7", "general", 1, "new")]))
+    new = sorted(set(files_of(root)) - set(before))
+    assert set(before) <= set(files_of(root)) and len(new) == 1
+    store.delete(spark.createDataFrame([("d8",), (None,)], "document_id string"))
+    assert len([f for f in files_of(root) if f.startswith("chunks")]) == len(before) + 1
+    got = dict(held(store))
+    assert got["c7"] == "new" and "c8" not in got and len(got) == 199
+    # A document that comes back after its end counts again.
+    store.append(chunks(spark, [("c8", "d8", "general", 2, "back")]))
+    assert dict(held(store))["c8"] == "back"
+
+
+def test_a_shortened_document_leaves_no_tail(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "c"), buckets=2)
+    store.replace_documents(chunks(spark, [(f"d1-{i}", "d1", "general", 0, f"{i}") for i in range(5)] + [("d2-0", "d2", "general", 0, "x")]))
+    store.replace_documents(chunks(spark, [("d1-0", "d1", "general", 1, "short")]))
+    assert held(store) == [("d1-0", "short"), ("d2-0", "x")]
+    nothing = chunks(spark, [("z", "z", "general", 0, "z")]).limit(0)
+    store.replace_documents(nothing, documents=spark.createDataFrame([("d2",)], "document_id string"))
+    assert held(store) == [("d1-0", "short")]
+
+
+def test_a_batch_delivered_again_changes_nothing(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "c"), buckets=2)
+    first = chunks(spark, [("a", "a", "general", 0, "one")])
+    assert store.upsert(first, batch="feed:0") and store.upsert(chunks(spark, [("a", "a", "general", 1, "two")]), batch="feed:1")
+    before = [tuple(r) for r in store.read().collect()]
+    assert not store.upsert(first, batch="feed:0") and not store.upsert(first, batch="feed:1")
+    assert store.upsert(chunks(spark, [("b", "b", "general", 0, "b")]), batch="other:0")
+    after = [tuple(r) for r in store.read().collect()]
+    assert set(before) < set(after) and len(after) == 2
+
+
+def test_compaction_keeps_every_row_and_its_time(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "c"), buckets=2)
+    store.append(chunks(spark, [(f"c{i}", f"d{i % 4}", "general", 0, "t") for i in range(12)]))
+    store.upsert(chunks(spark, [("c1", "d1", "general", 1, "new")]).withColumn("extra", F.lit(7)))
+    store.delete(spark.createDataFrame([("d0",)], "document_id string"))
+    store.append(chunks(spark, [("m", "m", "medical", 0, "m")]))
+    store.wipe(("medical",))
+    columns = ["chunk_id", "text", "extra", "ingested_at", "bucket", "domain"]
+    rows = lambda: sorted(map(tuple, store.read().select(columns).collect()))
+    before = rows()
+    assert len(before) == 9 and {r[2] for r in before} == {None, 7}
+    store.compact()
+    assert rows() == before and store.vacuum() > 0 and rows() == before
+    store.append(chunks(spark, [("m", "m", "medical", 0, "again")]))
+    assert len(rows()) == 10
+
+
+def test_two_writers_cannot_commit_one_version(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "c"), buckets=2)
+    stale = store._manifest()
+    store.append(chunks(spark, [("a", "a", "general", 0, "one")]))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit(stale)
+    assert held(store) == [("a", "one")]
+    assert not [p for p in (tmp_path / "c" / "manifests").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
 def test_scan_and_archive(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes(b"good \xff text")
