@@ -45,9 +45,9 @@ def base32_sha1(content: Column) -> Column:
     )
 
 
-def _record_id(kind: str, page: Column, digest: Column, uri: Column) -> Column:
+def _record_id(kind: str, page: Column, digest: Column, uri: Column, place: Column) -> Column:
     part = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
-    h = F.md5(F.concat_ws("\n", F.lit(kind), part(page), part(digest), part(uri)))
+    h = F.md5(F.concat_ws("\n", F.lit(kind), part(page), part(digest), part(uri), part(place)))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in cuts)))
 
@@ -64,6 +64,24 @@ def _record(kind: Column, record_id: Column, fields: list[tuple[str, Column]], b
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """The rows with ``_place``: null, or for rows equal in page, digest and uri a number of their own.
+
+    Rows that have equals are written first, so that their numbers stay.
+    """
+    name = F.md5(F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("_page", "_digest", "_uri"))))
+    named = rows.withColumn("_name", name)
+    repeated = C.keep(named.groupBy("_name").count().where("count > 1").select("_name"), "repeated")
+    none = F.lit(None).cast("long")
+    if repeated.isEmpty():
+        return rows.withColumn("_place", none)
+    held = id_filter(repeated, "_name")
+    near = passing(named, held, "_name")
+    again = C.keep(near.join(repeated, "_name", "left_semi").withColumn("_place", F.monotonically_increasing_id()), "again")
+    once = passing(named, held, "_name", maybe=False).unionByName(near.join(repeated, "_name", "left_anti"))
+    return once.withColumn("_place", none).unionByName(again).drop("_name")
+
+
 def write_captures(
     pages: DataFrame,
     path: str,
@@ -79,36 +97,40 @@ def write_captures(
     largest key is the response and the others revisit it. A null html is an
     empty payload; a null url leaves the target header out; a null key is never
     the largest, and its page is a response only if no other page has the payload.
-    Rows equal in key, url and html are one capture. Payloads move only if another
-    page may have the same one.
+    Every row is a capture of its own, rows equal in key, url and html too; of equal
+    responses the others refer to one. Payloads move only if another page may have
+    the same one.
     """
     rows = pages.select(
         F.col(key).cast("long").alias("_page"),
         F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("_uri"),
         F.coalesce(F.col(html), F.lit("")).alias("_html"),
     ).withColumn("_digest", base32_sha1(F.encode("_html", "UTF-8")))
+    rows = _told_apart(rows)
     lead = (
         rows.where(F.octet_length("_html") >= least_bytes)
         .groupBy("_digest")
         .agg(
             F.count("*").alias("_n"),
-            F.max(F.struct("_page", F.coalesce("_uri", F.lit("")), "_uri")).alias("_lead"),
+            F.max(F.struct("_page", F.coalesce("_uri", F.lit("")), "_uri", "_place")).alias("_lead"),
         )
         .where("_n > 1")
-        .select("_digest", F.col("_lead._page").alias("_lead_page"), F.col("_lead._uri").alias("_lead_uri"))
+        .select("_digest", *(F.col(f"_lead.{c}").alias(f"_lead{c}") for c in ("_page", "_uri", "_place")))
     )
     lead = C.keep(lead, "payloads")
     held = id_filter(lead, "_digest")
-    shared = passing(rows, held, "_digest").join(lead, "_digest", "left").select(*rows.columns, "_lead_page", "_lead_uri")
+    leads = ["_lead_page", "_lead_uri", "_lead_place"]
+    shared = passing(rows, held, "_digest").join(lead, "_digest", "left").select(*rows.columns, *leads)
     alone = passing(rows, held, "_digest", maybe=False).select(
-        *rows.columns, F.lit(None).cast("long").alias("_lead_page"), F.lit(None).cast("string").alias("_lead_uri")
+        *rows.columns, *(F.lit(None).cast(shared.schema[c].dataType).alias(c) for c in leads)
     )
     every = shared.unionByName(alone)
     revisit = F.col("_lead_page").isNotNull() & ~F.col("_page").eqNullSafe(F.col("_lead_page"))
-    own = _record_id("response", F.col("_page"), F.col("_digest"), F.col("_uri"))
+    same = [F.col(c) for c in ("_page", "_digest", "_uri", "_place")]
+    own = _record_id("response", *same)
     target = [("WARC-Target-URI", F.col("_uri")), ("WARC-Date", F.lit(date))]
     tied = ("WARC-Concurrent-To", F.concat(F.lit("<"), F.col("_id"), F.lit(">")))
-    referred = _record_id("response", F.col("_lead_page"), F.col("_digest"), F.col("_lead_uri"))
+    referred = _record_id("response", F.col("_lead_page"), F.col("_digest"), F.col("_lead_uri"), F.col("_lead_place"))
     head = F.concat(F.lit(HTTP_HEAD), F.octet_length("_html").cast("string"), F.lit(CRLF * 2))
     every = every.withColumns({"_id": own, "_revisit": revisit})
     response = _record(
@@ -125,13 +147,13 @@ def write_captures(
     )
     request = _record(
         F.lit("request"),
-        _record_id("request", F.col("_page"), F.col("_digest"), F.col("_uri")),
+        _record_id("request", *same),
         [*target, tied, ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.coalesce("_uri", F.lit("/")), F.lit(" HTTP/1.1" + CRLF * 2)),
     )
     metadata = _record(
         F.lit("metadata"),
-        _record_id("metadata", F.col("_page"), F.col("_digest"), F.col("_uri")),
+        _record_id("metadata", *same),
         [*target, tied, ("Content-Type", F.lit("application/warc-fields"))],
         F.coalesce(F.concat(F.lit("pageId: "), F.col("_page").cast("string"), F.lit(CRLF)), F.lit("")),
     )

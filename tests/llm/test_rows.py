@@ -213,7 +213,7 @@ def test_captures_round_trip(spark, tmp_path):
         "request": 11, "metadata": 11, "response": 7, "revisit": 4,
     }
     got = {(r.metadata.page_id, r.response.uri): r for r in warc.assemble(records).collect()}
-    assert len(got) == 10
+    assert len(got) == 10 and warc.assemble(records).count() == 11
     for page, url, text in PAGES:
         r = got[page, url and url.replace("\r", "%0D").replace("\n", "%0A")]
         raw = (text or "").encode()
@@ -229,6 +229,23 @@ def test_captures_round_trip(spark, tmp_path):
     assert warc.assemble(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_equal_rows_are_captures_of_their_own(spark, tmp_path):
+    rows = [(1, "u", "<p>x</p>")] * 3 + [(2, "u", "<p>x</p>")] * 2 + [(3, None, None)] * 4 + [(None, "v", "<p>y</p>")] * 2 + [(4, "w", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "warc")
+    warc.write_captures(pages, path)
+    got = warc.assemble(warc.read_records(spark, path)).collect()
+    found = Counter((r.metadata.page_id, r.response.kind, r.refers_to.page_id, r.response.payload_bytes) for r in got)
+    assert found == {
+        (1, "revisit", 2, 8): 3, (2, "response", None, 8): 2, (3, "response", None, 0): 4, (None, "response", None, 8): 2,
+        (4, "response", None, 1): 1,
+    }
+    assert len({r.response.record_id for r in got}) == len(got) == len(rows)
+    assert all(r.request.record_id for r in got)
+    warc.write_captures(pages, str(tmp_path / "small"), least_bytes=100)
+    assert warc.assemble(warc.read_records(spark, str(tmp_path / "small"))).count() == len(rows)
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:3], "page_id long, url string, html string")
     warc.write_captures(pages, str(tmp_path / "w"), least_bytes=100)
