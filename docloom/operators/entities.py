@@ -163,24 +163,38 @@ def merge_spans(
 ) -> DataFrame:
     """Union of overlapping or touching spans per document, over a span table.
 
-    Spans are first merged inside blocks of ``block_chars`` positions, so a
-    document with very many spans is spread over many tasks; only the merged
-    stretches of a document meet again in the second pass.
+    A document's positions are cut into blocks of ``block_chars``, and a block is the most
+    that one task holds. How far earlier blocks reach, and where the stretch begins
+    that is open at a block's border, are prefix maxima over one row per block; with
+    both, each block tells its stretches alone, and parts of one stretch are added up by
+    its start. A row without a start or an end is no span.
     """
+    spans = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    blocked = spans.select(key, start, end).dropDuplicates()
+    blocked = blocked.withColumn("_block", F.floor(F.col(start) / block_chars))
+    earlier = (
+        Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
 
-    def islands(df: DataFrame, keys: list[str]) -> DataFrame:
-        ordered = Window.partitionBy(*keys).orderBy(start, end)
-        before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        opens = F.when(F.col(start) <= F.max(end).over(before), 0).otherwise(1)
-        return (
-            df.withColumn("_opens", opens)
-            .withColumn("_island", F.sum("_opens").over(upto))
-            .groupBy(*keys, "_island")
-            .agg(F.min(start).alias(start), F.max(end).alias(end))
-            .drop("_island")
+    def with_carry(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """Rows with the largest value of all earlier blocks of their document."""
+        sums = rows.groupBy(key, "_block").agg(F.max(value).alias("_most"))
+        carried = sums.select(
+            F.col(key).alias("_key"), F.col("_block").alias("_number"), F.max("_most").over(earlier).alias(name)
         )
-
-    distinct = spans.select(key, start, end).dropDuplicates()
-    blocked = distinct.withColumn("_block", F.floor(F.col(start) / block_chars))
-    return islands(islands(blocked, [key, "_block"]).drop("_block"), [key])
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_number"))
+        return rows.join(carried, same).drop("_key", "_number")
+
+    ordered = Window.partitionBy(key, "_block").orderBy(start, end)
+    before = F.max(end).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.greatest(before, F.col("_far"))
+    opens = F.when(reach.isNull() | (F.col(start) > reach), F.col(start))
+    opened = with_carry(blocked, F.col(end), "_far").withColumn("_opens", opens)
+    parts = (
+        opened.withColumn("_open", F.max("_opens").over(upto))
+        .groupBy(key, "_block", "_open")
+        .agg(F.max(end).alias(end))
+    )
+    begun = F.coalesce("_open", "_begun").alias(start)
+    return with_carry(parts, F.col("_open"), "_begun").groupBy(key, begun).agg(F.max(end).alias(end))

@@ -1,6 +1,7 @@
 """Hand-worked results from FIXTURES.md."""
 
 import hashlib
+import random
 import uuid
 
 import pytest
@@ -104,6 +105,27 @@ def test_span_merge(spark):
         assert [tuple(r) for r in got] == [("d", 0, 10), ("d", 12, 15), ("e", 1, 2)]
 
 
+def test_span_merge_over_many_blocks(spark):
+    """Stretches over many block borders, one span over all, null keys, repeated rows and half spans."""
+    drawn = random.Random(8)
+    rows = [(drawn.choice(["d", "e", None]), a, a + drawn.randint(0, 9)) for a in (drawn.randint(-50, 900) for _ in range(300))]
+    rows += [("long", 0, 5000), ("long", 10, 20), ("long", 4999, 5003), ("long", 5004, 5005), ("d", None, 3), ("d", 3, None)]
+    want = set()
+    for key in {r[0] for r in rows}:
+        merged = []
+        for a, b in sorted((a, b) for k, a, b in rows if k == key and a is not None and b is not None):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want |= {(key, a, b) for a, b in merged}
+    spans = spark.createDataFrame([*rows, *rows[:40]], "document_id string, start bigint, end bigint")
+    for block in (1, 7, 64, 100_000):
+        got = [tuple(r) for r in entities.merge_spans(spans, block_chars=block).select("document_id", "start", "end").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert entities.merge_spans(spans.limit(0)).count() == 0
+
+
 def test_entities_and_safe_sentences(spark):
     text = F.lit("On Metformin 500 mg daily. HbA1c 7.2% seen; hba1c 7.2% again. Type 2 Diabetes, E11.9.")
     assert one(spark, entities.extract_entities(text)) == [
