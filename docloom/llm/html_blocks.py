@@ -1,17 +1,20 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks of running text. The first pass decides blocks by
-where they stand, their length, the share of their text inside links and the
-share of function words; blocks too short to tell stay open. The second pass
-gives every open block the label of its nearest decided neighbour.
+their length, the share of their text inside links and the share of function
+words; blocks that these leave open get the label of their nearest decided
+neighbours in the second pass. Tags and names are evidence beside the rules:
+menus, forms, adverts and the like are out, and an article element draws its
+open blocks in as long as most of the page's good text stands in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,22 +27,26 @@ from docloom.llm import common as C
 SHORT = 70
 #: Characters from which a block counts as long: fewer function words will do.
 LONG = 200
-#: Share of function words that running text has, in medium and in long blocks.
-DENSE, SPARSE = 0.25, 0.12
+#: Share of function words (the lists are short) that running text has, in medium and in long blocks.
+DENSE, SPARSE = 0.2, 0.1
+#: Share below which a page is in a language without known function words: length and links decide.
+FOREIGN = 0.03
 #: Share of text inside links from which a block is navigation.
 LINKED = 0.5
 #: The same inside the article, where single links are common.
 LINKED_INSIDE = 0.8
 
-_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-#: Elements that are dropped with all they hold.
-_DROPPED = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|canvas|audio|video"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<({_DROPPED})\b{_ATTRS}(?<!/)>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-z][\w:-]*)({_ATTRS})>|</?[a-z][^<>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""([\w:-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Elements whose content is no markup and is dropped to their end tag, or to the page's end.
+_RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Elements that are dropped with all they hold where they are closed.
+_DROPPED = frozenset("svg math object select button canvas audio video".split())
+_OPEN = re.compile(r"<(?:[!?]|(/?)([a-z][\w:-]*+))", re.I)
+#: The attributes of a tag and its end: only a value behind ``=`` may hold a ``>`` in quotes.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_ATTR = re.compile(r"""([\w:-]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in (*_RAW, *_DROPPED)}
+_HUGE = re.compile(r"&#0*+([1-9][0-9]{7,}+);?")
+_WORD = re.compile(r"[^\W\d_]+")
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter "
     "output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -62,7 +69,7 @@ _ROLES = frozenset(
 _WORDS = frozenset(C.FUNCTION_WORDS)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
@@ -92,91 +99,140 @@ def _hides(name: str, attrs: str, scope: int) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of running text in page order, empty ones left out."""
+    """Blocks of running text in page order, empty ones left out; one pass forward over the page."""
     found: list[Block] = []
     stack: list[tuple[str, bool, int, int]] = []  # open containers: name, outside?, scope, number
+    open_names: Counter[str] = Counter()
+    unclosed: set[str] = set()  # names without an end tag in what is left
     now, links, scopes, opened = Block(), 0, 0, 0
     leaf_hidden = False
 
     def cut() -> None:
         nonlocal now
-        if now.text and any(t and not t.isspace() for t in now.text):
-            found.append(now)
-        top = stack[-1] if stack else ("", False, 0, 0)
-        now = Block(outside=top[1] or leaf_hidden, scope=top[2], parent=top[3])
+        if now.text:
+            if any(not t.isspace() for t in now.text):
+                found.append(now)
+            now = Block()
+        _, outside, now.scope, now.parent = stack[-1] if stack else ("", False, 0, 0)
+        now.outside = outside or leaf_hidden
 
     def add(text: str) -> None:
+        if not text:
+            return
         now.text.append(text)
         if links:
             now.linked.append(text)
 
-    begin = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > begin:
-            add(page[begin : token.start()])
-        begin = token.end()
-        name = (token.group(3) or "").lower()
-        if not name:
-            continue
-        closing = bool(token.group(2))
+    def tag(closing: bool, name: str, attrs: str) -> None:
+        nonlocal links, scopes, opened, leaf_hidden
         if name == "a":
             links = 0 if closing else 1
         if name in _INLINE:
-            continue
+            return
         if name == "br":
             add(" ")
-            continue
+            return
         if name in _LEAVES or name in _VOID:
-            leaf_hidden = not closing and _hides(name, token.group(4), stack[-1][2] if stack else 0)
+            leaf_hidden = not closing and _hides(name, attrs, stack[-1][2] if stack else 0)
             cut()
-            continue
+            return
         leaf_hidden = False
         if not closing:
             _, outside, scope, _ = stack[-1] if stack else ("", False, 0, 0)
-            outside = outside or _hides(name, token.group(4), scope)
+            outside = outside or _hides(name, attrs, scope)
             if name in _SCOPES and not scope and not outside:
                 scopes += 1
                 scope = scopes
-            if not token.group(4).endswith("/"):
+            if not attrs.endswith("/"):
                 opened += 1
                 stack.append((name, outside, scope, opened))
+                open_names[name] += 1
         else:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
+            if open_names[name]:
+                while (top := stack.pop()[0]) != name:
+                    open_names[top] -= 1
+                open_names[name] -= 1
             links = 0
         cut()
+
+    begin = at = 0  # text not yet added, and where to look for the next tag
+    quoted = True
+    while found_tag := _OPEN.search(page, at):
+        at, name = found_tag.start(), found_tag.group(2)
+        if not name:
+            comment = page.startswith("<!--", at)
+            end = page.find("-->" if comment else ">", at + (4 if comment else 1))
+            add(page[begin:at])
+            begin = at = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        closing, after = bool(found_tag.group(1)), found_tag.end()
+        rest = _REST.match(page, after) if quoted else None
+        if rest:
+            attrs, end = rest.group(1), rest.end()
+        else:  # quotes that never end are no quotes, here and in what follows
+            quoted = False
+            end = page.find(">", after) + 1
+            if not end:
+                break
+            attrs = page[after : end - 1]
+        add(page[begin:at])
+        name = name.lower()
+        if name in _ENDS and not closing and not attrs.endswith("/") and name not in unclosed:
+            close = _ENDS[name].search(page, end)
+            if close or name in _RAW:
+                begin = at = close.end() if close else len(page)
+                continue
+            unclosed.add(name)
+        begin = at = end
+        if name not in _ENDS:
+            tag(closing, name, attrs)
     if begin < len(page):
         add(page[begin:])
     cut()
     return found
 
 
-def first_pass(block: Block, text: str) -> bool | None:
-    """True: article, False: not, None: too short to tell."""
+def plain(parts: list[str]) -> str:
+    """Text of a block: references decoded, white space turned into single spaces."""
+    return " ".join(html.unescape(_HUGE.sub("\ufffd", "".join(parts))).split())
+
+
+def density(text: str) -> tuple[int, int]:
+    """Function words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(w in _WORDS for w in words), len(words)
+
+
+def first_pass(block: Block, text: str, foreign: bool = False) -> bool | None:
+    """True: running text, False: not, None: the rules cannot tell.
+
+    ``foreign``: the page's language is not known by its function words, so length and
+    links decide alone. Text without them is given up outside an article only.
+    """
     if block.outside:
         return False
-    linked = len(" ".join(html.unescape("".join(block.linked)).split())) / max(1, len(text))
+    linked = len(plain(block.linked)) / max(1, len(text))
     if linked > (LINKED_INSIDE if block.scope else LINKED):
         return False
     if len(text) < SHORT:
         return None
-    if block.scope:
+    if foreign:
         return True
-    words = text.lower().split()
-    dense = sum(w in _WORDS for w in words) / len(words)
-    if dense >= (SPARSE if len(text) >= LONG else DENSE):
+    known, words = density(text)
+    share = known / max(1, words)
+    if share >= (SPARSE if len(text) >= LONG else DENSE):
         return True
-    return None if dense >= SPARSE else False
+    return False if share < FOREIGN and not block.scope else None
 
 
 def second_pass(labels: list[bool | None], scopes: list[int], parents: list[int]) -> list[bool]:
     """Open blocks take the label of the nearest decided block.
 
     Blocks of the same element are nearer than others, and inside an article only
-    its own blocks are neighbours. Of equally near ones that differ, a block of
-    the same element or article counts as article, another one does not. A block
-    without any decided neighbour is kept.
+    its own blocks are neighbours. Outside of articles the page's borders count as
+    neighbours that are out. Of equally near ones that differ, a block of the same element
+    or article counts as article, another one does not. A block without any decided
+    neighbour is kept.
     """
     out = [bool(x) for x in labels]
     rings = [list(zip(scopes, parents)), [(x,) for x in scopes]]
@@ -187,8 +243,9 @@ def second_pass(labels: list[bool | None], scopes: list[int], parents: list[int]
         out[i] = True
         for inner, found in zip((True, bool(scopes[i])), nearest):
             if found[i]:
-                least = min(d for d, _ in found[i])
-                told = {x for d, x in found[i] if d == least}
+                borders = [] if inner else [(i + 1, False), (len(labels) - i, False)]
+                least = min(d for d, _ in found[i] + borders)
+                told = {x for d, x in found[i] + borders if d == least}
                 out[i] = told == {True} or (inner and True in told)
                 break
     return out
@@ -208,21 +265,30 @@ def _decided(labels: list[bool | None], ring: list[tuple]) -> list[list[tuple[in
     return found
 
 
+def _in_article(held: list[tuple[Block, str]], labels: list[bool | None]) -> bool:
+    """Does most of the page's good text stand in articles? Open text counts if there is no good one."""
+    for kind in (True, None):
+        sizes = [(b.scope, len(t)) for (b, t), x in zip(held, labels) if x is kind and not b.outside]
+        if sizes:
+            return 2 * sum(n for scope, n in sizes if scope) >= sum(n for _, n in sizes)
+    return False
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by one space; empty if it has none."""
-    kept = []
     found = blocks(page or "")
-    texts = [" ".join(html.unescape("".join(b.text)).split()) for b in found]
-    held = [(b, t) for b, t in zip(found, texts) if t]
-    inside = any(b.scope for b, _ in held)
-    labels = [first_pass(b, t) for b, t in held]
-    if inside:  # a page with an article has its text there
-        labels = [x if b.scope else False for (b, _), x in zip(held, labels)]
+    held = [(b, t) for b, t in ((b, plain(b.text)) for b in found) if t]
+    told = [density(t) for b, t in held if not b.outside and not b.linked]
+    foreign = sum(n for n, _ in told) < FOREIGN * sum(n for _, n in told)
+    labels = [first_pass(b, t, foreign) for b, t in held]
+    if any(b.scope for b, _ in held):
+        if _in_article(held, labels):
+            labels = [x if b.scope else False for (b, _), x in zip(held, labels)]
+        else:  # articles that hold only a small part, teasers, are elements like any other
+            held = [(replace(b, scope=0), t) for b, t in held]
+            labels = [first_pass(b, t, foreign) for b, t in held]
     decided = second_pass(labels, [b.scope for b, _ in held], [b.parent for b, _ in held])
-    for (_, text), good in zip(held, decided):
-        if good:
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(text for (_, text), good in zip(held, decided) if good)
 
 
 def extract(pages: DataFrame, content: str = "html") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -354,6 +355,82 @@ def test_blocks(page, want):
     assert got == want or (page and page.startswith("<<<"))
 
 
+def _article(page):
+    inner = page[page.index("<article>") + 9 : page.index("</article>")]
+    parts = (re.sub(r"</?b>", "", x).replace("<br>", " ") for x in re.split(r"</?(?:p|h1)>", inner))
+    return html.unescape(" ".join(parts)).split()
+
+
+@pytest.mark.parametrize("bare", [False, True])
+def test_blocks_without_tags_that_tell(spark, bare):
+    """The given pages with plain elements for articles, and (``bare``) for menus and footers, without names."""
+    right = got = want = 0
+    for p in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        page = re.sub("<(/?)article>", r"<\1div>", p.html)
+        if bare:
+            page = re.sub("<(/?)(?:nav|footer)>", r"<\1div>", re.sub(' class="[^"]*"', "", page))
+        expected, found = Counter(_article(p.html)), Counter(html_blocks.main_text(page).split())
+        right += (expected & found).total()
+        got, want = got + found.total(), want + expected.total()
+    assert right / got >= 0.97 and right / want >= 0.97
+
+
+def test_teasers_do_not_hide_the_text():
+    cards = "".join(f"<article><h3>Card {i}</h3><a href=x>More</a></article>" for i in range(5))
+    assert html_blocks.main_text(f"{cards}<div><p>{RUN} {RUN}</p></div>") == f"{RUN} {RUN}"
+    assert html_blocks.main_text(f"<div><p>{RUN}</p></div><article><p>{RUN} {RUN}</article>") == f"{RUN} {RUN}"
+
+
+def test_foreign_pages_are_decided_by_length_and_links():
+    run = "Быстрая лиса прыгнула через забор и побежала дальше по дороге к рынку вместе с остальными. " * 2
+    page = f"<ul><li><a href=x>{run}</a></ul><div><h1>Лиса</h1><p>{run}<p>Да.</div>"
+    assert html_blocks.main_text(page) == f"Лиса {run.strip()} Да."
+
+
+def _nearest(labels, scopes, parents):
+    out = []
+    for i, label in enumerate(labels):
+        if label is None:
+            label = True
+            for inner, ring in ((True, list(zip(scopes, parents))), (bool(scopes[i]), scopes)):
+                near = [(abs(i - j), x) for j, x in enumerate(labels) if x is not None and ring[j] == ring[i]]
+                if near:
+                    near += [] if inner else [(i + 1, False), (len(labels) - i, False)]
+                    told = {x for d, x in near if d == min(near)[0]}
+                    label = told == {True} or (inner and True in told)
+                    break
+        out.append(label)
+    return out
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(500):
+        n = rng.randrange(12)
+        labels = rng.choices([True, False, None], [1, 1, 3], k=n)
+        scopes, parents = rng.choices([0, 0, 1, 2], k=n), rng.choices([0, 1, 2], k=n)
+        assert html_blocks.second_pass(labels, scopes, parents) == _nearest(labels, scopes, parents)
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ['<p "', "<!--", "<div>", "</b>", "<", "<p", '<p =">" "', "<p ='", "<button>", "<svg>", "<script>", "</x><x>",
+     "<div></p>", "&#9", "<a href=", "<div " + "a" * 50],
+)
+def test_hostile_pages_take_linear_time(unit):
+    def took(size):
+        begin = time.process_time()
+        html_blocks.main_text((unit * (size // len(unit) + 1))[:size])
+        return time.process_time() - begin
+
+    assert min(took(1_000_000) for _ in range(2)) < 5
+
+
+def test_huge_character_references():
+    assert html_blocks.main_text(f"<p>a&#{'9' * 100_000};b &#x{'f' * 10_000};&#65;") == "a\ufffdb \ufffdA"
+    assert html_blocks.main_text(f"<p>&#{'0' * 50}65; x") == "A x"
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, "t"), (1, "u", None, "t"), (None, None, f"<p>{RUN}", "t")],
