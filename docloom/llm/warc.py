@@ -4,7 +4,8 @@ A capture is a request, a response (or a revisit of an earlier payload) and a
 metadata record, tied together by ``WARC-Concurrent-To``. Writing and reading go
 through Spark's own file sources, so archives live wherever Spark can write.
 Records are separated by two line ends, which is what the text writer is told to
-put behind every row; a reader needs only the content lengths.
+put behind every row; a reader gets the pieces between such line ends one after
+another and needs only the content lengths, so that it holds one record at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,7 @@ from docloom.llm import common as C
 from docloom.operators.id_filters import id_filter, passing
 
 CRLF = "\r\n"
-#: Records of one file; a reader takes a file whole.
+#: Records of one file, a unit of work of the reader.
 FILE_RECORDS = 12_000
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -166,10 +168,28 @@ def write_captures(
     )
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """Headers (lower-case names) and block of every record of one archive, gzipped or plain."""
-    raw = io.BytesIO(content)
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+class _Pieces(io.RawIOBase):
+    """The bytes of an iterator of pieces as a stream."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self._pieces, self._rest = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self._rest:
+            piece = next(self._pieces, None)
+            if piece is None:
+                return 0
+            self._rest = memoryview(piece)
+        n = min(len(into), len(self._rest))
+        into[:n] = self._rest[:n]
+        self._rest = self._rest[n:]
+        return n
+
+
+def _records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     while line := stream.readline():
         if line in (b"\r\n", b"\n"):
             continue
@@ -186,49 +206,75 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
         yield fields, block
 
 
-def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Headers (lower-case names) and block of every record of one archive, gzipped or plain."""
+    raw = io.BytesIO(content)
+    return _records(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw)
+
+
+def _row(fields: dict[str, list[str]], block: bytes, payloads: bool) -> dict:
+    bare = lambda x: x.strip("<>") if x else None
+    one = lambda name: fields.get(name, [None])[0]
+    row = {
+        "record_id": bare(one("warc-record-id")),
+        "kind": one("warc-type"),
+        "concurrent_to": [bare(x) for x in fields.get("warc-concurrent-to", [])],
+        "refers_to": bare(one("warc-refers-to")),
+        "uri": one("warc-target-uri"),
+    }
+    if row["kind"] == "response":
+        payload = block.partition(b"\r\n\r\n")[2]
+        row["payload_bytes"] = len(payload)
+        row["payload_digest"] = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        row["payload"] = payload if payloads else None
+    elif row["kind"] == "metadata":
+        for line in block.decode("utf-8", "replace").splitlines():
+            name, _, value = line.partition(":")
+            if name.strip().lower() == "pageid":
+                row["page_id"] = int(value)
+    return row
+
+
+def read_records(spark: SparkSession, path: str, payloads: bool = True, plain: bool = False) -> DataFrame:
     """A row for each record below ``path``; digest and size are those of the payload as read.
 
     A payload is what follows the HTTP head of a request or response. Revisits have
-    none: digest and size are null. ``payloads=False`` leaves the bytes out.
+    none: digest and size are null. ``payloads=False`` leaves the bytes out. Gzipped
+    archives (names that end in ``.gz``, with one member or many) of any size are read as a
+    stream; ``plain=True`` reads archives that are not, of up to 2 GB each, whole. An archive that
+    ends within a record is an error.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    bare = lambda x: x.strip("<>") if x else None
+    C.small_batches(spark)
+    if plain:
+        pieces = spark.read.format("binaryFile").load(path).select(
+            F.xxhash64("path").alias("file"), F.col("content").alias("piece")
+        )
+    else:
+        pieces = spark.read.option("lineSep", CRLF * 2).text(path).select(
+            F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")
+        )
+    between = b"" if plain else (CRLF * 2).encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                rows, held = [], 0
-                for fields, block in parse(content.as_py()):
-                    one = lambda name: fields.get(name, [None])[0]  # noqa: B023, E731
-                    kind = one("warc-type")
-                    row = {
-                        "record_id": bare(one("warc-record-id")),
-                        "kind": kind,
-                        "concurrent_to": [bare(x) for x in fields.get("warc-concurrent-to", [])],
-                        "refers_to": bare(one("warc-refers-to")),
-                        "uri": one("warc-target-uri"),
-                    }
-                    if kind == "response":
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        row["payload_bytes"] = len(payload)
-                        digest = hashlib.sha1(payload).digest()
-                        row["payload_digest"] = base64.b32encode(digest).decode()
-                        row["payload"] = payload if payloads else None
-                        held += len(payload) if payloads else 0
-                    elif kind == "metadata":
-                        for line in block.decode("utf-8", "replace").splitlines():
-                            name, _, value = line.partition(":")
-                            if name.strip().lower() == "pageid":
-                                row["page_id"] = int(value)
-                    rows.append(row)
-                    if len(rows) >= 2000 or held > C.STEP_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                        rows, held = [], 0
-                if rows:
+        # The pieces of one file within a batch are put together at once.
+        runs = (
+            (file, between.join([piece for _, piece in pairs]) + between)
+            for batch in batches
+            for file, pairs in groupby(zip(*(batch.column(c).to_pylist() for c in ("file", "piece"))), lambda x: x[0])
+        )
+        rows, held = [], 0
+        for _, group in groupby(runs, lambda x: x[0]):
+            stream = _Pieces(piece for _, piece in group)
+            for fields, block in _records(io.BufferedReader(stream, 1 << 18)):
+                rows.append(_row(fields, block, payloads))
+                held += len(block) if payloads else 0
+                if len(rows) >= 2000 or held > C.STEP_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return files.mapInArrow(run, RECORD)
+    return pieces.mapInArrow(run, RECORD)
 
 
 _ARROW = pa.schema(

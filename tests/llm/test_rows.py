@@ -1,6 +1,7 @@
 """Operators on single rows and files against brute force and exact round trips."""
 
 import base64
+import gzip
 import hashlib
 import html
 import random
@@ -247,6 +248,33 @@ def test_equal_rows_are_captures_of_their_own(spark, tmp_path):
     assert warc.assemble(warc.read_records(spark, str(tmp_path / "small"))).count() == len(rows)
 
 
+def test_archives_are_read_as_a_stream(spark, tmp_path):
+    """Line ends of every kind around the reader's buffers, a large page, many members, broken and plain files."""
+    rng = random.Random(3)
+    ends = ["\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\n\r\n\r\n\r", "x" * 4093, "x" * 65_533, "WARC/1.1\r\n"]
+    rows = [(i, f"u{i}", "".join(rng.choices(ends, k=rng.randrange(60)))) for i in range(120)]
+    rows.append((120, "big", "\r\n\r\n page" * 500_000))
+    path = str(tmp_path / "w")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_captures(pages.coalesce(2), path)
+    got = warc.assemble(warc.read_records(spark, path, payloads=False)).select(
+        "metadata.page_id", "response.payload_bytes", "response.payload_digest"
+    )
+    digest = lambda raw: base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert {tuple(r) for r in got.collect()} == {(i, len(t.encode()), digest(t.encode())) for i, _, t in rows}
+
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 6\r\n\r\n\r\n\r\n\xff\xfe\r\n\r\n"
+    for name, content in (("many.warc.gz", gzip.compress(record) * 3), ("one.warc.gz", gzip.compress(record * 3))):
+        (tmp_path / name).write_bytes(content)
+        found = warc.read_records(spark, str(tmp_path / name)).collect()
+        assert [(r.kind, bytes(r.payload)) for r in found] == [("response", b"\xff\xfe")] * 3
+    (tmp_path / "flat.warc").write_bytes(record * 3)
+    assert warc.read_records(spark, str(tmp_path / "flat.warc"), plain=True).count() == 3
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(record[:-6]))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_records(spark, str(tmp_path / "cut.warc.gz")).collect()
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:3], "page_id long, url string, html string")
     warc.write_captures(pages, str(tmp_path / "w"), least_bytes=100)
