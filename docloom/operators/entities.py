@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,37 +53,39 @@ def has_dose(text: Column) -> Column:
     return text.rlike(entity_patterns()[0])
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Character offsets of all matches: the gaps between them give the positions."""
-
-    def place(gaps: Column, hits: Column) -> Column:
-        widths = F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h))
-        return let(
-            running_sums(F.transform(widths, lambda w: w.cast("bigint"))),
-            lambda before: F.transform(
-                hits,
-                lambda h, i: let(
-                    F.element_at(before, i + 1) + F.length(F.element_at(gaps, i + 1)),
-                    lambda s: F.struct(
-                        s.cast("bigint").alias("start"),
-                        (s + F.length(h)).cast("bigint").alias("end"),
-                    ),
+def _placed(gaps: Column, hits: Column) -> Column:
+    """Offsets of the hits, given the texts in front of them (and what may follow the last hit)."""
+    widths = F.transform(hits, lambda h, i: (F.length(F.get(gaps, i)) + F.length(h)).cast("bigint"))
+    return let(
+        running_sums(widths),
+        lambda before: F.transform(
+            hits,
+            lambda h, i: let(
+                F.get(before, i) + F.length(F.get(gaps, i)),
+                lambda s: F.struct(
+                    s.cast("bigint").alias("start"),
+                    (s + F.length(h)).cast("bigint").alias("end"),
                 ),
             ),
-        )
+        ),
+    )
+
 
+def _matched(text: Column, pattern: str, body: Callable[[Column, Column], Column], none: Column) -> Column:
+    """``body(texts around the matches, matches)``, or ``none`` without a match."""
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda hits: F.when(
-            F.size(hits) > 0,
-            let(
-                F.split(text, pattern),
-                lambda gaps: place(F.slice(gaps, 1, F.size(hits)), hits),
-            ),
-        ).otherwise(empty(SPAN)),
+            F.size(hits) > 0, let(F.split(text, pattern), lambda parts: body(parts, hits))
+        ).otherwise(none),
     )
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """Character offsets of all matches: the gaps between them give the positions."""
+    return _matched(text, pattern, _placed, empty(SPAN))
+
+
 def merge_span_array(spans: Column) -> Column:
     """Union of overlapping or touching spans of one text."""
 
@@ -114,42 +118,59 @@ def entity_spans(text: Column, patterns: list[str] | None = None) -> Column:
     return merge_span_array(F.flatten(F.array(*found)))
 
 
+def _outside(gaps: Column, spans: Column) -> Column:
+    """For every gap, in order: does it begin outside all spans? The spans are sorted and apart.
+
+    One pass over both in the order of their begins; only the last span that has begun can hold a gap.
+    """
+    at = lambda items, kind, end: F.transform(
+        items, lambda x: F.struct(x["start"].alias("at"), F.lit(kind).alias("kind"), end(x).alias("end"))
+    )
+    none = F.lit(0).cast("bigint")
+    events = F.sort_array(F.concat(at(spans, 0, lambda x: x["end"]), at(gaps, 1, lambda x: none)))
+
+    def step(reach: Column, event: Column) -> Column:
+        span = event["kind"] == 0
+        return F.struct(
+            F.when(span, event["end"]).otherwise(reach).alias("state"),
+            F.when(span, empty("boolean")).otherwise(F.array(event["at"] >= reach)).alias("emit"),
+        )
+
+    return scan(events, none, step, "boolean")
+
+
 def sentences_medical(text: Column, patterns: list[str] | None = None) -> Column:
-    """Sentences whose boundaries do not fall inside an entity span."""
+    """Sentences whose boundaries do not fall inside an entity span.
+
+    The text is split at all boundaries once; where a boundary lies in a span, the pieces on both
+    sides are put together again, with what was between them.
+    """
     boundary = T.jvm(rules.SENTENCE_MEDICAL)
 
-    def cut(held: Column, gaps: Column, spans: Column) -> Column:
-        guarded = F.transform(
+    def rejoined(pieces: Column, gaps: Column, cuts: Column) -> Column:
+        def step(held: Column, item: Column) -> Column:
+            longer = F.concat(held, item["gap"], item["piece"])
+            return F.struct(
+                F.when(item["cut"], item["piece"]).otherwise(longer).alias("state"),
+                F.when(item["cut"], F.array(T.strip(held))).otherwise(empty("string")).alias("emit"),
+            )
+
+        items = F.transform(
             gaps,
-            lambda g: F.exists(
-                spans, lambda s: (s["start"] <= g["start"]) & (g["start"] < s["end"])
+            lambda g, i: F.struct(
+                F.get(cuts, i).alias("cut"), g.alias("gap"), F.get(pieces, i + 1).alias("piece")
             ),
         )
-        kept = F.zip_with(
-            gaps, guarded, lambda g, inside: F.when(~inside, g["start"])
-        )
+        return scan(items, F.get(pieces, F.lit(0)), step, "string", lambda held: F.array(T.strip(held)))
 
-        def pieces(cuts: Column) -> Column:
-            edges = F.concat(F.array(F.lit(0).cast("bigint")), cuts)
-            ends = F.concat(cuts, F.array(F.length(held).cast("bigint")))
-            return F.zip_with(
-                edges,
-                ends,
-                lambda a, b: T.strip(
-                    F.substring(held, (a + 1).cast("int"), (b - a).cast("int"))
-                ),
+    def run(held: Column) -> Column:
+        def with_gaps(pieces: Column, gaps: Column) -> Column:
+            return let(
+                _outside(_placed(pieces, gaps), entity_spans(held, patterns)),
+                lambda cuts: rejoined(pieces, gaps, cuts),
             )
 
-        return let(F.filter(kept, lambda c: c.isNotNull()), pieces)
-
-    def run(held: Column) -> Column:
-        return let(
-            match_spans(held, boundary),
-            lambda gaps: F.when(
-                F.size(gaps) > 0,
-                let(entity_spans(held, patterns), lambda spans: cut(held, gaps, spans)),
-            ).otherwise(F.array(T.strip(held))),
-        )
+        return _matched(held, boundary, with_gaps, F.array(T.strip(held)))
 
     return let(
         F.filter(let(text, run), lambda s: s != F.lit("")),

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from docloom.session import spread
 
 
+#: An entity pattern that holds the boundary after sentences that end in a vowel.
+HELD_BOUNDARY = "[aeiou][.] [A-Z]"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

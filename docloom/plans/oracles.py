@@ -557,6 +557,11 @@ for _d in rules.DOMAINS:
     ORACLES[f"sentences_{_d}"] = (
         f"WITH {STRUCTURED} {explode('docs', 'doc_id', sentence_list(_d, 'content'), 'sentence')}"
     )
+
+# The space of such a boundary is another character while the text is split.
+_held = r"regexp_replace(content, '([aeiou][.]) ([A-Z])', '\1' || chr(2) || '\2', 'g')"
+_freed = f"list_transform({sentence_list('medical', _held)}, lambda y: replace(y, chr(2), ' '))"
+ORACLES["sentences_around_spans"] = f"WITH {STRUCTURED} {explode('docs', 'doc_id', _freed, 'sentence')}"
 ORACLES["clinical_section"] = f"""
 WITH {STRUCTURED}, p AS ({explode("docs", "doc_id", paras("content"), "t")}) SELECT doc_id, pos, {sections("t")} AS section FROM p"""
 _NO = "row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS unit_no"

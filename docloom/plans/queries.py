@@ -380,6 +380,15 @@ def sentences_medical(spark: SparkSession, sf: str) -> DataFrame:
     return _sentences(spark, sf, "medical")
 
 
+@query
+def sentences_around_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Span-safe sentences with a pattern whose matches hold sentence boundaries."""
+    sentences = entities.sentences_medical(F.col("content"), [derive.HELD_BOUNDARY])
+    return derive.structured_documents(spark, sf).select(
+        "doc_id", F.posexplode(sentences).alias("pos", "sentence")
+    )
+
+
 @query
 def window_pack(spark: SparkSession, sf: str) -> DataFrame:
     packed = chunking.text_windows(F.col("content"), "general")

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import uuid
 
 import pytest
@@ -137,6 +139,34 @@ def test_entities_and_safe_sentences(spark):
     assert one(spark, plain) == ["Ask Dr.", "Who now.", "Then go."]
 
 
+def test_safe_sentences_against_brute_force(spark):
+    parts = ["Ask Dr. Who now", " Then. Go", "A. B. C", "x", "  ", ". ", "! ", "\u00e9\U0001f600. X", "\n", "Dr. Who. Dr. Who"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(300)] + ["", " ", "A. B. " * 3000]
+    patterns = [r"Dr\. Who", r"A\. B\."]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string").orderBy("i")
+    got = [r[0] for r in rows.select(entities.sentences_medical(F.col("t"), patterns)).collect()]
+    assert got.pop() == [None]
+    for text, sentences in zip(texts, got):
+        inside = {i for p in patterns for m in re.finditer(p, text) for i in range(*m.span())}
+        at = [m.start() for m in re.finditer(r'(?<=[.?!])\s+(?=[A-Z"(])', text) if m.start() not in inside]
+        pieces = [text[a:b].strip() for a, b in zip([0, *at], [*at, len(text)])]
+        assert sentences == ([p for p in pieces if p] or [text.strip()])
+
+
+def test_safe_sentences_of_a_long_text_take_linear_time(spark):
+    unit = "Took Metformin 500 mg daily. Blood pressure 120/80 noted. He has type 2 diabetes. Back in 2 weeks. "
+
+    def took(size):
+        rows = spark.createDataFrame([((unit * (size // len(unit) + 1))[:size],)], "t string")
+        begin = time.monotonic()
+        rows.select(F.size(entities.sentences_medical(F.col("t")))).collect()
+        return time.monotonic() - begin
+
+    took(1_000)
+    assert took(1_000_000) < 30
+
+
 def test_match_offsets(spark):
     got = one(spark, entities.match_spans(F.lit("xx1yy22z"), r"\d+"))
     assert [(s["start"], s["end"]) for s in got] == [(2, 3), (5, 7)]
