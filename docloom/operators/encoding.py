@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import vectors as V
-from docloom.functions.arrays import let
 from docloom.functions.domains import KNOWN
 
 
@@ -70,40 +70,49 @@ def sparse_pool(logits: DataFrame) -> DataFrame:
     )
 
 
+def exact_quantile(values: DataFrame, quantile: float, slices: int = 4096) -> float | None:
+    """The least value that at least this share of all values does not exceed, of any range.
+
+    ``values`` has one numeric column; nulls and NaN do not count. A histogram of ``slices``
+    equal slices is counted map-side, and the slice that holds the quantile is cut again, from its
+    least to its largest value, until it holds one value. Only a row per slice comes to
+    the driver, and a pass narrows the range by the number of slices or more.
+    """
+    (name,) = values.columns
+    v = F.col(name).cast("double")
+    held = values.select(v.alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    total, low, high = held.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    rest = math.ceil(total * quantile)
+    while total and low < high:
+        width = high / slices - low / slices
+        width = width if width > 0 else high - low
+        slot = F.least(F.floor((F.col("v") - low) / width), F.lit(slices - 1))
+        inside = held.where(F.col("v").between(low, high)).groupBy(slot.alias("slot"))
+        counts = inside.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for row in sorted(counts.collect(), key=lambda r: r["slot"]):
+            low, high = row["low"], row["high"]
+            if rest <= row["n"]:
+                break
+            rest -= row["n"]
+    return low
+
+
 def quantise_int8(
     df: DataFrame, key: str, vector: str = "dense", quantile: float = rules.QUANTILE
 ) -> DataFrame:
     """Vectors as signed bytes, clipped at a quantile of the absolute values.
 
-    The quantile is exact on a grid of 1e-6. Entries of unit vectors lie within
-    [-1, 1], so after map-side counting at most 1,000,001 grid values meet in
-    the one ordered task, however many vectors there are.
+    The quantile is exact on a grid of 1e-6, whatever the range of the entries. Null
+    entries stay null; where the quantile is 0, all bytes are.
     """
-    grid = (
-        df.select(F.explode(F.transform(vector, lambda x: F.round(F.abs(x.cast("double")), 6))))
-        .groupBy(F.col("col").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = grid.withColumn("upto", F.sum("n").over(upto)).withColumn(
-        "total", F.sum("n").over(Window.partitionBy())
-    )
-    clip = (
-        ranked.where(F.col("upto") >= F.ceil(F.col("total") * quantile))
-        .agg(F.min("value").alias("clip"))
-        .scalar()
-    )
-
-    def to_bytes(limit):
-        def to_byte(x):
-            bounded = F.greatest(F.least(x.cast("double"), limit), -limit)
-            return F.round(bounded / limit * 127).cast("tinyint")
+    entry = F.explode(F.transform(vector, lambda x: F.round(F.abs(x.cast("double")), 6)))
+    clip = exact_quantile(df.select(entry.alias("value")), quantile)
+    limit = F.lit(clip).cast("double")
 
-        return F.transform(vector, to_byte)
+    def to_byte(x):
+        bounded = F.greatest(F.least(x.cast("double"), limit), -limit)
+        return F.round(bounded / (limit if clip else F.lit(1.0)) * 127).cast("tinyint")
 
-    # Bound once, so the sub-query appears once however often the limit is used.
-    return (
-        df.withColumn("clip", clip)
-        .withColumn("quantised", let(F.col("clip"), to_bytes))
-        .select(key, "clip", "quantised")
-    )
+    # A null entry would otherwise count as the limit.
+    bytes_ = F.transform(vector, lambda x: F.when(x.isNotNull(), to_byte(x)))
+    return df.select(key, limit.alias("clip"), bytes_.alias("quantised"))

@@ -220,3 +220,30 @@ def test_open_queries_count_every_chunk(spark):
     )
     got = {r["query_id"]: r["n_candidates"] for r in retrieval.filtered_candidates(chunks, asked).collect()}
     assert got == {1: 3, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("slices", [2, 7, 4096])
+def test_quantiles_of_any_range(spark, slices):
+    rng = np.random.default_rng(11)
+    cases = [
+        rng.normal(size=300), rng.lognormal(0, 40, size=300), np.repeat([1.0, 2.0, 3.0], [200, 1, 99]), np.zeros(5),
+        np.array([-1e308, 1e308, 5.0, 5.0]), np.array([-2.0, np.nextafter(-2.0, 0), 0.0, 5e-324, 1e-323]), [7.0],
+    ]
+    for values in cases[:: 1 if slices == 7 else 3]:
+        rows = [(float(v),) for v in values] + [(None,), (float("nan"),)]
+        held = spark.createDataFrame(rows, "v double").coalesce(2)
+        for share in (0.5, 0.99):
+            want = float(np.sort(values)[int(np.ceil(len(values) * share)) - 1])
+            assert encoding.exact_quantile(held, share, slices) == want
+    assert encoding.exact_quantile(held.limit(0), 0.5, slices) is None
+
+
+def test_quantised_odd_vectors(spark):
+    rows = [(1, [100.0, -50.0]), (2, [None, 25.0]), (3, None), (4, [])]
+    odd = spark.createDataFrame(rows, "id long, dense array<double>")
+    got = {r["id"]: (r["clip"], r["quantised"]) for r in encoding.quantise_int8(odd, "id", quantile=1.0).collect()}
+    assert got == {1: (100.0, [127, -64]), 2: (100.0, [None, 32]), 3: (100.0, None), 4: (100.0, [])}
+    flat = encoding.quantise_int8(odd.select("id", F.array(F.lit(0.0)).alias("dense")), "id").collect()
+    assert {tuple(r["quantised"]) for r in flat} == {(0,)}
+    none = encoding.quantise_int8(odd.where("id > 2"), "id").collect()
+    assert {r["clip"] for r in none} == {None} and none[-1]["quantised"] in (None, [])
