@@ -85,8 +85,8 @@ def encode_dense(text: Column, domain: str) -> Column:
     return encoder(text)
 
 
-def term_weights(text: Column) -> Column:
-    """Default sparse encoder: ``array<struct<token, weight>>`` with ``log1p`` of the count.
+def term_weights(text: Column, weigh: Callable[[Column], Column] = F.log1p) -> Column:
+    """Default sparse encoder: ``array<struct<token, weight>>`` with ``log1p`` (``weigh``) of the count.
 
     Sorted tokens put equal ones side by side, so counting needs no shuffle and
     no look-up per token.
@@ -106,7 +106,7 @@ def term_weights(text: Column) -> Column:
                 at,
                 lambda a, j: F.struct(
                     F.element_at(words, a + 1).alias("token"),
-                    F.log1p(
+                    weigh(
                         (F.coalesce(F.try_element_at(at, j + 2), F.size(words)) - a).cast("double")
                     ).alias("weight"),
                 ),

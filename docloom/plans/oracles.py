@@ -640,6 +640,16 @@ SELECT vec_id, clip, i, round(greatest(least(x, clip), -clip) / clip * 127)::INT
 
 ORACLES["dense_topk"] = f"WITH {SEARCH}, {hits()} SELECT query_id, chunk_id, score, rank FROM dh"
 ORACLES["sparse_topk"] = f"WITH {SEARCH}, {hits()} SELECT query_id, chunk_id, score, rank FROM sh"
+ORACLES["bm25_topk"] = f"""
+WITH d AS (SELECT doc_id AS chunk_id, {tokens("coalesce(text, '')")} AS w FROM documents),
+tf AS (SELECT chunk_id, l, token, count(*) AS n FROM (SELECT chunk_id, len(w) AS l, unnest(w) AS token FROM d) GROUP BY ALL),
+st AS (SELECT count(*) AS n_all, sum(len(w)) / count(*) AS mean FROM d),
+idf AS (SELECT token, ln(1 + (n_all - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY token, n_all),
+q AS (SELECT query_id, token, count(*) AS m FROM (SELECT item_id AS query_id, unnest({tokens("text")}) AS token FROM benchmark) GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, round(sum(m * idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score
+  FROM q JOIN tf USING (token) JOIN idf USING (token), st GROUP BY ALL)
+SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= {rules.TOP_K_SPARSE}"""
 _DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 ORACLES["dense_topk_batch"] = f"""
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank

@@ -13,7 +13,7 @@ from docloom.functions import guards as G
 from docloom.functions import ids, vectors
 from docloom.functions import text as T
 from docloom.operators import access, budget, cells, chunking, elements, encoding, entities
-from docloom.operators import guarding, id_filters, registry, render, retrieval, tables
+from docloom.operators import guarding, id_filters, lexical, registry, render, retrieval, tables
 from docloom.plans import derive
 from docloom.session import materialise, scratch_path, spread
 from docloom.sources import collections as store
@@ -645,6 +645,18 @@ def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _sparse_hits(spark, sf).select("query_id", "chunk_id", "score", "rank")
 
 
+@query
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 with the statistics of two parts of the collection put together."""
+    chunks = derive.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    english = F.col("lang").eqNullSafe("en")
+    parts = (chunks.where(english), chunks.where(~english))
+    held = lexical.merge_statistics(*(lexical.term_statistics(p) for p in parts))
+    asked = derive.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = lexical.bm25_topk(chunks, asked, materialise(held, "statistics"))
+    return found.select("query_id", "chunk_id", "score", "rank")
+
+
 @query
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.rrf_fuse(_both_hits(spark, sf)).select("query_id", "chunk_id", "score", "rank")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import cells, chunking, encoding, retrieval, scoring
+from docloom.operators import cells, chunking, encoding, lexical, retrieval, scoring
 
 
 @pytest.fixture(scope="module")
@@ -247,3 +247,32 @@ def test_quantised_odd_vectors(spark):
     assert {tuple(r["quantised"]) for r in flat} == {(0,)}
     none = encoding.quantise_int8(odd.where("id > 2"), "id").collect()
     assert {r["clip"] for r in none} == {None} and none[-1]["quantised"] in (None, [])
+
+
+def test_bm25_against_brute_force(spark):
+    texts = ["a b b c", "b c", "", None, "c c c c d", "a d e f g h", "a A a-a", "zz"]
+    asked = [(1, "a b"), (2, "c c d"), (3, "nothing"), (4, None)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string")
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    gone = spark.createDataFrame([(99, "zz b old"), (98, None)], "chunk_id bigint, text string")
+    statistics = lexical.merge_statistics(
+        lexical.term_statistics(chunks.unionByName(gone)), lexical.term_statistics(gone, removed=True)
+    )
+    held = {r["token"]: (r["chunks"], r["tokens"]) for r in statistics.collect()}
+    assert held[None] == (8, 22) and held["a"] == (3, 6) and "old" not in held
+    words = [(t or "").lower().replace("-", " ").split() for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    want = set()
+    for q, query in asked:
+        scores = []
+        for i, w in enumerate(words):
+            score = 0.0
+            for token in (query or "").split():
+                df, n = sum(token in x for x in words), w.count(token)
+                score += np.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean))
+            if score > 0:
+                scores.append((-round(score, 6), i))
+        want |= {(q, i, -s, rank) for rank, (s, i) in enumerate(sorted(scores)[:3], 1)}
+    got = lexical.bm25_topk(chunks, queries, statistics, 3).select("query_id", "chunk_id", "score", "rank").collect()
+    assert {(q, i, round(s, 5), r) for q, i, s, r in want} == {(r[0], r[1], round(r[2], 5), r[3]) for r in got}
+    assert lexical.bm25_topk(chunks.limit(0), queries, lexical.term_statistics(chunks.limit(0)), 3).count() == 0
