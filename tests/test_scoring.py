@@ -274,5 +274,5 @@ def test_bm25_against_brute_force(spark):
                 scores.append((-round(score, 6), i))
         want |= {(q, i, -s, rank) for rank, (s, i) in enumerate(sorted(scores)[:3], 1)}
     got = lexical.bm25_topk(chunks, queries, statistics, 3).select("query_id", "chunk_id", "score", "rank").collect()
-    assert {(q, i, round(s, 5), r) for q, i, s, r in want} == {(r[0], r[1], round(r[2], 5), r[3]) for r in got}
+    assert {(q, i, round(float(s), 5), r) for q, i, s, r in want} == {(r[0], r[1], round(r[2], 5), r[3]) for r in got}
     assert lexical.bm25_topk(chunks.limit(0), queries, lexical.term_statistics(chunks.limit(0)), 3).count() == 0
