@@ -943,10 +943,12 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files.
+
+    A plain path must be a folder and a file filter only sees the names of files; a pattern finds both.
+    """
     schema = derive.table(spark, sf, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 @query
