@@ -19,3 +19,10 @@ def test_answers_of_a_table_in_a_folder(spark, tmp_path):
     sf = in_folders(spark, tmp_path, conversations=talk(spark))
     got = QUERIES["stream_answers"](spark, sf).collect()
     assert sorted(r["request_id"] for r in got) == sorted(f"{c}:{t}" for c in range(5) for t in range(3))
+
+
+def test_ingest_of_a_table_in_a_folder(spark, tmp_path):
+    rows = [(d, "en" if d % 2 else "fr", f"Some text of {d}. More of it.\n\nAnd an end.") for d in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = QUERIES["stream_ingest"](spark, in_folders(spark, tmp_path, documents=docs)).collect()
+    assert {r["document_id"] for r in got} == {f"doc-{d}" for d in range(7)}
