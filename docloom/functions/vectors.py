@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -32,8 +33,13 @@ def l2_normalise(vector: Column) -> Column:
     )
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def _hash_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+#: Rows that are counted at once, and words whose number a task holds.
+STEP_ROWS = 512
+HELD_WORDS = 100_000
+
+
+@F.arrow_udf(ArrayType(FloatType()))
+def _hash_counts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     number_of: dict[str, int] = {}
 
     def number(word: str) -> int:
@@ -41,24 +47,32 @@ def _hash_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         if found is None:
             digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
             found = int(digest[:8], 16)
-            if len(number_of) < 500_000:
+            if len(number_of) < HELD_WORDS:
                 number_of[word] = found
         return found
 
-    for words_of_rows, widths in batches:
-        sizes = words_of_rows.map(len).to_numpy(np.int64)
-        width = widths.to_numpy(np.int64)
+    def counted(words: pa.Array, width: np.ndarray) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
         begin = np.cumsum(width) - width
-        flat = np.concatenate(words_of_rows.to_list()) if sizes.sum() else np.array([], object)
-        code, distinct = pd.factorize(flat)
-        bucket = np.fromiter((number(w) for w in distinct), np.int64, len(distinct))[code]
+        # Words stay in Arrow; only the distinct ones of a step become Python strings.
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        numbers = np.array([number(w) for w in coded.dictionary.to_pylist()], np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        counts = np.bincount(begin[row] + bucket % width[row], minlength=int(width.sum()))
+        counts = np.bincount(begin[row] + numbers[code] % width[row], minlength=int(width.sum()))
         counts = counts.astype(np.float64)
-        squares = np.add.reduceat(counts * counts, begin) if len(begin) else counts
-        length = np.sqrt(squares)
+        length = np.sqrt(np.add.reduceat(counts * counts, begin))
         unit = counts / np.repeat(np.where(length > 0, length, 1.0), width)
-        yield pd.Series(np.split(unit.astype(np.float32), begin[1:]))
+        offsets = pa.array(np.append(begin, width.sum()).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.astype(np.float32)))
+
+    for words_of_rows, widths in batches:
+        width = widths.to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = [
+            counted(words_of_rows.slice(at, STEP_ROWS), width[at : at + STEP_ROWS])
+            for at in range(0, len(words_of_rows), STEP_ROWS)
+        ]
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
 
 def hashed_encoder(width: int | Column) -> Callable[[Column], Column]:

@@ -1,5 +1,11 @@
 """Tables that are folders of files, and steps whose size is bounded."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from docloom.operators import scoring
 from docloom.plans.queries import QUERIES
 
 
@@ -26,3 +32,38 @@ def test_ingest_of_a_table_in_a_folder(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
     got = QUERIES["stream_ingest"](spark, in_folders(spark, tmp_path, documents=docs)).collect()
     assert {r["document_id"] for r in got} == {f"doc-{d}" for d in range(7)}
+
+
+def common_terms(chunks, queries, terms):
+    """A batch of chunks and a block of queries that all have the same terms."""
+    token = [f"t{i:03}" for i in range(terms)]
+    held = lambda n, name, c: pa.table(
+        {name: list(range(n)), "terms": [[{"token": t, "weight": c + i + n % 7} for t in token] for i in range(n)]},
+        schema=pa.schema(
+            {name: pa.int64(), "terms": pa.list_(pa.struct({"token": pa.string(), "weight": pa.float64()}))}
+        ),
+    )
+    return held(chunks, "chunk_id", 1.0), scoring.QueryBlock(held(queries, "query_id", 2.0), 5, pa.int64())
+
+
+def test_sparse_scores_of_common_terms_stay_small():
+    batch, block = common_terms(2000, 100, 50)
+    for weights in (block.weights, None):
+        block.weights = weights
+        tracemalloc.start()
+        got = block.sparse_scores(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # Ten million products of terms, of eight bytes in each of several arrays.
+        assert peak < 80e6
+        want = 50 * np.outer(1.0 + np.arange(2000) + 2000 % 7, 2.0 + np.arange(100) + 100 % 7)
+        assert np.allclose(got, want)
+
+
+def test_sparse_scores_in_small_steps(monkeypatch):
+    monkeypatch.setattr(scoring, "TILE_LINKS", 7)
+    monkeypatch.setattr(scoring, "TILE_CELLS", 5)
+    batch, block = common_terms(9, 4, 3)
+    assert block.weights is None
+    want = 3 * np.outer(1.0 + np.arange(9) + 2, 2.0 + np.arange(4) + 4)
+    assert np.allclose(block.sparse_scores(batch), want)
