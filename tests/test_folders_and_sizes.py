@@ -67,3 +67,57 @@ def test_sparse_scores_in_small_steps(monkeypatch):
     assert block.weights is None
     want = 3 * np.outer(1.0 + np.arange(9) + 2, 2.0 + np.arange(4) + 4)
     assert np.allclose(block.sparse_scores(batch), want)
+
+
+def in_clusters(rng, rows, width):
+    """Non-negative unit vectors around a few directions, some of them nearly equal, one longer than the rest."""
+    x = np.abs(rng.normal(size=(6, width)))[rng.integers(0, 6, rows)] + 0.3 * np.abs(rng.normal(size=(rows, width)))
+    x[rows // 2 :: 3] = x[: len(x[rows // 2 :: 3])] * (1 + 0.01 * rng.normal(size=(len(x[rows // 2 :: 3]), 1)))
+    x[::5] += 0.02 * rng.normal(size=x[::5].shape)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[3] *= 1.5
+    return x
+
+
+def test_close_pairs_are_those_of_all_products():
+    rng = np.random.default_rng(3)
+    for width, odd in ((300, None), (300, np.nan), (64, None)):
+        left, right = in_clusters(rng, 1500, width), in_clusters(rng, 1300, width)
+        right[:400] = left[:400] + 0.01 * rng.normal(size=(400, width))
+        if odd is not None:
+            left[7, 5] = odd
+        for threshold in (0.97, 0.999):
+            scores = scoring.round6(left @ right.T)
+            want = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(scores >= threshold)))}
+            got = [x for part in scoring._close_pairs(left, right, threshold) for x in zip(*(c.tolist() for c in part))]
+            assert {(i, j) for i, j, _ in got} == want and len(got) == len(want)
+            assert all(abs(s - scores[i, j]) < 2e-6 for i, j, s in got)
+
+
+def test_near_duplicates_compare_few_vectors_in_full(spark, monkeypatch):
+    """Blocks meet once, widths stay apart, and names may be text or repeat."""
+    x = in_clusters(np.random.default_rng(4), 300, 250).round(3)
+    rows = [(f"c{i:03}", x[i].tolist() if i % 10 else x[i, :200].tolist()) for i in range(300)]
+    rows += [rows[5], ("c000", None), (None, rows[6][1])]
+    frame = spark.createDataFrame(rows, "chunk_id string, dense array<double>")
+    want = {}
+    for a, u in rows:
+        for b, v in rows:
+            if a and b and u and v and len(u) == len(v) and b < a:
+                score = float(scoring.round6(np.array([np.dot(u, v)]))[0])
+                if score >= 0.97:
+                    want[a] = min(want.get(a, (0.0, "")), (-score, b))
+    for block_rows in (40, 20_000):
+        got = {r["query_id"]: (-r["score"], r["chunk_id"]) for r in scoring.closest_before(frame, 0.97, block_rows).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[a][0] - want[a][0]) < 2e-6 for a in want)
+
+
+def test_pairs_of_different_texts_are_ruled_out_before_exact_products(monkeypatch):
+    rng = np.random.default_rng(5)
+    left, right = (np.abs(rng.normal(size=(1000, 384))) * (rng.random((1000, 384)) < 0.3) for _ in range(2))
+    left, right = (x / np.linalg.norm(x, axis=1)[:, None] for x in (left, right))
+    rounded = []
+    monkeypatch.setattr(scoring, "round6", lambda x: rounded.append(x.size) or x)
+    assert not sum(len(i) for i, _, _ in scoring._close_pairs(left, right, 0.95))
+    assert sum(rounded) < 10_000
