@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import vectors as V
 from docloom.functions.domains import KNOWN
+from docloom.session import spread
 
 
 def add_vectors(df: DataFrame, domain: str, text: str = "text") -> DataFrame:
@@ -70,26 +74,52 @@ def sparse_pool(logits: DataFrame) -> DataFrame:
     )
 
 
-def exact_quantile(values: DataFrame, quantile: float, slices: int = 4096) -> float | None:
+def exact_quantile(
+    values: DataFrame, quantile: float, slices: int = 4096, of: Callable[[np.ndarray], np.ndarray] = np.asarray
+) -> float | None:
     """The least value that at least this share of all values does not exceed, of any range.
 
-    ``values`` has one numeric column; nulls and NaN do not count. A histogram of ``slices``
-    equal slices is counted map-side, and the slice that holds the quantile is cut again, from its
-    least to its largest value, until it holds one value. Only a row per slice comes to
-    the driver, and a pass narrows the range by the number of slices or more.
+    ``values`` has one column of numbers or of lists of them; nulls, NaN and infinities do not
+    count. A histogram of ``slices`` equal slices of ``of(values)`` is counted in the tasks, and the slice that
+    holds the quantile is cut again, from its least to its largest value, until it holds
+    one value. Only a row per slice comes to the driver, and a pass narrows the range by
+    the number of slices or more.
     """
-    (name,) = values.columns
-    v = F.col(name).cast("double")
-    held = values.select(v.alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
-    total, low, high = held.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    rest = math.ceil(total * quantile)
-    while total and low < high:
-        width = high / slices - low / slices
+
+    def summed(low: float, high: float, parts: int) -> DataFrame:
+        """Number, least and largest value of every slice between two bounds."""
+        width = high / parts - low / parts
         width = width if width > 0 else high - low
-        slot = F.least(F.floor((F.col("v") - low) / width), F.lit(slices - 1))
-        inside = held.where(F.col("v").between(low, high)).groupBy(slot.alias("slot"))
-        counts = inside.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        for row in sorted(counts.collect(), key=lambda r: r["slot"]):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, least, most = np.zeros(parts, np.int64), np.full(parts, np.inf), np.full(parts, -np.inf)
+            for batch in batches:
+                column = batch.column(0)
+                column = column.flatten() if pa.types.is_list(column.type) else column
+                v = of(column.drop_null().cast(pa.float64()).to_numpy(zero_copy_only=False))
+                v = np.sort(v[np.isfinite(v) & (v >= low) & (v <= high)])
+                slot = np.minimum(np.floor((v - low) / width), parts - 1).astype(np.int64) if parts > 1 else v * 0
+                first = np.flatnonzero(np.diff(slot, prepend=-1))
+                at, last = slot[first].astype(np.int64), np.append(first[1:], len(v)) - 1
+                if len(v):
+                    n[at] += last - first + 1
+                    least[at] = np.minimum(least[at], v[first])
+                    most[at] = np.maximum(most[at], v[last])
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (at, n[at], least[at], most[at])], names=["slot", "n", "low", "high"]
+            )
+
+        found = values.mapInArrow(run, "slot long, n long, low double, high double").groupBy("slot")
+        return found.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    whole = summed(-np.inf, np.inf, 1).first()
+    if whole is None:
+        return None
+    total, low, high = whole["n"], whole["low"], whole["high"]
+    rest = math.ceil(total * quantile)
+    while low < high:
+        for row in sorted(summed(low, high, slices).collect(), key=lambda r: r["slot"]):
             low, high = row["low"], row["high"]
             if rest <= row["n"]:
                 break
@@ -105,13 +135,14 @@ def quantise_int8(
     The quantile is exact on a grid of 1e-6, whatever the range of the entries. Null
     entries stay null; where the quantile is 0, all bytes are.
     """
-    entry = F.explode(F.transform(vector, lambda x: F.round(F.abs(x.cast("double")), 6)))
-    clip = exact_quantile(df.select(entry.alias("value")), quantile)
-    limit = F.lit(clip).cast("double")
+    df = spread(df)
+    # Rounding keeps the order, so the quantile of rounded values is the rounded quantile.
+    clip = exact_quantile(df.select(vector), quantile, of=np.abs)
+    limit = F.round(F.lit(clip).cast("double"), 6)
 
     def to_byte(x):
         bounded = F.greatest(F.least(x.cast("double"), limit), -limit)
-        return F.round(bounded / (limit if clip else F.lit(1.0)) * 127).cast("tinyint")
+        return F.round(bounded / F.when(limit > 0, limit).otherwise(F.lit(1.0)) * 127).cast("tinyint")
 
     # A null entry would otherwise count as the limit.
     bytes_ = F.transform(vector, lambda x: F.when(x.isNotNull(), to_byte(x)))

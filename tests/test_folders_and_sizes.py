@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from docloom.operators import scoring
+from docloom.operators import encoding, scoring
 from docloom.plans.queries import QUERIES
 
 
@@ -121,3 +121,16 @@ def test_pairs_of_different_texts_are_ruled_out_before_exact_products(monkeypatc
     monkeypatch.setattr(scoring, "round6", lambda x: rounded.append(x.size) or x)
     assert not sum(len(i) for i, _, _ in scoring._close_pairs(left, right, 0.95))
     assert sum(rounded) < 10_000
+
+
+def test_quantised_vectors_of_one_file_are_dealt_out(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(500, 8)), 9)
+    one = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, dense array<double>").coalesce(1)
+    coded = encoding.quantise_int8(one, "id", quantile=0.9)
+    assert coded.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    clip = float(np.round(np.sort(np.abs(x).ravel())[3599], 6))
+    got = {r["id"]: r["quantised"] for r in coded.collect()}
+    assert {r["clip"] for r in coded.select("clip").distinct().collect()} == {clip}
+    want = np.clip(x, -clip, clip) / clip * 127
+    assert all(np.abs(np.array(got[i]) - want[i]).max() <= 0.5 + 1e-9 for i in range(500))
