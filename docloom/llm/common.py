@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh64_intdigest
 
 from docloom.operators.id_filters import id_filter, passing
-from docloom.session import scratch_path
+from docloom.session import scratch_path, small_batches  # noqa: F401
 
 #: Text bytes that one step of a task handles at once; one longer text is still taken whole.
 STEP_BYTES = 2 << 20
-#: Rows of one Arrow batch sent to Python.
-BATCH_ROWS = 2000
 
 #: Common function words of some European languages (fixed values).
 FUNCTION_WORDS = (
@@ -46,13 +44,6 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session, so that long texts do not add up."""
-    held = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if held <= 0 or held > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.functions import vectors as V
 from docloom.functions.domains import KNOWN
-from docloom.session import spread
+from docloom.session import small_batches, spread
 
 
 def add_vectors(df: DataFrame, domain: str, text: str = "text") -> DataFrame:
     """Add ``dense`` and ``terms`` columns; both stay inside the row."""
+    small_batches(df.sparkSession)
     return df.withColumn("dense", V.encode_dense(F.col(text), domain)).withColumn(
         "terms", V.term_weights(F.col(text))
     )
@@ -30,6 +31,7 @@ def add_vectors_by_domain(df: DataFrame, text: str = "text") -> DataFrame:
     Domains on the default encoder share one pass with the width as a column;
     only domains with an encoder of their own are split off.
     """
+    small_batches(df.sparkSession)
     own = [d for d in KNOWN if d in V.ENCODERS]
     width = F.lit(rules.VECTOR_WIDTH["general"])
     for domain, size in rules.VECTOR_WIDTH.items():
@@ -48,6 +50,7 @@ def encode_distinct(df: DataFrame, domain: str, text: str = "text") -> DataFrame
     removed map-side first; many copies of one text on the join side are split
     by the adaptive skew join.
     """
+    small_batches(df.sparkSession)
     encoded = (
         df.select(text)
         .dropDuplicates([text])

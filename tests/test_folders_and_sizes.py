@@ -134,3 +134,39 @@ def test_quantised_vectors_of_one_file_are_dealt_out(spark):
     assert {r["clip"] for r in coded.select("clip").distinct().collect()} == {clip}
     want = np.clip(x, -clip, clip) / clip * 127
     assert all(np.abs(np.array(got[i]) - want[i]).max() <= 0.5 + 1e-9 for i in range(500))
+
+
+def test_batches_of_search_and_encoding_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    def largest():
+        rows = spark.range(5000, numPartitions=1).mapInArrow(count, "n long").collect()
+        assert sum(r["n"] for r in rows) == 5000
+        return max(r["n"] for r in rows)
+
+    texts = spark.createDataFrame([("a", "one two", "general")], "chunk_id string, text string, domain string")
+    coded = encoding.add_vectors(texts, "general")
+    asked = coded.withColumnRenamed("chunk_id", "query_id")
+    steps = [
+        lambda: encoding.add_vectors(texts, "general"),
+        lambda: encoding.add_vectors_by_domain(texts),
+        lambda: encoding.encode_distinct(texts, "general"),
+        lambda: scoring.score_topk(coded, asked, ("dense",), 1),
+        lambda: scoring.closest_before(coded, 0.5),
+    ]
+    try:
+        for step in steps:
+            spark.conf.set(name, "10000")
+            step()
+            assert largest() <= 2000
+        # A smaller limit of the session stays.
+        spark.conf.set(name, "70")
+        steps[0]()
+        assert largest() <= 70
+    finally:
+        spark.conf.set(name, held)
