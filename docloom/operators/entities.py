@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,16 @@ def entity_spans(text: Column, patterns: list[str] | None = None) -> Column:
     return merge_span_array(F.flatten(F.array(*found)))
 
 
+def reaches_over(text: Column, patterns: list[str] | None = None) -> Column:
+    """Can a match of any pattern hold a sentence boundary? It has white space first or after a full stop, then."""
+    at_gap = T.jvm(r"(?:^|[.?!])\s")
+    found = [
+        F.exists(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda h: h.rlike(at_gap))
+        for p in (patterns or entity_patterns())
+    ]
+    return reduce(Column.__or__, found)
+
+
 def _outside(gaps: Column, spans: Column) -> Column:
     """For every gap, in order: does it begin outside all spans? The spans are sorted and apart.
 
@@ -143,7 +154,8 @@ def sentences_medical(text: Column, patterns: list[str] | None = None) -> Column
     """Sentences whose boundaries do not fall inside an entity span.
 
     The text is split at all boundaries once; where a boundary lies in a span, the pieces on both
-    sides are put together again, with what was between them.
+    sides are put together again, with what was between them. Only texts with a match that can hold
+    a boundary need the places of matches.
     """
     boundary = T.jvm(rules.SENTENCE_MEDICAL)
 
@@ -165,10 +177,11 @@ def sentences_medical(text: Column, patterns: list[str] | None = None) -> Column
 
     def run(held: Column) -> Column:
         def with_gaps(pieces: Column, gaps: Column) -> Column:
-            return let(
+            placed = let(
                 _outside(_placed(pieces, gaps), entity_spans(held, patterns)),
                 lambda cuts: rejoined(pieces, gaps, cuts),
             )
+            return F.when(reaches_over(held, patterns), placed).otherwise(F.transform(pieces, T.strip))
 
         return _matched(held, boundary, with_gaps, F.array(T.strip(held)))
 
