@@ -97,15 +97,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-#: Rows of one Arrow batch sent to Python.
+#: Rows and bytes of one Arrow batch sent to Python; the row that reaches the bytes ends it.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 * 1024 * 1024
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session: a Python worker holds whole batches, however long their rows are."""
-    held = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if held <= 0 or held > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        # Bytes may end with b; a size with another unit is the caller's own choice.
+        if (size := re.fullmatch(r"(-?\d+)b?", held)) and not 0 < int(size[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 _SHIPPED: set[str] = set()

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from docloom.operators import encoding, scoring
 from docloom.plans.queries import QUERIES
@@ -170,3 +171,27 @@ def test_batches_of_search_and_encoding_are_bounded(spark):
         assert largest() <= 70
     finally:
         spark.conf.set(name, held)
+
+
+def test_batches_of_long_rows_are_bounded_by_bytes(spark):
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    held = [spark.conf.get(name) for name in names]
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    long = spark.range(400, numPartitions=1).select(F.repeat(F.lit("x"), F.lit(100_000)).alias("text"))
+    try:
+        spark.conf.set(names[1], "1000000000")
+        encoding.add_vectors(long, "general")
+        rows = long.mapInArrow(size, "n long, size long").collect()
+        assert sum(r["n"] for r in rows) == 400
+        assert max(r["size"] for r in rows) <= 17 * 1024 * 1024
+        # A smaller limit of the session stays.
+        spark.conf.set(names[1], "1000000")
+        encoding.add_vectors(long, "general")
+        assert spark.conf.get(names[1]) == "1000000"
+    finally:
+        for name, value in zip(names, held, strict=True):
+            spark.conf.set(name, value)
