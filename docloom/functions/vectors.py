@@ -43,12 +43,9 @@ def _hash_counts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Ar
     number_of: dict[str, int] = {}
 
     def number(word: str) -> int:
-        found = number_of.get(word)
-        if found is None:
-            digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-            found = int(digest[:8], 16)
-            if len(number_of) < HELD_WORDS:
-                number_of[word] = found
+        found = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4])
+        if len(number_of) < HELD_WORDS:
+            number_of[word] = found
         return found
 
     def counted(words: pa.Array, width: np.ndarray) -> pa.Array:
@@ -57,7 +54,9 @@ def _hash_counts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Ar
         # Words stay in Arrow; only the distinct ones of a step become Python strings.
         coded = words.flatten().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        numbers = np.array([number(w) for w in coded.dictionary.to_pylist()], np.int64)
+        held = number_of.get
+        numbers = [number(w) if (n := held(w)) is None else n for w in coded.dictionary.to_pylist()]
+        numbers = np.array(numbers, np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
         counts = np.bincount(begin[row] + numbers[code] % width[row], minlength=int(width.sum()))
         counts = counts.astype(np.float64)
@@ -81,8 +80,12 @@ def hashed_encoder(width: int | Column) -> Callable[[Column], Column]:
     The bucket of a token is the first 32 bits of its MD5 modulo ``width``, which
     may be a column, so rows of different domains share one pass.
     """
-    size = width if isinstance(width, Column) else F.lit(width)
-    return lambda text: _hash_counts(tokens(text), size)
+    return lambda text: encode_words(tokens(text), width)
+
+
+def encode_words(words: Column, width: int | Column) -> Column:
+    """The default dense encoder over tokens."""
+    return _hash_counts(words, width if isinstance(width, Column) else F.lit(width))
 
 
 ENCODERS: dict[str, Callable[[Column], Column]] = {}
@@ -105,6 +108,11 @@ def term_weights(text: Column, weigh: Callable[[Column], Column] = F.log1p) -> C
     Sorted tokens put equal ones side by side, so counting needs no shuffle and
     no look-up per token.
     """
+    return word_weights(tokens(text), weigh)
+
+
+def word_weights(all_words: Column, weigh: Callable[[Column], Column] = F.log1p) -> Column:
+    """The default sparse encoder over tokens."""
 
     def count_runs(words: Column) -> Column:
         starts = F.filter(
@@ -128,7 +136,7 @@ def term_weights(text: Column, weigh: Callable[[Column], Column] = F.log1p) -> C
         )
 
     return let(
-        F.sort_array(tokens(text)),
+        F.sort_array(all_words),
         lambda words: F.when(F.size(words) > 0, count_runs(words)).otherwise(
             F.expr("cast(array() as array<struct<token:string,weight:double>>)")
         ),

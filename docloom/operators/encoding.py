@@ -8,21 +8,33 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import vectors as V
 from docloom.functions.domains import KNOWN
+from docloom.functions.text import tokens
+from docloom.operators.id_filters import unused
 from docloom.session import small_batches, spread
 
 
 def add_vectors(df: DataFrame, domain: str, text: str = "text") -> DataFrame:
     """Add ``dense`` and ``terms`` columns; both stay inside the row."""
     small_batches(df.sparkSession)
-    return df.withColumn("dense", V.encode_dense(F.col(text), domain)).withColumn(
-        "terms", V.term_weights(F.col(text))
-    )
+    if domain in V.ENCODERS:
+        return df.withColumn("dense", V.encode_dense(F.col(text), domain)).withColumn(
+            "terms", V.term_weights(F.col(text))
+        )
+    return _both(df, rules.VECTOR_WIDTH.get(domain, rules.VECTOR_WIDTH["general"]), text)
+
+
+def _both(df: DataFrame, width: int | Column, text: str) -> DataFrame:
+    """Both vectors of the default encoders from one look for tokens."""
+    (words,) = unused(df, "_words")
+    found = df.withColumn(words, tokens(F.col(text)))
+    vectors = {"dense": V.encode_words(F.col(words), width), "terms": V.word_weights(F.col(words))}
+    return found.withColumns(vectors).drop(words)
 
 
 def add_vectors_by_domain(df: DataFrame, text: str = "text") -> DataFrame:
@@ -36,10 +48,8 @@ def add_vectors_by_domain(df: DataFrame, text: str = "text") -> DataFrame:
     width = F.lit(rules.VECTOR_WIDTH["general"])
     for domain, size in rules.VECTOR_WIDTH.items():
         width = F.when(F.col("domain") == domain, size).otherwise(width)
-    shared = (df.where(~F.coalesce(F.col("domain").isin(own), F.lit(False))) if own else df).withColumns(
-        {"dense": V.hashed_encoder(width)(F.col(text)), "terms": V.term_weights(F.col(text))}
-    )
-    parts = [shared, *[add_vectors(df.where(F.col("domain") == d), d, text) for d in own]]
+    rest = df.where(~F.coalesce(F.col("domain").isin(own), F.lit(False))) if own else df
+    parts = [_both(rest, width, text), *[add_vectors(df.where(F.col("domain") == d), d, text) for d in own]]
     return reduce(DataFrame.unionByName, parts)
 
 

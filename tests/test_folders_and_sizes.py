@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docloom.functions import vectors
 from docloom.operators import encoding, scoring
 from docloom.plans.queries import QUERIES
 
@@ -195,3 +196,24 @@ def test_batches_of_long_rows_are_bounded_by_bytes(spark):
     finally:
         for name, value in zip(names, held, strict=True):
             spark.conf.set(name, value)
+
+
+def test_tokens_are_looked_for_once_for_both_vectors(spark, capsys):
+    texts = ["One two, two.", "", None, "zwei Äpfel 2 two", "one"]
+    rows = [(str(i), t, d) for i, t in enumerate(texts) for d in ("general", "medical", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, domain string").withColumn("_WORDS", F.lit(1))
+    alone = df.withColumn("dense", vectors.encode_dense(F.col("text"), "general")).withColumn(
+        "terms", vectors.term_weights(F.col("text"))
+    )
+    key = lambda r: (r["chunk_id"], str(r["domain"]))
+    for coded in (encoding.add_vectors(df, "general"), encoding.add_vectors_by_domain(df)):
+        coded.explain()
+        assert capsys.readouterr().out.count("split(") == 1
+        assert coded.columns == alone.columns
+        got, want = (sorted(x.collect(), key=key) for x in (coded, alone))
+        assert [r["terms"] for r in got] == [r["terms"] for r in want]
+        for a, b in zip(got, want, strict=True):
+            if len(a["dense"]) == len(b["dense"]):
+                assert a["dense"] == b["dense"]
+            else:
+                assert a["domain"] == "medical" and len(a["dense"]) == 768
