@@ -104,14 +104,14 @@ PLAIN = byte_table(bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = (h ^ (h >> np.uint64(32))) * _STEP
-    h = (h ^ (h >> np.uint64(29))) * _MIX
+    h = (h ^ (h >> np.uint64(29))) * MIX
     return h ^ (h >> np.uint64(32))
 
 
@@ -170,7 +170,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = out * _MIX + h[j : n + j]
+        out = out * MIX + h[j : n + j]
     return mixed(out)
 
 

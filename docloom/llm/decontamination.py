@@ -13,7 +13,7 @@ lengths (at most ``WINDOW - 1`` of them) every position of a text is looked up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,28 +38,54 @@ _CONTEXT = [
 ]
 
 
+def _grams_of(h: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """``C.grams`` for each of some ascending lengths; each length goes on from the one before."""
+    out = np.zeros(len(h), np.uint64)
+    for k in range(1, min(max(lengths, default=0), len(h)) + 1):
+        out = out[: len(h) - k + 1] * C.MIX + h[k - 1 :]
+        if k in lengths:
+            yield k, C.mixed(out)
+
+
 class Fingerprints:
-    """Fingerprints of one step: row, kind (words of the window), hash and position in the text."""
+    """Wanted fingerprints of one step: row, kind (words of the window), hash and position in the text.
+
+    ``wanted`` tells by kind, hashes and rows which ones to hold. A text has as many as it has words for
+    every short length, so each length is looked through on its own and only these are kept.
+    """
 
-    def __init__(self, words: C.Words, window: int, gram: int, short: list[int]) -> None:
+    def __init__(
+        self,
+        words: C.Words,
+        window: int,
+        gram: int,
+        short: list[int],
+        wanted: Callable[[int, np.ndarray, np.ndarray], np.ndarray],
+    ) -> None:
         self.words = words
         h, row, first = words.hashes(), words.row, words.first
+        found = []
+
+        def hold(kind: int, hashes: np.ndarray, at: np.ndarray) -> None:
+            keep = wanted(kind, hashes, row[at])
+            found.append((np.full(np.count_nonzero(keep), kind), hashes[keep], at[keep]))
+
         grams = C.grams(h, gram)
         full = C.whole(row, window)
         chosen = np.unique(C.anchors(grams, window - gram + 1)[full])
-        found = [(np.full(len(chosen), window), grams[chosen], chosen)]
-        for n in short:
+        hold(window, grams[chosen], chosen)
+        for n, hashes in _grams_of(h, short):
             at = np.flatnonzero(C.whole(row, n))
-            found.append((np.full(len(at), n), C.grams(h, n)[at], at))
+            hold(n, hashes[at], at)
         self.kind, self.hash, self.at = (np.concatenate(x) for x in zip(*found))
-        self.row = row[self.at] if len(row) else self.at
-        self.pos = self.at - first[self.row] if len(first) else self.at
+        self.row = row[self.at]
+        self.pos = self.at - first[self.row]
 
-    def table(self, keep: np.ndarray, window: int, gram: int) -> list[pa.Array]:
-        """Context columns of the chosen fingerprints: the words that windows around them can reach."""
-        kind, at, row, pos = self.kind[keep], self.at[keep], self.row[keep], self.pos[keep]
+    def table(self, window: int, gram: int) -> list[pa.Array]:
+        """Context columns: the words that windows around the fingerprints can reach."""
+        kind, at, row, pos = self.kind, self.at, self.row, self.pos
         left = np.where(kind == window, np.minimum(pos, window - gram), 0)
-        after = self.words.count[row] - pos if len(row) else pos
+        after = self.words.count[row] - pos
         right = np.where(kind == window, np.minimum(after, window), kind)
         size = left + right
         taken = C.spans(at - left, size)
@@ -67,7 +93,7 @@ class Fingerprints:
         offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
         return [
             pa.array(kind.astype(np.int32)),
-            pa.array(self.hash[keep].view(np.int64)),
+            pa.array(self.hash.view(np.int64)),
             pa.array(pos),
             pa.array(left.astype(np.int32)),
             pa.ListArray.from_arrays(offsets, flat.cast(pa.string())),
@@ -82,16 +108,11 @@ def _test_side(items: DataFrame, window: int, gram: int) -> DataFrame:
             for part in C.steps(batch, "_text"):
                 words = C.words_of(part.column("_text"), C.PLAIN, lower=True)
                 short = sorted({n for n in words.count.tolist() if 0 < n < window})
-                prints = Fingerprints(words, window, gram, short)
-                keep = np.flatnonzero(
-                    (prints.kind == window) | (prints.kind == words.count[prints.row])
-                    if len(prints.row)
-                    else prints.kind == window
-                )
-                names = part.column("_item").take(pa.array(prints.row[keep]))
-                yield pa.RecordBatch.from_arrays(
-                    [names, *prints.table(keep, window, gram)], names=schema.names
-                )
+                # A short item is one window of its own length.
+                own = lambda kind, _, row: (kind == window) | (words.count[row] == kind)  # noqa: E731, B023
+                prints = Fingerprints(words, window, gram, short, own)
+                names = part.column("_item").take(pa.array(prints.row))
+                yield pa.RecordBatch.from_arrays([names, *prints.table(window, gram)], names=schema.names)
 
     return items.mapInArrow(run, schema)
 
@@ -124,22 +145,26 @@ def _train_side(docs: DataFrame, tests: DataFrame, window: int, gram: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(held.value).view(bool)
+
+        def wanted(_: int, hashes: np.ndarray, __: np.ndarray) -> np.ndarray:
+            return known[(hashes >> np.uint64(64 - width)).astype(np.int64)]
+
         for batch in batches:
             for part in C.steps(batch, "_text"):
                 words = C.words_of(part.column("_text"), C.PLAIN, lower=True)
-                prints = Fingerprints(words, window, gram, short)
-                keep = np.flatnonzero(known[(prints.hash >> np.uint64(64 - width)).astype(np.int64)])
-                nothing = [pa.nulls(len(words.count), t.type) for t in prints.table(keep[:0], window, gram)]
+                prints = Fingerprints(words, window, gram, short, wanted)
+                context = prints.table(window, gram)
+                nothing = [pa.nulls(len(words.count), t.type) for t in context]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), part.column("_key"), pa.array(words.count), *nothing],
                     names=schema.names,
                 )
-                if len(keep):
-                    row = pa.array(prints.row[keep])
-                    none = pa.nulls(len(keep), pa.int64())
+                if len(prints.row):
+                    row = pa.array(prints.row)
+                    none = pa.nulls(len(row), pa.int64())
                     own = [part.column(c).take(row) for c in ("_row", "_key")]
                     yield pa.RecordBatch.from_arrays(
-                        [*own, none, *prints.table(keep, window, gram)],
+                        [*own, none, *context],
                         names=schema.names,
                     )
 

@@ -1,5 +1,6 @@
 """Near-duplicates, repeated spans and decontamination against brute force."""
 
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -118,6 +119,31 @@ def test_decontamination_matches_brute_force(spark, odd):
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"])) for r in got) == want
 
 
+def test_short_items_do_not_multiply_the_memory_of_a_step():
+    """Every short length looks at every position, but only wanted fingerprints are held."""
+    words_ = C.words_of(pa.array([" ".join(varied(3, 10007))] * 12), C.PLAIN)
+    short = list(range(1, decontamination.WINDOW))
+    asked = []
+
+    def wanted(kind, hashes, row):
+        asked.append((kind, len(hashes)))
+        return (hashes & np.uint64(1023)) == 0
+
+    tracemalloc.start()
+    found = decontamination.Fingerprints(words_, decontamination.WINDOW, decontamination.GRAM, short, wanted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * 8 * len(words_.code)
+    assert [k for k, _ in asked] == [decontamination.WINDOW, *short]
+    assert [n for _, n in asked[1:]] == [12 * (10007 - k + 1) for k in short]
+    for k in short:
+        own = found.kind == k
+        grams = C.grams(words_.hashes(), k)
+        assert (found.hash[own] == grams[found.at[own]]).all()
+        whole = np.flatnonzero(C.whole(words_.row, k))
+        assert found.at[own].tolist() == whole[(grams[whole] & np.uint64(1023)) == 0].tolist()
+
+
 def test_empty_sides(spark, odd, no_documents):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontamination.decontaminate(odd, none).collect()
