@@ -4,9 +4,9 @@ A byte-level tokenizer first cuts a text into pieces and never merges across
 them. It always cuts before a single space or line feed between two characters
 that are not white space, and before punctuation (but for the apostrophe) that
 follows a letter or digit. Texts are cut at such places only, every distinct
-part is encoded once per task by the tokenizers library, and the ids are put
-together again: the same ids as encoding each text at once, for a fraction of
-the work. Tokens that the tokenizer's file adds, such as ``<|endoftext|>``, are
+part is encoded once per task by the tokenizers library, many new ones in one
+text, and the ids are put together again: the same ids as encoding each text at
+once, for a fraction of the work. Tokens that the tokenizer's file adds, such as ``<|endoftext|>``, are
 parts of their own: the text between them is cut as if each stretch were a text.
 """
 
@@ -19,11 +19,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from docloom.llm.common import spans, strings, utf8
 
-#: Parts whose ids a task keeps between steps; beyond it the memory is emptied.
+#: Parts whose ids a task keeps between steps, and bytes of both; beyond either the memory is emptied.
 HELD_PARTS = 400_000
+HELD_BYTES = 48 << 20
+#: Bytes of new parts that are encoded as one text, if they may be.
+JOINED_BYTES = 1 << 16
 #: Text bytes that are encoded at once.
 ENCODE_BYTES = 4 << 20
 END = 0
@@ -80,8 +84,18 @@ class Encoder:
         # The longest first, as the library takes them.
         listed = b"|".join(map(re.escape, sorted(filter(None, added), key=len, reverse=True)))
         self.added = re.compile(listed) if listed else None
+        self.bytes_of = self.lengths()
         self.forget()
 
+    def lengths(self) -> np.ndarray | None:
+        """Bytes that each id of a byte-level tokenizer stands for: a character of its token is a byte."""
+        if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None:
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        found = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        found[list(vocabulary.values())] = list(map(len, vocabulary))
+        return found
+
     def borders(self, off: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of texts, stretches and added tokens; begin and end of these tokens, as rows."""
         raw = memoryview(np.ascontiguousarray(buf))
@@ -93,26 +107,58 @@ class Encoder:
         return np.union1d(off, held.reshape(-1)), held
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids_of = [np.zeros(0, np.uint32)]
-        self.sizes = [np.zeros(0, np.int64)]
+        self.held = pa.array([], pa.string())
+        self.ids_of = np.zeros(0, np.uint32)
+        self.sizes = np.zeros(0, np.int64)
+
+    def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers from fewer, longer texts: neighbours that ``cuts`` would part again are one.
 
-    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids held, and where those of each text begin and how many they are."""
-        if len(self.place) > HELD_PARTS:
+        A token stands for a known number of bytes, which tells where the ids of each text end;
+        None if these numbers do not fit the texts.
+        """
+        off, buf = utf8(texts)
+        if self.added is not None and self.added.search(memoryview(np.ascontiguousarray(buf))):
+            return None
+        first = off[:-1] // JOINED_BYTES != np.append(-1, off[:-2] // JOINED_BYTES)
+        first |= ~np.isin(off[:-1], cuts(off[[0, -1]], buf))
+        ends = off[1:][np.append(first[1:], True)]
+        got = self.tokenizer.encode_batch_fast(strings(ends, buf).to_pylist(), add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        if not len(flat) or flat.max() >= len(self.bytes_of):
+            return None
+        stop = np.cumsum(self.bytes_of[flat])
+        after = np.searchsorted(stop, off[1:], "right")
+        if stop[-1] != off[-1] or not np.array_equal(stop[after - 1], off[1:]):
+            return None
+        return flat, np.diff(after, prepend=0)
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind another, and how many each has."""
+        found = self.joined(texts) if self.bytes_of is not None else None
+        if found is None:
+            got = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            ids = [e.ids for e in got]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            found = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+        return found
+
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids held, and where those of each of these distinct texts begin and how many they are."""
+        if len(self.held) > HELD_PARTS or self.held.nbytes + self.ids_of.nbytes > HELD_BYTES:
             self.forget()
-        place = self.place
-        new = [t for t in texts if t not in place]
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
-            self.ids_of = [np.concatenate((*self.ids_of, flat))]
-            self.sizes = [np.concatenate((*self.sizes, size))]
-        size = self.sizes[0]
-        at = np.fromiter(map(place.__getitem__, texts), np.int64, len(texts))
-        return self.ids_of[0], (np.cumsum(size) - size)[at], size[at]
+        place = pc.index_in(texts, self.held)
+        unknown = place.is_null().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if unknown.any():
+            new = texts.filter(pa.array(unknown))
+            at[unknown] = np.arange(len(new)) + len(self.held)
+            flat, size = self.encoded(new)
+            self.held = pa.concat_arrays([self.held, new])
+            self.ids_of = np.concatenate((self.ids_of, flat))
+            self.sizes = np.concatenate((self.sizes, size))
+        size = self.sizes
+        return self.ids_of, (np.cumsum(size) - size)[at], size[at]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's ids stop."""
@@ -126,7 +172,7 @@ class Encoder:
             return np.full(len(off) - 1, END, np.uint32), np.arange(1, len(off))
         coded = strings(np.append(cut[1:], len(buf)), buf).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        held, base, size = self.parts(coded.dictionary.to_pylist())
+        held, base, size = self.parts(coded.dictionary.cast(pa.string()))
         size = size[code]
         flat = held[spans(base[code], size)]
         total = np.concatenate(([0], np.cumsum(size)))

@@ -65,6 +65,39 @@ def test_added_tokens_are_those_of_the_file():
         begin = stop
 
 
+class Counted:
+    """A tokenizer that counts the texts it encodes."""
+
+    def __init__(self, tool):
+        self.tool, self.texts = tool, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tool.encode_batch_fast(texts, **options)
+
+
+def test_new_parts_are_encoded_in_longer_texts():
+    """A call per part was most of the tokenizer's time."""
+    tool, fresh = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [f"part{i} of{i}, some{i}\nlines{i}." for i in range(2000)]
+    tool.tokenizer = Counted(fresh)
+    ids, stops = tool.ids(pa.array(texts))
+    want = [fresh.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and np.diff(stops, prepend=0).tolist() == list(map(len, want))
+    assert len(tool.held) > 6000 and tool.tokenizer.texts <= 2000 + 2
+
+
+def test_held_parts_are_bounded_in_bytes(monkeypatch):
+    """Texts without a place to cut are parts of any length."""
+    monkeypatch.setattr(tokens, "HELD_BYTES", 100_000)
+    tool = tokens.Encoder(PATH)
+    for i in range(20):
+        text = f"{i}" + "漢字" * 2000
+        ids, _ = tool.ids(pa.array([text]))
+        assert ids.tolist() == tool.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert tool.held.nbytes + tool.ids_of.nbytes < 200_000
+
+
 def test_words_equal_those_of_the_pattern():
     for member, lower, pattern in ((C.SPACED, False, r"[^\x20\x09-\x0D]+"), (C.PLAIN, True, r"[0-9a-z\x80-\U0010ffff]+")):
         texts = [*ODD_TEXTS, None]
