@@ -1,6 +1,8 @@
 """Tables that are folders of files, and steps whose size is bounded."""
 
+import os
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +117,35 @@ def test_near_duplicates_compare_few_vectors_in_full(spark, monkeypatch):
         assert all(abs(got[a][0] - want[a][0]) < 2e-6 for a in want)
 
 
+def shuffled(spark):
+    """Sizes of the shuffle files of the session by name."""
+    tops = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    found = [Path(d, f) for top in tops for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")]
+    return {f.name: f.stat().st_size for f in found if f.exists()}
+
+
+def test_near_duplicates_move_vectors_once(spark):
+    """However many blocks there are, the shuffle holds one copy of the vectors, and ties go to the smallest id."""
+    x = np.random.default_rng(8).normal(size=(300, 250))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[200:] = x[100:200]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "chunk_id bigint, dense array<double>")
+    held = shuffled(spark)
+    got = scoring.closest_before(frame, 0.9, 15).collect()
+    moved = sum(size for name, size in shuffled(spark).items() if name not in held)
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in got} == {(i, i - 100, 1.0) for i in range(200, 300)}
+    assert moved < 2 * x.nbytes
+
+
+def test_blocks_hold_few_rows_each():
+    sizes = [(1 << 33, 25), (0, 4), (2 << 33, 3), (3 << 33, 2), (4 << 33, 10)]
+    got = scoring._blocks(sizes, 10)
+    at = [start + i for start, n in sizes for i in range(n)]
+    held = [[x for x in at if low <= x < high] for low, high in got]
+    assert sorted(sum(held, [])) == sorted(at) and max(map(len, held)) <= 10 and min(map(len, held)) > 0
+
+
 def test_pairs_of_different_texts_are_ruled_out_before_exact_products(monkeypatch):
     rng = np.random.default_rng(5)
     left, right = (np.abs(rng.normal(size=(1000, 384))) * (rng.random((1000, 384)) < 0.3) for _ in range(2))
