@@ -7,7 +7,7 @@ more rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of a filter; it has at most 2**FILTER_BITS / 32 rows, whatever the number of ids.
@@ -35,6 +35,23 @@ def passing(rows: DataFrame, held: DataFrame, name: str, maybe: bool = True) ->
     return found.where(hit if maybe else ~hit).select(rows.columns)
 
 
+def newest_rows(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """Of the rows of each key (NULL is one too) the one with the largest version.
+
+    Only hashes of the keys are counted, and only rows whose key may come twice are moved;
+    ``rows`` itself comes back where none does.
+    """
+    seen, n = unused(rows, "_seen", "_n")
+    hashed = rows.withColumn(seen, F.xxhash64(key))
+    again = hashed.groupBy(seen).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    if again.isEmpty():
+        return rows
+    held = id_filter(again, seen)
+    newest = Window.partitionBy(key).orderBy(F.desc(version))
+    doubtful = passing(hashed, held, seen).withColumn(n, F.row_number().over(newest)).where(F.col(n) == 1)
+    return passing(hashed, held, seen, maybe=False).unionByName(doubtful.drop(n)).drop(seen)
+
+
 def unused(rows: DataFrame, *names: str) -> list[str]:
     """The names, each made longer until no column has it (letter case does not count)."""
     taken = {c.lower() for c in rows.columns}

@@ -22,8 +22,12 @@ from pyspark.sql import types as T
 
 from docloom import rules
 from docloom.functions.domains import collection_name
+from docloom.operators.id_filters import newest_rows
+from docloom.session import settings
 
 BUCKETS = 64
+#: Rows that stand by folder are written without being sorted by it.
+BY_FOLDER = {"spark.sql.maxConcurrentOutputFileWriters": 16}
 
 
 def route_collections(chunks: DataFrame) -> DataFrame:
@@ -110,13 +114,21 @@ class ChunkStore:
         return self._change(latest, None, batch)
 
     def replace_documents(
-        self, incoming: DataFrame, version: str = "seq", batch: str | None = None, documents: DataFrame | None = None
+        self,
+        incoming: DataFrame,
+        version: str = "seq",
+        batch: str | None = None,
+        documents: DataFrame | None = None,
+        dealt: bool = False,
     ) -> bool:
         """Upsert, and end what earlier versions of these documents had besides.
 
         ``documents`` names those that may have no chunk any more; else the
-        documents of the chunks are taken.
+        documents of the chunks are taken. With ``dealt`` the rows of a folder (see
+        ``placed``) stand together already and are written where they are.
         """
+        if dealt:
+            return self._change(incoming, incoming if documents is None else documents, batch, version)
         newest = Window.partitionBy("chunk_id").orderBy(F.desc(version))
         latest = incoming.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
         return self._change(latest, incoming if documents is None else documents, batch)
@@ -152,14 +164,31 @@ class ChunkStore:
                     gone += self._fs().delete(path, True)
         return gone
 
-    def _change(self, chunks: DataFrame | None, ended: DataFrame | None, batch: str | None) -> bool:
-        """Write a delta and commit it. A batch, ``<writer>:<number>``, that is committed already changes nothing."""
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """The rows with the folder of their document: ``domain`` and ``bucket``."""
+        bucket = F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
+        return rows.withColumn("domain", F.coalesce("domain", F.lit(""))).withColumn("bucket", bucket)
+
+    def _change(
+        self, chunks: DataFrame | None, ended: DataFrame | None, batch: str | None, version: str | None = None
+    ) -> bool:
+        """Write a delta and commit it. A batch, ``<writer>:<number>``, that is committed already changes nothing.
+
+        Without ``version`` the chunk ids are distinct already; else the rows stand by folder.
+        """
         held = self._manifest()
         writer, _, order = (batch or "").rpartition(":")
         if batch and held["batches"].get(writer, -1) >= int(order):
             return False
         number = held["last"] + 1
-        schema = None if chunks is None else self._write(chunks, number)
+        schema = None if chunks is None else self._write(chunks, number, version is not None)
+        if version is not None:
+            # Ids that come twice are looked for in what is written: only then it is written again.
+            rows = self._rows([{"number": number, "schema": schema}])
+            if (newest := newest_rows(rows, "chunk_id", version)) is not rows:
+                self._write(newest.drop("delta"), number + 1, True)
+                self._fs().delete(self._hadoop(self._path("chunks", number)), True)
+                number += 1
         if ended is not None:
             ids = ended.select(F.col("document_id").cast("string")).where("document_id is not null").distinct()
             ids.write.mode("overwrite").parquet(self._path("ends", number))
@@ -168,14 +197,14 @@ class ChunkStore:
         self._commit(held | {"last": number, "deltas": [*held["deltas"], delta], "batches": batches})
         return True
 
-    def _write(self, chunks: DataFrame, number: int) -> dict:
+    def _write(self, chunks: DataFrame, number: int, dealt: bool = False) -> dict:
         """Rows of a delta, one file per folder unless a folder has many rows; returns their schema."""
-        bucket = F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
-        rows = chunks.withColumn("domain", F.coalesce("domain", F.lit(""))).withColumn("bucket", bucket)
-        # What an attempt without commit has left is overwritten.
-        rows.hint("rebalance", "domain", "bucket").write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).partitionBy("domain", "bucket").parquet(self._path("chunks", number))
+        rows = self.placed(chunks)
+        with settings(rows.sparkSession, BY_FOLDER if dealt else {}):
+            # What an attempt without commit has left is overwritten.
+            (rows if dealt else rows.hint("rebalance", "domain", "bucket")).write.mode("overwrite").option(
+                "partitionOverwriteMode", "static"
+            ).option("compression", "zstd").partitionBy("domain", "bucket").parquet(self._path("chunks", number))
         stored = [f for f in rows.schema.fields if f.name not in ("domain", "bucket")]
         return T.StructType([T.StructField(f.name, f.dataType) for f in stored]).jsonValue()
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docloom import session
 from docloom.functions import vectors
 from docloom.operators import encoding, scoring
 from docloom.plans.queries import QUERIES
@@ -138,6 +139,20 @@ def test_near_duplicates_move_vectors_once(spark):
     assert moved < 2 * x.nbytes
 
 
+def test_ingest_moves_documents_and_no_points(spark, tmp_path):
+    """What stays in the shuffle is less than the texts; the staged batch goes."""
+    rng = np.random.default_rng(9)
+    rows = [(d, "en", " ".join(f"w{w}" for w in rng.integers(0, 10**6, 200))) for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    sf = in_folders(spark, tmp_path, documents=docs)
+    held, staged = shuffled(spark), set(Path(session.shared_dir(spark).removeprefix("file:")).glob("batch-*"))
+    got = QUERIES["stream_ingest"](spark, sf)
+    moved = sum(size for name, size in shuffled(spark).items() if name not in held)
+    assert moved < sum(len(text) for _, _, text in rows) / 4
+    assert {r["document_id"] for r in got.collect()} == {f"doc-{d}" for d in range(300)}
+    assert set(Path(session.shared_dir(spark).removeprefix("file:")).glob("batch-*")) == staged
+
+
 def test_blocks_hold_few_rows_each():
     sizes = [(1 << 33, 25), (0, 4), (2 << 33, 3), (3 << 33, 2), (4 << 33, 10)]
     got = scoring._blocks(sizes, 10)

@@ -229,6 +229,34 @@ def test_ingest_stream_survives_redelivery(spark, small, tmp_path):
     assert wrong.count() == 0
 
 
+def test_ingest_keeps_the_newest_version_of_a_batch(spark, tmp_path):
+    """Of a document that comes twice, one without id included, the largest version counts; others stay as they are."""
+    rows = [("a", "medical", "Old one.", 1), ("a", None, "New one.", 2), (None, "x", "Lost.", 1), (None, "financial", "Kept.", 3)]
+    rows += [(f"d{i}", "general", f"Text {i}.", 1) for i in range(20)]
+    names = "document_id string, domain string, content string, seq int"
+    spark.createDataFrame(rows, names).repartition(3).write.parquet(str(tmp_path / "docs"))
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    feed = spark.readStream.schema(names).parquet(str(tmp_path / "docs"))
+    ingest.start_ingest(feed, store, str(tmp_path / "state"), "seq").awaitTermination()
+    got = sorted((r["document_id"] or "", r["domain"], r["text"], r["seq"]) for r in store.read().collect())
+    want = [("", "financial", "Kept.", 3), ("a", "general", "New one.", 2)]
+    assert got == sorted(want + [(f"d{i}", "general", f"Text {i}.", 1) for i in range(20)])
+
+
+def test_rows_written_in_place_keep_one_row_an_id(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "c"), buckets=2)
+    rows = [("x", "d1", "general", 1, "old"), ("x", "d2", "medical", 2, "new"), (None, "d1", None, 1, "n"), (None, "d1", None, 1, "n")]
+    rows += [(f"c{i}", "d1", "general", 1, "t") for i in range(5)]
+    assert store.replace_documents(chunks(spark, rows).repartition(3), batch="w:1", dealt=True)
+    assert not store.replace_documents(chunks(spark, rows), batch="w:1", dealt=True)
+    got = sorted((r["chunk_id"] or "", r["text"], r["domain"] or "") for r in store.read().collect())
+    assert got == sorted([("", "n", ""), ("x", "new", "medical"), *[(f"c{i}", "t", "general") for i in range(5)]])
+    # What was written first is gone already, and later changes find their place.
+    assert store.vacuum() == 0
+    store.upsert(chunks(spark, [("x", "d2", "medical", 3, "newer")]))
+    assert ("x", "newer") in [(r["chunk_id"], r["text"]) for r in store.read().collect()]
+
+
 def test_expired_status_is_gone(spark):
     log = spark.createDataFrame(
         [("t1", 1, "2024-01-01 00:00:00", "processing"), ("t1", 2, "2024-01-01 05:00:00", "completed"),
